@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from eospark.llm import exact_dedup
+from eospark.llm import exact_dedup, mixing, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,3 +33,23 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
        doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM n
 """
+
+
+@query
+def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixing.mix(docs, repetition_limit=2.0)
+    return mixed.select("doc_id", "source", mixing.words(F.col("text")).alias("tokens"), "_epoch", "_block", "_mix_key").withColumnsRenamed(
+        {"_epoch": "epoch", "_block": "block", "_mix_key": "mix_key"}
+    )
+
+
+@query
+def op3_balanced_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign_shards(_table(spark, sf_dir, "documents"), 40)
+    return placed.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
