@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eospark.llm import exact_dedup, mixing, packing, pii, sharding, simhash_dedup, toxicity, warc
+from eospark.llm import exact_dedup, fingerprints, mixing, packing, pii, sharding, simhash_dedup, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -86,3 +86,8 @@ def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.digest(pii.find(docs, pii.train(docs)))
+
+
+@query
+def op7_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_likeness(_table(spark, sf_dir, "documents"))
