@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eospark.llm import exact_dedup, fingerprints, mixing, packing, pii, sharding, simhash_dedup, toxicity, warc
+from eospark.llm import exact_dedup, fingerprints, mixing, packing, pii, sharding, simhash_dedup, substring_dedup, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,3 +91,9 @@ def op6_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_likeness(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_suffix_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.without_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
