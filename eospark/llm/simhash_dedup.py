@@ -51,26 +51,42 @@ def fingerprint(text: str | None, size: int = 4) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
-    """``id, fp`` (the fingerprint's bits as a long); null is empty, and empty texts have fingerprint zero."""
+def wide_fingerprint(text: str | None, size: int = 5) -> tuple[int, int]:
+    """A 128-bit SimHash, as two numbers of 64 bits."""
+    hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x, SEED) for x in shingles(text, size)]), np.uint8).reshape(-1, 16)
+    votes = np.zeros(128, np.int64)
+    for at in range(0, len(hashes), 1 << 15):
+        votes += np.unpackbits(hashes[at : at + (1 << 15)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    first, second = np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")
+    return int(first), int(second)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, wide: bool = False) -> DataFrame:
+    """``id, fp`` (the fingerprint's bits as a long), and ``fp2`` with 64 more bits if ``wide``.
+
+    Null is empty, and empty texts have fingerprint zero.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, size) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+            texts = batch.column(1).to_pylist()
+            found = [wide_fingerprint(t, size) for t in texts] if wide else [(fingerprint(t, size),) for t in texts]
+            fps = np.array(found, np.uint64).reshape(len(texts), -1).view(np.int64)
+            yield pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in fps.T)], ["id", "fp", "fp2"][: 3 if wide else 2])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, fp bigint")
+    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, fp bigint" + ", fp2 bigint" * wide)
 
 
 def segments(distinct: int, radius: int) -> list[tuple[int, int, int]]:
     """(first bit, width, ball radius) of each segment.
 
-    Radii add up to ``radius`` - segments + 1, so that not every segment can differ in more bits than its radius. There
-    are three segments of 21 or 22 bits as long as there are fewer than 2**28 fingerprints, and two beyond that, so that
-    a key keeps few chance matches; either way all links are found.
+    Radii add up to ``radius`` - segments + 1, so that not every segment can differ in more bits than its radius. Up to
+    radius 6 there are three segments of 21 or 22 bits as long as there are fewer than 2**28 fingerprints, and two beyond
+    that, so that a key keeps few chance matches. Larger radii take a segment for each two bits, or balls would become
+    very large. Whatever the segments, all links are found.
     """
-    m = 3 if distinct < 1 << 28 else 2
+    m = radius // 2 if radius > 6 else 3 if distinct < 1 << 28 else 2
     spare = max(radius - m + 1, 0)
     ends = [64 * (i + 1) // m for i in range(m)]
     starts = [0, *ends[:-1]]
@@ -89,29 +105,32 @@ def _ball(width: int, radius: int) -> np.ndarray:
 def _table_rows(plan: list[tuple[int, int, int]]):
     """Per fingerprint: a row of role 0 for its own key in each table, and rows of role 1 for the keys to be looked up.
 
-    A one-bit difference is looked up only from the side that has the bit unset, and likewise (by the lowest differing
-    bit) for more bits, so that a pair meets once.
+    Of two fingerprints that differ within a segment, the one whose lowest differing bit is unset looks the other up, so
+    that a pair meets once. The other columns are repeated in each row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
-                fp = whole.slice(at, 4096).column(0).to_numpy().view(np.uint64)
-                keys, fps, roles = [], [], []
+                part = whole.slice(at, 4096)
+                fp = part.column(0).to_numpy().view(np.uint64)
+                everyone = np.arange(len(fp))
+                keys, rows, roles = [], [], []
                 for i, (shift, width, radius) in enumerate(plan):
                     own = (fp >> np.uint64(shift)) & np.uint64((1 << width) - 1)
                     tag = np.uint64(i << 40)
                     keys.append(own | tag)
-                    fps.append(fp)
+                    rows.append(everyone)
                     roles.append(np.zeros(len(fp), np.int8))
                     for mask in _ball(width, radius):
                         low = mask & (~mask + np.uint64(1))
-                        ask = (own & low) == 0
+                        ask = np.flatnonzero((own & low) == 0)
                         keys.append((own[ask] ^ mask) | tag)
-                        fps.append(fp[ask])
-                        roles.append(np.ones(int(ask.sum()), np.int8))
-                cols = [np.concatenate(keys).view(np.int64), np.concatenate(roles), np.concatenate(fps).view(np.int64)]
-                yield pa.record_batch([pa.array(c) for c in cols], ["k", "role", "fp"])
+                        rows.append(ask)
+                        roles.append(np.ones(len(ask), np.int8))
+                take = pa.array(np.concatenate(rows))
+                cols = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(roles))]
+                yield pa.record_batch([*cols, *(c.take(take) for c in part.columns)], ["k", "role", *part.schema.names])
 
     return run
 
@@ -137,8 +156,11 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
-def _bucket_links(key: np.ndarray, fp: np.ndarray, role: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Linked pairs within the buckets of rows that are sorted by key and role."""
+def _bucket_links(key: np.ndarray, role: np.ndarray, words: list[np.ndarray], radii: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of linked rows within the buckets of rows that are sorted by key and role.
+
+    Rows are linked if their first words differ in at most the first radius, and the first two in at most the second.
+    """
     n = len(key)
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     bucket = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [n]])))
@@ -153,83 +175,114 @@ def _bucket_links(key: np.ndarray, fp: np.ndarray, role: np.ndarray, radius: int
         if total:
             row = np.repeat(np.arange(at, stop), count)
             other = first[bucket[row]] + np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-            near = np.bitwise_count(fp[row] ^ fp[other]) <= radius
-            if near.any():
-                yield fp[row[near]], fp[other[near]]
+            differ = np.zeros(total, np.int64)
+            for word, radius in zip(words, radii, strict=True):
+                differ += np.bitwise_count(word[row] ^ word[other])
+                near = differ <= radius
+                row, other, differ = row[near], other[near], differ[near]
+                total = len(row)
+            if total:
+                yield row, other
         at = stop
 
 
-def _compare(radius: int):
+def _compare(radii: list[int]):
+    """Links of the rows ``k, role, fp[, fp2], node``, as a forest over the nodes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[list[np.ndarray]] = []
         links: list[tuple[np.ndarray, np.ndarray]] = []
 
         def work(rows: list) -> None:
-            key, role, fp = (np.concatenate(x) for x in zip(*rows, strict=True))
-            for pair in _bucket_links(key, fp, role, radius):
-                links.append(pair)
+            key, role, *words, node = (np.concatenate(x) for x in zip(*rows, strict=True))
+            words = [w.view(np.uint64) for w in words]
+            for i, j in _bucket_links(key, role, words, radii):
+                links.append((node[i], node[j]))
                 if sum(len(x[0]) for x in links) > _PAIRS:
                     links[:] = [_forest(*(np.concatenate(x) for x in zip(*links, strict=True)))]
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, role, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            fp = fp.view(np.uint64)
-            last = int(np.searchsorted(key, key[-1], side="left"))
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            last = int(np.searchsorted(cols[0], cols[0][-1], side="left"))
             if last:
-                work([*held, (key[:last], role[:last], fp[:last])])
+                work([*held, [c[:last] for c in cols]])
                 held = []
-            elif held and held[-1][0][-1] != key[-1]:
+            elif held and held[-1][0][-1] != cols[0][-1]:
                 work(held)
                 held = []
-            held.append((key[last:], role[last:], fp[last:]))
+            held.append([c[last:] for c in cols])
         if held:
             work(held)
         if links:
             a, b = _forest(*(np.concatenate(x) for x in zip(*links, strict=True)))
-            yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
 
-def links(fps: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
-    """``a, b``: links that join exactly those distinct ``fp`` that chains of differences of ``radius`` bits join."""
-    plan = segments(fps.count(), radius)
-    rows = staged(fps.select("fp").mapInArrow(_table_rows(plan), "k bigint, role byte, fp bigint"), "tables")
+def links(nodes: DataFrame, radius: int = 4, wide_radius: int | None = None, block: int = BLOCK) -> DataFrame:
+    """``a, b``: links that join exactly those nodes (``node, fp[, fp2]``) that chains of near fingerprints join.
+
+    Near means at most ``radius`` differing bits of ``fp``, and, if ``wide_radius`` is given, at most as many as that of
+    ``fp`` and ``fp2`` together.
+    """
+    plan = segments(nodes.count(), radius)
+    names = ["fp", "node"] if wide_radius is None else ["fp", "fp2", "node"]
+    radii = [radius] if wide_radius is None else [radius, wide_radius]
+    schema = "k bigint, role byte, " + ", ".join(f"{n} bigint" for n in names)
+    rows = staged(nodes.select(*names).mapInArrow(_table_rows(plan), schema), "tables")
     hot = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
     hot = staged(hot.select("k", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "hot")
     if not hot.isEmpty():
-        own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         split = rows.join(hot, "k").withColumn("i", own).withColumn("j", other)
-        split = split.select(F.xxhash64("k", F.least("i", "j"), F.greatest("i", "j")).alias("k"), "role", "fp")
+        split = split.select(F.xxhash64("k", F.least("i", "j"), F.greatest("i", "j")).alias("k"), "role", *names)
         rows = rows.join(hot, "k", "left_anti").unionByName(split)
-    return rows.repartition("k").sortWithinPartitions("k", "role").mapInArrow(_compare(radius), "a bigint, b bigint")
+    return rows.repartition("k").sortWithinPartitions("k", "role").mapInArrow(_compare(radii), "a bigint, b bigint")
 
 
 def near_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = 4, block: int = BLOCK
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = 4,
+    radius: int = 4,
+    wide_radius: int | None = None,
+    block: int = BLOCK,
 ) -> DataFrame:
     """One row a document: ``id_col, fingerprint`` (16 hex digits) and ``component_id``, the smallest linked id.
 
-    Null and empty texts have fingerprint zero and are linked like any other. Rows that repeat an id are rows of their
-    own. Null ids are never the smallest unless all are. An empty table gives an empty table.
+    With ``wide_radius`` fingerprints have 128 bits, of which the first 64 are searched with ``radius`` and all are
+    verified. Null and empty texts have fingerprint zero and are linked like any other. Rows that repeat an id are rows
+    of their own. Null ids are never the smallest unless all are. An empty table gives an empty table.
     """
-    prints = staged(fingerprints(docs, id_col, text_col, size), "prints")
-    nodes = staged(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    labels = component_labels(links(nodes, radius, block))
-    nodes = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    keys = ["fp"] if wide_radius is None else ["fp", "fp2"]
+    node = F.col("fp") if wide_radius is None else F.xxhash64("fp", "fp2")
+    prints = staged(fingerprints(docs, id_col, text_col, size, wide_radius is not None).withColumn("node", node), "prints")
+    nodes = staged(prints.groupBy("node", *keys).agg(F.min("id").alias("least")), "nodes")
+    labels = component_labels(links(nodes, radius, wide_radius, block)).withColumnRenamed("node", "_node")
+    nodes = nodes.join(labels, F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     nodes = staged(nodes, "labelled")
     groups = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
-    nodes = nodes.join(groups, "label").select("fp", "component_id")
-    return prints.join(nodes, "fp").select(
+    nodes = staged(nodes.join(groups, "label").select("node", "component_id"), "components")
+    return prints.join(nodes, "node").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, radius: int = 4) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, that with the smallest id; all columns stay."""
-    groups = near_groups(docs, id_col, text_col, size, radius)
+#: Shingles alike to 0.8 (Jaccard) differ in about 0.15 of their fingerprints' bits. So many of 64 are searched, and so
+#: many of 128 are taken, which leaves room for chance: see the README for what is found.
+SIMILAR_RADIUS, SIMILAR_WIDE_RADIUS = 12, 22
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates, that with the smallest id; all columns stay.
+
+    Near duplicates are alike to 0.8 or more in their runs of ``size`` words, as their 128-bit fingerprints tell it.
+    """
+    groups = near_groups(docs, id_col, text_col, size, SIMILAR_RADIUS, SIMILAR_WIDE_RADIUS)
     gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"))
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
