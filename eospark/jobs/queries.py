@@ -1,10 +1,4 @@
-"""The registered queries and their SQL."""
+"""All registered queries and their SQL."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from eospark.jobs import metric_queries  # noqa: F401
+from eospark.jobs.registry import QUERIES, SQL  # noqa: F401
