@@ -64,9 +64,9 @@ def argmax(xs: Column) -> Column:
 
 
 def one_hot(label: Column, n: int, smoothing: float = 0.0) -> Column:
-    """Soft targets of an integer label; a label out of range gives no class."""
-    y = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(i == label, 1.0).otherwise(0.0))
-    return F.transform(y, lambda v: v * (1 - smoothing) + smoothing / n) if smoothing else y
+    """Soft targets of an integer label; smoothing is spread evenly over the other classes. A label out of range is none."""
+    low = smoothing / (n - 1) if smoothing else 0.0
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(i == label, 1.0 - smoothing).otherwise(low))
 
 
 def digitize(x: Column, edges: list[float]) -> Column:

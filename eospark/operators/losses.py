@@ -23,10 +23,10 @@ def lq_loss(logits: Column, targets: Column, q: float = 0.7) -> Column:
     return (1 - F.pow(p + 1e-7, F.lit(q))) / q
 
 
-def sigmoid_xent(logits: Column, targets: Column) -> Column:
-    """Mean over the classes."""
+def sigmoid_xent(logits: Column, targets: Column, mean: bool = True) -> Column:
+    """Mean over the classes, or their sum, which is what weighted pixels are summed by."""
     each = F.zip_with(logits, targets, lambda z, y: -(y * log_sigmoid(z) + (1 - y) * log_sigmoid(-z)))
-    return total(each) / F.size(logits)
+    return total(each) / F.size(logits) if mean else total(each)
 
 
 def partial_label_loss(logits: Column, allowed: Column, entropy_weight: float = 0.1) -> Column:
