@@ -472,3 +472,20 @@ def progress(spark, d):
         "run", "step", (F.col("step") * 10.0 + F.col("step") % 3).alias("time"), (F.col("step") % 2).cast("double").alias("pause"), F.lit(32).alias("batch")
     )
     return rounded(logs.progress(t, 5000, 1000))
+
+
+@query(sql="WITH m AS (SELECT label, p, floor((avg(embedding[p+1]::DOUBLE)+1)*127.5)::SMALLINT AS v FROM embeddings, range(64) r(p) GROUP BY ALL) SELECT 8 AS height, 8 AS width, 3 AS channels, flatten(list([v, 255-v, label]::SMALLINT[] ORDER BY p)) AS data FROM m GROUP BY label")
+def src_images(spark, d):
+    """Mean rasters by label as PNG files, read back through the image source; the third channel holds the label."""
+    e = X.table(spark, d, "embeddings")
+    means = e.groupBy("label").agg(F.array(*[F.avg(F.get("embedding", F.lit(p)).cast("double")) for p in range(64)]).alias("m"))
+    pixel = F.transform("m", lambda v: F.floor((v + 1) * 127.5).cast("int"))
+    path = new_path(spark, "images")
+    files.write_png(means.select(F.transform(pixel, lambda v: F.array(v, 255 - v, F.col("label"))).alias("pixels")), path, 8, 8)
+    return files.images(spark, path).drop("path")
+
+
+@query("metric_log", "SELECT 'value_avg' AS metric, round(avg(value), 6) AS value FROM metric_log", name="loss_avg")
+def loss_avg(spark, d):
+    """``x_avg`` in a report is the mean of column ``x``."""
+    return rounded(evaluate.report(X.metric_log(spark, d), ["value_avg"]))

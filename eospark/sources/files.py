@@ -68,3 +68,26 @@ def metric_log_rows(df: DataFrame, metrics: list[str]) -> DataFrame:
 
 def append_metric_log(df: DataFrame, path: str, metrics: list[str]) -> None:
     metric_log_rows(df, metrics).write.mode("append").json(path)
+
+
+def write_png(df: DataFrame, path: str, height: int, width: int) -> None:
+    """One RGB image a row from ``pixels`` (an array of three numbers each); readers ignore the line end after it."""
+    import pyarrow as pa
+
+    def run(batches):
+        import struct
+        import zlib
+
+        def chunk(kind: bytes, data: bytes) -> bytes:
+            return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+        head = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0))
+        for batch in batches:
+            out = []
+            for pixels in batch.column(0).to_pylist():
+                raw = b"".join(b"\0" + bytes(v for p in pixels[y * width : (y + 1) * width] for v in p) for y in range(height))
+                out.append(head + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+            yield pa.record_batch([pa.array(out, pa.binary())], ["value"])
+
+    rows = df.select("pixels").mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    rows.write.option("maxRecordsPerFile", 1).text(path)
