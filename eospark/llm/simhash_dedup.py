@@ -23,6 +23,8 @@ SEED = 42
 #: A bucket of more rows is compared in blocks of so many, by as many tasks as there are pairs of blocks.
 BLOCK = 4096
 _PAIRS = 1 << 21
+#: Hashes in a sketch, and the members up to which all pairs of a candidate group are verified.
+SKETCH, SMALL_GROUP = 256, 64
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
@@ -51,31 +53,50 @@ def fingerprint(text: str | None, size: int = 4) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def wide_fingerprint(text: str | None, size: int = 5) -> tuple[int, int]:
-    """A 128-bit SimHash, as two numbers of 64 bits."""
+def wide_fingerprint(text: str | None, size: int = 5) -> tuple[int, int, np.ndarray]:
+    """A 128-bit SimHash, as two numbers of 64 bits, and the least ``SKETCH`` distinct hashes of the shingles, sorted.
+
+    A text of at most that many shingles has all of them in its sketch.
+    """
     hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x, SEED) for x in shingles(text, size)]), np.uint8).reshape(-1, 16)
     votes = np.zeros(128, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         votes += np.unpackbits(hashes[at : at + (1 << 15)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     first, second = np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")
-    return int(first), int(second)
+    return int(first), int(second), np.unique(hashes[:, :4].copy().view("<u4").ravel())[:SKETCH]
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard similarity of two sketches' texts: exact if both hold all shingles, else of the least hashes of both."""
+    both = np.union1d(a, b)
+    if len(a) == SKETCH or len(b) == SKETCH:
+        both = both[:SKETCH]
+    return float((np.isin(both, a) & np.isin(both, b)).mean()) if len(both) else 1.0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, wide: bool = False) -> DataFrame:
-    """``id, fp`` (the fingerprint's bits as a long), and ``fp2`` with 64 more bits if ``wide``.
+    """``id, fp`` (the fingerprint's bits as a long), and if ``wide`` 64 more bits ``fp2`` and a ``sketch``.
 
     Null is empty, and empty texts have fingerprint zero.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            found = [wide_fingerprint(t, size) for t in texts] if wide else [(fingerprint(t, size),) for t in texts]
-            fps = np.array(found, np.uint64).reshape(len(texts), -1).view(np.int64)
-            yield pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in fps.T)], ["id", "fp", "fp2"][: 3 if wide else 2])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                texts = batch.column(1).to_pylist()
+                if not wide:
+                    fps = np.array([fingerprint(t, size) for t in texts], np.uint64)
+                    yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+                    continue
+                found = [wide_fingerprint(t, size) for t in texts]
+                cols = [pa.array(np.array([f[i] for f in found], np.uint64).view(np.int64)) for i in (0, 1)]
+                cols.append(pa.array([f[2].view(np.int32) for f in found], pa.list_(pa.int32())))
+                yield pa.record_batch([batch.column(0), *cols], ["id", "fp", "fp2", "sketch"])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, fp bigint" + ", fp2 bigint" * wide)
+    more = ", fp2 bigint, sketch array<int>" if wide else ""
+    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, fp bigint{more}")
 
 
 def segments(distinct: int, radius: int) -> list[tuple[int, int, int]]:
@@ -244,26 +265,15 @@ def links(nodes: DataFrame, radius: int = 4, wide_radius: int | None = None, blo
     return rows.repartition("k").sortWithinPartitions("k", "role").mapInArrow(_compare(radii), "a bigint, b bigint")
 
 
-def near_groups(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    size: int = 4,
-    radius: int = 4,
-    wide_radius: int | None = None,
-    block: int = BLOCK,
-) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = 4, block: int = BLOCK) -> DataFrame:
     """One row a document: ``id_col, fingerprint`` (16 hex digits) and ``component_id``, the smallest linked id.
 
-    With ``wide_radius`` fingerprints have 128 bits, of which the first 64 are searched with ``radius`` and all are
-    verified. Null and empty texts have fingerprint zero and are linked like any other. Rows that repeat an id are rows
-    of their own. Null ids are never the smallest unless all are. An empty table gives an empty table.
+    Null and empty texts have fingerprint zero and are linked like any other. Rows that repeat an id are rows of their
+    own. Null ids are never the smallest unless all are. An empty table gives an empty table.
     """
-    keys = ["fp"] if wide_radius is None else ["fp", "fp2"]
-    node = F.col("fp") if wide_radius is None else F.xxhash64("fp", "fp2")
-    prints = staged(fingerprints(docs, id_col, text_col, size, wide_radius is not None).withColumn("node", node), "prints")
-    nodes = staged(prints.groupBy("node", *keys).agg(F.min("id").alias("least")), "nodes")
-    labels = component_labels(links(nodes, radius, wide_radius, block)).withColumnRenamed("node", "_node")
+    prints = staged(fingerprints(docs, id_col, text_col, size).withColumn("node", F.col("fp")), "prints")
+    nodes = staged(prints.groupBy("node", "fp").agg(F.min("id").alias("least")), "nodes")
+    labels = component_labels(links(nodes, radius, block=block)).withColumnRenamed("node", "_node")
     nodes = nodes.join(labels, F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     nodes = staged(nodes, "labelled")
     groups = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -273,16 +283,79 @@ def near_groups(
     )
 
 
-#: Shingles alike to 0.8 (Jaccard) differ in about 0.15 of their fingerprints' bits. So many of 64 are searched, and so
-#: many of 128 are taken, which leaves room for chance: see the README for what is found.
-SIMILAR_RADIUS, SIMILAR_WIDE_RADIUS = 12, 22
+def _alike(rows: DataFrame, similarity: float) -> DataFrame:
+    """``a, b`` of the rows (``a, sa, b, sb``) whose sketches are alike."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketches = [batch.column(i) for i in (1, 3)]
+            values = lambda c, k: c[k].values.to_numpy(zero_copy_only=False).view(np.uint32)
+            near = [likeness(values(sketches[0], k), values(sketches[1], k)) >= similarity for k in range(batch.num_rows)]
+            yield pa.record_batch([batch.column(0), batch.column(2)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return rows.select("a", "sa", "b", "sb").mapInArrow(run, "a bigint, b bigint")
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates, that with the smallest id; all columns stay.
 
-    Near duplicates are alike to 0.8 or more in their runs of ``size`` words, as their 128-bit fingerprints tell it.
+def verified_links(members: DataFrame, similarity: float, rounds: int = 8) -> DataFrame:
+    """``a, b``: alike pairs within candidate groups (``label, node, fp, sketch``).
+
+    In groups of at most ``SMALL_GROUP`` all pairs are compared. Larger groups are compared with their centre, the member
+    nearest to the majority of the fingerprints; those that are not like it get a centre of their own, and so on, as
+    long as there are rounds and new members are found.
     """
-    groups = near_groups(docs, id_col, text_col, size, SIMILAR_RADIUS, SIMILAR_WIDE_RADIUS)
+    size = members.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
+    members = staged(members.join(size, "label"), "members")
+    small = members.where(F.col("members") <= SMALL_GROUP)
+    a = small.select("label", F.col("node").alias("a"), F.col("sketch").alias("sa"))
+    b = small.select("label", F.col("node").alias("b"), F.col("sketch").alias("sb"))
+    links = _alike(a.join(b, "label").where("a < b"), similarity)
+    rest = members.where(F.col("members") > SMALL_GROUP).select("label", "node", "fp", "sketch")
+    for _ in range(rounds):
+        if rest.isEmpty():
+            break
+        half = F.count(F.lit(1)) / 2
+        ones = [F.sum(F.shiftrightunsigned("fp", k).bitwiseAND(1)) for k in range(64)]
+        word = F.lit(0).cast("bigint")
+        for k, n in enumerate(ones):
+            word = word.bitwiseOR(F.when(n > half, F.shiftleft(F.lit(1).cast("bigint"), k)).otherwise(0))
+        majority = staged(rest.groupBy("label").agg(word.alias("majority")), "majority")
+        centre = rest.join(majority, "label").groupBy("label").agg(F.min_by("node", F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("majority"))), "node")).alias("a"))
+        centre = staged(centre.join(rest.select("label", F.col("node").alias("a"), F.col("sketch").alias("sa")), ["label", "a"]), "centre")
+        found = staged(_alike(rest.join(centre, "label").select("a", "sa", F.col("node").alias("b"), F.col("sketch").alias("sb")), similarity), "found")
+        links = links.unionByName(found.where("a <> b"))
+        if found.where("a <> b").isEmpty():
+            break
+        rest = staged(rest.join(found.select(F.col("b").alias("node")), "node", "left_anti"), "rest")
+    return links
+
+
+#: Shingles alike to 0.8 (Jaccard) differ in about 0.15 of their fingerprints' bits. Candidates differ in at most so many
+#: of 64, and of 128; they are then verified.
+SIMILARITY, SIMILAR_RADIUS, SIMILAR_WIDE_RADIUS = 0.8, 12, 26
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """``id_col, component_id``: groups linked by pairs of texts whose runs of ``size`` words are alike (Jaccard).
+
+    Candidates come from 128-bit fingerprints, hence a pair may be missed that chance holds apart; what is linked is
+    verified. Null and empty texts are alike.
+    """
+    prints = staged(fingerprints(docs, id_col, text_col, size, wide=True).withColumn("node", F.xxhash64("fp", "fp2")), "prints")
+    nodes = staged(prints.groupBy("node", "fp", "fp2").agg(F.min("id").alias("least")), "nodes")
+    labels = staged(component_labels(links(nodes, SIMILAR_RADIUS, SIMILAR_WIDE_RADIUS)), "candidates")
+    both = labels.unionByName(labels.select(F.col("label").alias("node"), "label")).distinct()
+    own = prints.join(nodes.select("node", "least"), "node").where(F.col("id").eqNullSafe(F.col("least")))
+    own = own.join(both, "node").select("label", "node", "fp", "sketch").dropDuplicates(["node"])
+    final = component_labels(verified_links(own, similarity)).withColumnRenamed("node", "_node")
+    nodes = nodes.join(final, F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("label", "node").alias("label"))
+    nodes = staged(nodes, "labelled")
+    groups = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
+    nodes = staged(nodes.join(groups, "label").select("node", "component_id"), "components")
+    return prints.select("id", "node").join(nodes, "node").select(F.col("id").alias(id_col), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates, that with the smallest id; all columns stay."""
+    groups = similar_groups(docs, id_col, text_col, size, similarity)
     gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"))
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -133,6 +133,32 @@ def test_near_copies_go(spark):
     assert sorted(r["doc_id"] for r in simhash_dedup.drop_near_copies(docs(spark, rows)).collect()) == [1, 3, 4, 5]
 
 
+def test_similar_groups_are_verified(spark, monkeypatch):
+    """Copies of one text with 1 to 40 changed words: those alike to 0.8 go with the original, the others stay."""
+    rng = random.Random(9)
+    words = prose(200, 60).split()
+    rows = [(0, " ".join(words))]
+    for i in range(1, 41):
+        w = words.copy()
+        for k in rng.sample(range(200), i):
+            w[k] = f"new{i}x{k}"
+        rows.append((i, " ".join(w)))
+    sets = [set(simhash_dedup.shingles(t, 5)) for _, t in rows]
+    like = lambda a, b: len(a & b) / len(a | b)
+    want = groups_of(sets, lambda a, b: like(a, b) >= 0.8)
+    for limit in (64, 3):
+        monkeypatch.setattr(simhash_dedup, "SMALL_GROUP", limit)
+        got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_groups(docs(spark, rows)).collect()}
+        assert all(got[i] == i for i in range(41) if max(like(sets[i], s) for j, s in enumerate(sets) if j != i) < 0.8)
+        assert sum(got[i] == want[i] for i in range(41)) >= 39
+
+
+def test_sketch_likeness():
+    a, b = (simhash_dedup.wide_fingerprint(prose(n, 1), 1)[2] for n in (150, 120))
+    x, y = (set(prose(n, 1).split()) for n in (150, 120))
+    assert simhash_dedup.likeness(a, b) == pytest.approx(len(x & y) / len(x | y))
+
+
 # --- WARC
 def test_warc_round_trip(spark, tmp_path):
     html = ["<p>a</p>", "<p>a</p>", None, "", "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n", "é\r\n\r\n", "x" * 200_000, "<p>a</p>"]
