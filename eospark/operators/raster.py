@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eospark.functions.arrays import u
 
+#: The luma weights of red, green and blue.
 GRAY = (0.2989, 0.5870, 0.1140)
 
 

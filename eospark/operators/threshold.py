@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from eospark.functions.arrays import div0, div_nan
 from eospark.operators.global_order import global_cumsum
 
-#: 200 thresholds from just below 0 to just above 1.
+#: 200 thresholds from just below 0 to just above 1.
 GRID = [-1e-7, *[i / 199 for i in range(1, 199)], 1 + 1e-7]
 #: "At 0.5" is the first threshold that is not below it.
 AT_HALF = 100
