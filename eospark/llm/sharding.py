@@ -89,10 +89,11 @@ def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
         F.unhex(F.sha2(text, 256)).alias("grp"),
     )
     slim = staged(slim, "slim")
-    groups = slim.groupBy("grp").agg(F.count(F.lit(1)).alias("copies"))
-    slim = slim.join(groups, "grp")
-    linked = global_index(slim.where("copies > 1"), [F.col("grp"), F.col("id")])
-    single = global_index(slim.where("copies = 1").drop("grp", "copies"), [F.col("id")])
+    # Written first, so that both sides of the join are plain exchanges and Spark can split a hot group.
+    groups = staged(slim.groupBy("grp").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "groups")
+    slim = staged(slim.join(groups, "grp", "left"), "tagged")
+    linked = global_index(slim.where("copies is not null").drop("copies"), [F.col("grp"), F.col("id")])
+    single = global_index(slim.where("copies is null").drop("grp", "copies"), [F.col("id")])
     n_linked, n_single = linked.count(), single.count()
     sizes = _sizes(n_linked + n_single, shards)
     # Dealt in turn, a shard has no more linked rows than its size.
