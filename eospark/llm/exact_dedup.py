@@ -111,6 +111,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows = _with_ranks(src, rows, contents, clashing, id_type, hash_bits)
     keys = ["recipe", "ranks"]
     groups = rows.groupBy(*keys).agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # Written first, so that both sides of the join are plain exchanges and Spark can split a hot group.
+    groups = staged(groups, "groups")
     return rows.join(groups, keys).select(
         F.col("id").alias(id_col),
         "keep_id",
