@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CONF = "spark.checkpoint.dir"
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,7 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/eospark/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/eospark/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this driver has made so far, and say how many.
+
+    To be called once the results that are wanted have been written, as those results are still lazy before.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    gone = 0
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

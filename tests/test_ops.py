@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from eospark.functions import storage
 from eospark.functions.arrays import u
 from eospark.jobs import pipeline
 from eospark.operators import project as P
@@ -31,6 +32,13 @@ def test_global_cumsum(spark):
     assert global_index(df.where("false"), [F.col("id")]).count() == 0
 
 
+def test_intermediate_tables_can_be_cleared(spark):
+    before = global_index(spark.range(5), [F.col("id")])
+    assert before.count() == 5 and storage.clear(spark) >= 1 and storage.clear(spark) == 0
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist|FAILED_READ_FILE"):
+        before.count()
+
+
 def test_filters(spark):
     df = spark.createDataFrame([("a", 1, True, "a"), ("b", 2, False, "a")], "s string, n int, b boolean, t string")
     assert [P.filter_spec(df, x).count() for x in ("", "s=a", "int:n=2", "bool:b=true", "key:s=t", None)] == [2, 1, 1, 1, 1, 2]
