@@ -6,18 +6,21 @@ score differences within a pair are penalised, so that the mention of a group do
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: At most so many labelled rows of either label are fitted; they are taken in the order of a hash of the id.
-MAX_ROWS_EACH = 5000
+MAX_ROWS_EACH = 3000
 #: Features are hashed to so many places; of those, at most MAX_FEATURES with the clearest difference are fitted.
 SPACE, MAX_FEATURES, MIN_Z = 1 << 20, 1500, 3.0
+STEPS = 300
 THRESHOLD = 0.3
 CACHE_WORDS = 400_000
 _EDGES = ".,;:!?\"'()[]{}*%&$#|<>-_«»¿¡"
@@ -104,7 +107,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray | None, np.ndar
     change = matrix([(r[3], r[4]) for r in both]) - matrix([(r[1], r[2]) for r in both]) if both else np.zeros((0, len(chosen)), np.float32)
     w, b = np.zeros(len(chosen)), 0.0
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
-    for step in range(1, 301):
+    for step in range(1, STEPS + 1):
         s = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
         g = x.T @ (s - label) / len(label) + 1e-4 * w
         if len(change):
@@ -150,23 +153,33 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(rows, float(share))
 
 
+class _Weights(dict):
+    """The summed weight of each token; made once a task, and started anew when it holds too many."""
+
+    def __init__(self, weights: dict[int, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, token: str) -> float:
+        self[token] = x = sum(self.weights.get(f, 0.0) for f in word_features(token))
+        return x
+
+    def scores(self, texts, bias: float) -> np.ndarray:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        # Exact sums, so that the order of a set's tokens does not matter.
+        sums = [math.fsum(map(self.__getitem__, set((t or "").lower().split()))) for t in texts]
+        return 1 / (1 + np.exp(-np.clip(np.array(sums, np.float64) + bias, -30, 30)))
+
+
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, score``: from 0 to 1, of every whole text; null and empty texts get the score of no words at all."""
     weights, bias = model["weights"], model["bias"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        class Weights(dict):
-            def __missing__(self, token: str) -> float:
-                self[token] = x = sum(weights.get(f, 0.0) for f in word_features(token))
-                return x
-
-        known = Weights()
+        known = _Weights(weights)
         for batch in batches:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            sums = [sum(map(known.__getitem__, sorted(set((t or "").lower().split())))) for t in batch.column(1).to_pylist()]
-            s = 1 / (1 + np.exp(-np.clip(np.array(sums, np.float64) + bias, -30, 30)))
-            yield pa.record_batch([batch.column(0), pa.array(s)], ["id", "score"])
+            yield pa.record_batch([batch.column(0), pa.array(known.scores(batch.column(1).to_pylist(), bias))], ["id", "score"])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
@@ -183,17 +196,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     weights, bias = model["weights"], model["bias"]
 
     @F.pandas_udf("double")
-    def toxic(texts):
-        import pandas as pd
-
-        known: dict[str, float] = {}
-
-        def weight(token: str) -> float:
-            if token not in known:
-                known[token] = sum(weights.get(f, 0.0) for f in word_features(token))
-            return known[token]
-
-        sums = [sum(map(weight, sorted(set((t or "").lower().split())))) for t in texts]
-        return pd.Series(1 / (1 + np.exp(-np.clip(np.array(sums, np.float64) + bias, -30, 30))), dtype="float64")
+    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = _Weights(weights)
+        for texts in batches:
+            yield pd.Series(known.scores(texts, bias), dtype="float64")
 
     return docs.where(toxic(F.col(text_col).cast("string")) < threshold)
