@@ -276,7 +276,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = component_labels(links(nodes, radius, block=block)).withColumnRenamed("node", "_node")
     nodes = nodes.join(labels, F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     nodes = staged(nodes, "labelled")
-    groups = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
+    # Written first, so that both sides of the join are plain exchanges and Spark can split a hot component.
+    groups = staged(nodes.groupBy("label").agg(F.min("least").alias("component_id")), "groups")
     nodes = staged(nodes.join(groups, "label").select("node", "component_id"), "components")
     return prints.join(nodes, "node").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
@@ -303,7 +304,8 @@ def verified_links(members: DataFrame, similarity: float, rounds: int = 8) -> Da
     nearest to the majority of the fingerprints; those that are not like it get a centre of their own, and so on, as
     long as there are rounds and new members are found.
     """
-    size = members.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
+    members = staged(members, "candidates")
+    size = staged(members.groupBy("label").agg(F.count(F.lit(1)).alias("members")), "sizes")
     members = staged(members.join(size, "label"), "members")
     small = members.where(F.col("members") <= SMALL_GROUP)
     a = small.select("label", F.col("node").alias("a"), F.col("sketch").alias("sa"))
@@ -349,7 +351,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     final = component_labels(verified_links(own, similarity)).withColumnRenamed("node", "_node")
     nodes = nodes.join(final, F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     nodes = staged(nodes, "labelled")
-    groups = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
+    # Written first, so that both sides of the join are plain exchanges and Spark can split a hot component.
+    groups = staged(nodes.groupBy("label").agg(F.min("least").alias("component_id")), "groups")
     nodes = staged(nodes.join(groups, "label").select("node", "component_id"), "components")
     return prints.select("id", "node").join(nodes, "node").select(F.col("id").alias(id_col), "component_id")
 
