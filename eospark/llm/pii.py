@@ -8,7 +8,6 @@ reconciled over the whole text.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
