@@ -10,7 +10,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -23,8 +25,8 @@ END = "\r\n\r\n"
 VERSION = "WARC/1.1"
 #: Archives are read file by file; the writer starts a new one after so many records.
 RECORDS_PER_FILE = 2000
-DATE = "2024-01-01T00:00:00Z"
 RECORD = "id string, type string, url string, digest string, bytes bigint, refers_to string, refers_url string, payload binary"
+_NAMES = [f.split()[0] for f in RECORD.split(", ")]
 _ID = "urn:x-page:"
 
 
@@ -38,11 +40,16 @@ def _safe(url: str) -> str:
     return quote(url, safe="".join(map(chr, range(33, 127))))
 
 
-def record(rec: dict) -> bytes:
+def now() -> str:
+    """The time as archives hold it; taken once, on the driver, so that a task run again writes the same."""
+    return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def record(rec: dict, date: str) -> bytes:
     """A record with fresh headers. A revisit has no payload of its own and names the response it repeats."""
     revisit = rec["type"] == "revisit"
     body = b"" if revisit else rec["payload"] or b""
-    lines = [VERSION, f"WARC-Type: {rec['type']}", f"WARC-Record-ID: <{_ID}{rec['id']}>", f"WARC-Date: {DATE}"]
+    lines = [VERSION, f"WARC-Type: {rec['type']}", f"WARC-Record-ID: <{_ID}{rec['id']}>", f"WARC-Date: {date}"]
     if rec["url"] is not None:
         lines.append(f"WARC-Target-URI: {_safe(rec['url'])}")
     lines.append(f"WARC-Payload-Digest: sha1:{rec['digest']}")
@@ -86,8 +93,14 @@ def from_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     )
 
 
+def _write(values: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
+    writer = values.select(F.col("value").cast("string").alias("value")).write.option("lineSep", END).option("compression", "gzip")
+    writer.option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", records_per_file).text(path)
+
+
 def write_archives(records: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
     """Write records as compressed archives under ``path``; a missing digest is computed."""
+    date = now()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -95,76 +108,100 @@ def write_archives(records: DataFrame, path: str, records_per_file: int = RECORD
                 out = []
                 for rec in whole.slice(at, 200).to_pylist():
                     rec["digest"] = rec["digest"] or payload_digest(rec["payload"] or b"")
-                    out.append(record(rec))
+                    out.append(record(rec, date))
                 yield pa.record_batch([pa.array(out, pa.binary())], ["value"])
 
-    text = records.select(*[f.split()[0] for f in RECORD.split(", ")]).mapInArrow(run, "value binary")
-    writer = text.select(F.col("value").cast("string").alias("value")).write.option("lineSep", END).option("compression", "gzip")
-    writer.option("maxRecordsPerFile", records_per_file).text(path)
+    _write(records.select(*_NAMES).mapInArrow(run, "value binary"), path, records_per_file)
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select(F.col("path").alias("file"), "content")
+
+
+def _unpacked(content: pa.Scalar) -> bytes:
+    buffer = content.as_buffer()
+    return zlib.decompress(buffer, 31) if buffer is not None and len(buffer) else b""
+
+
+def _own(head: dict[str, str], name: str) -> str | None:
+    return head[name].strip("<>").removeprefix(_ID) if name in head else None
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """The records of all archives under ``path``; a file is read by one task. Without payloads only headers leave it."""
+    """The records of all archives under ``path``, with the ``file`` they are in and their ``place`` there.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
+    A file is read by one task; the writer bounds its records. Without payloads only headers leave the task.
+    """
+    kinds = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int32()]
+
+    def made(file: str, rows: list[tuple]) -> pa.RecordBatch:
+        cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+        return pa.record_batch([*cols, pa.array([file] * len(rows))], [*_NAMES, "place", "file"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                data = zlib.decompress(content.as_buffer(), 31) if len(content.as_buffer()) else b""
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows: list[tuple] = []
-
-                def made(rows: list[tuple]) -> pa.RecordBatch:
-                    kinds = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.string(), pa.binary()]
-                    cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                    return pa.record_batch(cols, [f.split()[0] for f in RECORD.split(", ")])
-
-                for head, payload in parse(data):
-                    own = lambda name, head=head: head[name].strip("<>").removeprefix(_ID) if name in head else None
+                for place, (head, payload) in enumerate(parse(_unpacked(content))):
                     kept = bytes(payload) if with_payload else None
                     digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                    rows.append((own("WARC-Record-ID"), head["WARC-Type"], head.get("WARC-Target-URI"), digest, len(payload), own("WARC-Refers-To"), head.get("WARC-Refers-To-Target-URI"), kept))
+                    refers = _own(head, "WARC-Refers-To"), head.get("WARC-Refers-To-Target-URI")
+                    rows.append((_own(head, "WARC-Record-ID"), head["WARC-Type"], head.get("WARC-Target-URI"), digest, len(payload), *refers, kept, place))
                     if len(rows) == 500:
-                        yield made(rows)
+                        yield made(file, rows)
                         rows = []
                 if rows:
-                    yield made(rows)
+                    yield made(file, rows)
+
+    return _files(spark, path).mapInArrow(run, f"{RECORD}, place int, file string")
+
+
+def rewrite_archives(spark: SparkSession, source: str, resolved: DataFrame, path: str) -> None:
+    """Write the archives under ``source`` again, with fresh headers and without the payloads of revisit records.
+
+    Each archive meets the list of its own revisits, so what moves are compressed archives and not records.
+    """
+    seen = resolved.where("type = 'revisit'").groupBy("file").agg(F.collect_list(F.struct("place", "refers_to", "refers_url")).alias("seen"))
+    date = now()
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select("content").mapInArrow(run, RECORD)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content, seen in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                again = {s["place"]: s for s in seen or []}
+                out: list[bytes] = []
+                for place, (head, payload) in enumerate(parse(_unpacked(content))):
+                    rec = {"id": _own(head, "WARC-Record-ID"), "type": head["WARC-Type"], "url": head.get("WARC-Target-URI"), "payload": bytes(payload)}
+                    rec |= {"digest": head["WARC-Payload-Digest"].removeprefix("sha1:"), "refers_to": _own(head, "WARC-Refers-To")}
+                    rec["refers_url"] = head.get("WARC-Refers-To-Target-URI")
+                    if place in again:
+                        rec |= again[place] | {"type": "revisit"}
+                    out.append(record(rec, date))
+                    if len(out) == 200:
+                        yield pa.record_batch([pa.array(out, pa.binary())], ["value"])
+                        out = []
+                if out:
+                    yield pa.record_batch([pa.array(out, pa.binary())], ["value"])
+
+    files = _files(spark, source).join(seen, "file", "left").select("content", "seen")
+    _write(files.mapInArrow(run, "value binary"), path)
 
 
 def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``id, type, digest, bytes, refers_to, refers_url``: of the records with one digest and length, that with the
+    """``file, place, id, type, digest, bytes, refers_to, refers_url``: of the records with one digest and length, that with the
     smallest id (as a number where it is one) is the response, the others revisit it. Payloads shorter than ``min_bytes``
     stay responses. Records that repeat the smallest id stay responses too. Only headers are shuffled.
     """
     number = F.coalesce(F.expr("try_cast(id as bigint)"), F.lit((1 << 63) - 1))
-    h = headers.select("id", "url", "digest", "bytes").withColumn("k", F.struct(number.alias("n"), F.col("id").alias("id"), F.col("url").alias("url")))
+    h = headers.select("file", "place", "id", "url", "digest", "bytes").withColumn("k", F.struct(number.alias("n"), F.col("id").alias("id"), F.col("url").alias("url")))
     first = h.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.min("k").alias("first"))
     out = h.join(first, ["digest", "bytes"], "left")
     again = F.col("first").isNotNull() & (F.col("first.id") != F.col("id"))
     return out.select(
-        "id", F.when(again, "revisit").otherwise("response").alias("type"), "url", "digest", "bytes",
+        "file", "place", "id", F.when(again, "revisit").otherwise("response").alias("type"), "url", "digest", "bytes",
         F.when(again, F.col("first.id")).alias("refers_to"), F.when(again, F.col("first.url")).alias("refers_url"),
     )
 
 
-def deduplicate(records: DataFrame, resolved: DataFrame) -> DataFrame:
-    """``records`` with the types that ``resolved`` gives them, to be written with fresh headers.
-
-    Only the ids of revisits are joined to the records, whose payloads are dropped there.
-    """
-    seen = resolved.where("type = 'revisit'").select(F.col("id").alias("_id"), F.col("digest").alias("_d"), F.col("refers_to").alias("_to"), F.col("refers_url").alias("_url")).distinct()
-    r = records.join(seen, (F.col("id") == F.col("_id")) & (F.col("digest") == F.col("_d")), "left")
-    again = F.col("_id").isNotNull()
-    return r.select(
-        "id", F.when(again, "revisit").otherwise(F.col("type")).alias("type"), "url", "digest", "bytes",
-        F.when(again, F.col("_to")).alias("refers_to"), F.when(again, F.col("_url")).alias("refers_url"),
-        F.when(~again, F.col("payload")).alias("payload"),
-    )
-
-
 def full_headers(headers: DataFrame) -> DataFrame:
     """Headers with ``bytes`` of the full payload: revisit records take it from the response they refer to."""
     heads = headers.select("id", "type", "digest", "bytes", "refers_to")
@@ -181,9 +218,8 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     """
     spark = pages.sparkSession
     write_archives(from_pages(pages, id_col, url_col, payload_col), f"{path}/raw")
-    records = read_archives(spark, f"{path}/raw")
     resolved = resolve(read_archives(spark, f"{path}/raw", with_payload=False), min_bytes)
-    write_archives(deduplicate(records, resolved), f"{path}/deduplicated")
+    rewrite_archives(spark, f"{path}/raw", resolved, f"{path}/deduplicated")
     return f"{path}/deduplicated"
 
 
