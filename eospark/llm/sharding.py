@@ -112,7 +112,7 @@ def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
         (F.col("through") - F.col("n") - F.element_at(before, F.col("shard") + 1)).alias("base"),
     )
     starts = linked.groupBy("grp").agg(F.min("idx").alias("start"))
-    ranges = ranges.join(starts, "grp").withColumn("lo", F.col("lo") + F.col("start")).drop("start")
+    ranges = staged(ranges.join(starts, "grp").withColumn("lo", F.col("lo") + F.col("start")).drop("start"), "ranges")
     at = (F.col("l.idx") >= F.col("r.lo")) & (F.col("l.idx") < F.col("r.lo") + F.col("r.n"))
     placed = linked.alias("l").join(ranges.alias("r"), (F.col("l.grp") == F.col("r.grp")) & at).select(
         "l.id", "l.size", "l.crc", "r.shard", (F.col("r.base") + F.col("l.idx") - F.col("r.lo")).alias("slot")
