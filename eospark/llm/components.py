@@ -24,7 +24,8 @@ def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node, label`` for every node of ``edges`` (``a, b``) but the smallest of its component, which is the label.
 
     Loops and repeated edges do no harm. Steps repeat until nothing changes; each is written to the shared folder. All
-    steps are joins on a node with its one smallest neighbour, so a node with very many neighbours is split by Spark.
+    steps are joins of a node with its one smallest neighbour, so nothing is gathered; yet the links of a node with very
+    many neighbours pass through one task, as two numbers a link.
     """
     g, l = F.greatest("a", "b"), F.least("a", "b")
     edges = staged(edges.where("a <> b").select(g.alias("a"), l.alias("b")).distinct(), "edges")
