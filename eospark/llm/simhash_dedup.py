@@ -25,6 +25,8 @@ BLOCK = 4096
 _PAIRS = 1 << 21
 #: Hashes in a sketch, and the members up to which all pairs of a candidate group are verified.
 SKETCH, SMALL_GROUP = 256, 64
+#: Members and shingles in a block of whole sets, about; larger groups are settled by two blocks at a time.
+SET_BLOCK, SET_SHINGLES = 1024, 1 << 18
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
@@ -53,17 +55,17 @@ def fingerprint(text: str | None, size: int = 4) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def wide_fingerprint(text: str | None, size: int = 5) -> tuple[int, int, np.ndarray]:
+def wide_fingerprint(text: str | None, size: int = 5) -> tuple[int, int, np.ndarray, int]:
     """A 128-bit SimHash, as two numbers of 64 bits, and the least ``SKETCH`` distinct hashes of the shingles, sorted.
 
-    A text of at most that many shingles has all of them in its sketch.
+    A text of at most that many shingles has all of them in its sketch. The last number is that of all shingles.
     """
     hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x, SEED) for x in shingles(text, size)]), np.uint8).reshape(-1, 16)
     votes = np.zeros(128, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         votes += np.unpackbits(hashes[at : at + (1 << 15)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     first, second = np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")
-    return int(first), int(second), np.unique(hashes[:, :4].copy().view("<u4").ravel())[:SKETCH]
+    return int(first), int(second), np.unique(hashes[:, :4].copy().view("<u4").ravel())[:SKETCH], len(hashes)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -75,7 +77,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, wide: bool = False) -> DataFrame:
-    """``id, fp`` (the fingerprint's bits as a long), and if ``wide`` 64 more bits ``fp2`` and a ``sketch``.
+    """``id, fp`` (the fingerprint's bits as a long), and if ``wide`` also 64 more bits ``fp2``, a ``sketch``, the number of
+    shingles ``n`` and a hash of the text, ``text_key``.
 
     Null is empty, and empty texts have fingerprint zero.
     """
@@ -92,10 +95,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 found = [wide_fingerprint(t, size) for t in texts]
                 cols = [pa.array(np.array([f[i] for f in found], np.uint64).view(np.int64)) for i in (0, 1)]
                 cols.append(pa.array([f[2].view(np.int32) for f in found], pa.list_(pa.int32())))
-                yield pa.record_batch([batch.column(0), *cols], ["id", "fp", "fp2", "sketch"])
+                cols.append(pa.array([f[3] for f in found], pa.int64()))
+                yield pa.record_batch([batch.column(0), *cols, batch.column(2)], ["id", "fp", "fp2", "sketch", "n", "text_key"])
 
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    more = ", fp2 bigint, sketch array<int>" if wide else ""
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *([_text_key(text_col).alias("text_key")] if wide else []))
+    more = ", fp2 bigint, sketch array<int>, n bigint, text_key binary" if wide else ""
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, fp bigint{more}")
 
 
@@ -284,51 +288,188 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def _alike(rows: DataFrame, similarity: float) -> DataFrame:
-    """``a, b`` of the rows (``a, sa, b, sb``) whose sketches are alike."""
+def verdict(a: np.ndarray, b: np.ndarray, similarity: float, margin: float) -> bool | None:
+    """Whether two sketches' texts are alike; None if the sketches are samples and within ``margin`` of ``similarity``."""
+    found = likeness(a, b)
+    sampled = len(a) == SKETCH or len(b) == SKETCH
+    return None if sampled and abs(found - similarity) < margin else found >= similarity
+
+
+def _alike(rows: DataFrame, similarity: float, margin: float) -> DataFrame:
+    """``label, a, b, alike`` of the rows (``label, a, sa, b, sb``): the verdict of their sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sketches = [batch.column(i) for i in (1, 3)]
+            sketches = [batch.column(i) for i in (2, 4)]
             values = lambda c, k: c[k].values.to_numpy(zero_copy_only=False).view(np.uint32)
-            near = [likeness(values(sketches[0], k), values(sketches[1], k)) >= similarity for k in range(batch.num_rows)]
-            yield pa.record_batch([batch.column(0), batch.column(2)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+            said = [verdict(values(sketches[0], k), values(sketches[1], k), similarity, margin) for k in range(batch.num_rows)]
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(3), pa.array(said, pa.bool_())], ["label", "a", "b", "alike"])
+
+    return rows.select("label", "a", "sa", "b", "sb").mapInArrow(run, "label bigint, a bigint, b bigint, alike boolean")
+
+
+def set_links(sets: list[np.ndarray], joint: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Places of alike pairs, as a forest that joins what all alike pairs join; equal ``joint`` are joined already.
+
+    Sets that are alike share one of their rarest elements (prefix filter), here by counts among ``sets``. What is joined
+    already is not compared again.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    ends = np.cumsum(size)
+    starts = ends - size
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(count, kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    token, count = rank[token], count[order]
+    heads = []
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+        token[a:b].sort()
+        # An alike set holds at least this share of the set, less what floats may lose.
+        head = token[a : b - int(np.ceil(similarity * (b - a) - 1e-9)) + 1] if b > a else token[a:a]
+        heads.append(head[count[head] > 1])
+    where = np.repeat(np.arange(len(sets)), [len(h) for h in heads])
+    flat = np.concatenate(heads)
+    by = np.argsort(flat, kind="stable")
+    where = where[by]
+    begin = np.searchsorted(flat[by], np.arange(len(count) + 1))
+    root = np.unique(joint, return_inverse=True)[1]
+    mark, near = np.zeros(len(count), bool), np.zeros(len(sets), bool)
+    links: list[tuple[int, int]] = []
+    for i in range(1, len(sets)):
+        near[:] = False
+        for t in heads[i].tolist():
+            near[where[begin[t] : begin[t + 1]]] = True
+        others = np.flatnonzero(near[:i] & (root[:i] != root[i]))
+        others = others[np.minimum(size[others], size[i]) >= similarity * np.maximum(size[others], size[i]) - 1e-9]
+        if not len(others):
+            continue
+        mark[token[starts[i] : ends[i]]] = True
+        # First one of each component, as most often that settles all of it.
+        first = np.unique(root[others], return_index=True)[1]
+        step = max(1, (1 << 21) // int(size[others].max()))
+        rest = np.delete(others, first)
+        for part in (others[first], *(rest[k : k + step] for k in range(0, len(rest), step))):
+            part = part[root[part] != root[i]]
+            if not len(part):
+                continue
+            at = np.cumsum(size[part]) - size[part]
+            place = np.arange(int(size[part].sum())) + np.repeat(starts[part] - at, size[part])
+            shared = np.add.reduceat(mark[token[place]].astype(np.int64), at)
+            for j in part[shared / (size[part] + size[i] - shared) >= similarity].tolist():
+                if root[j] != root[i]:
+                    links.append((i, j))
+                    root[root == root[j]] = root[i]
+        mark[token[starts[i] : ends[i]]] = False
+    return links
+
+
+def _settle(similarity: float):
+    """Links of the rows ``k, joint, node, hashes``, sorted by k: all pairs under a key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def found() -> list[tuple[int, int]]:
+            rows = pa.Table.from_batches(held)
+            node, joint = rows["node"].to_numpy(), rows["joint"].to_numpy()
+            sets = [x.values.to_numpy() for part in rows["hashes"].chunks for x in part]
+            return [(int(node[i]), int(node[j])) for i, j in set_links(sets, joint, similarity)]
+
+        def table(links: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, links = batch.column(0).to_numpy(), []
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and held[-1].column(0)[0].as_py() != key[a]:
+                    links += found()
+                    held.clear()
+                held.append(batch.slice(a, b - a))
+            yield table(links)
+        if held:
+            yield table(found())
 
-    return rows.select("a", "sa", "b", "sb").mapInArrow(run, "a bigint, b bigint")
+    return run
+
+
+def _text_key(text_col: str):
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+
+
+def whole_sets(docs: DataFrame, wanted: DataFrame, text_col: str, size: int) -> DataFrame:
+    """``text_key, hashes``: the distinct shingle hashes, of 64 bits, of the texts whose keys are in ``wanted``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hash_of = xxhash.xxh3_64_intdigest
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                sets = [np.unique(np.array([hash_of(x, SEED) for x in shingles(t, size)], np.uint64)).view(np.int64) for t in batch.column(1).to_pylist()]
+                yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["text_key", "hashes"])
 
+    rows = docs.select(_text_key(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.join(wanted.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"])
+    return rows.mapInArrow(run, "text_key binary, hashes array<bigint>")
 
-def verified_links(members: DataFrame, similarity: float, rounds: int = 8) -> DataFrame:
-    """``a, b``: alike pairs within candidate groups (``label, node, fp, sketch``).
 
-    In groups of at most ``SMALL_GROUP`` all pairs are compared. Larger groups are compared with their centre, the member
-    nearest to the majority of the fingerprints; those that are not like it get a centre of their own, and so on, as
-    long as there are rounds and new members are found.
+def exact_links(members: DataFrame, docs: DataFrame, similarity: float, text_col: str, size: int) -> DataFrame:
+    """``a, b``: a forest of the alike pairs within groups (``label, node, joint, core, n, text_key``), by whole sets.
+
+    Each group is dealt to blocks, and each two blocks are compared by one task. Pairs within the core, which is joined
+    already, are left out; a group that is all core costs nothing.
+    """
+
+    def blocks(of) -> F.Column:
+        need = F.greatest(F.sum(F.when(of, 1).otherwise(0)) / SET_BLOCK, F.sum(F.when(of, F.col("n")).otherwise(0)) / SET_SHINGLES)
+        return F.ceil(need).cast("int")
+
+    plan = members.groupBy("label").agg(blocks(~F.col("core")).alias("rest"), blocks(F.col("core")).alias("cores")).where("rest > 0")
+    members = staged(members.join(staged(plan, "blocks"), "label"), "open")
+    sets = staged(whole_sets(docs, members, text_col, size), "sets")
+    every = F.col("rest") + F.col("cores")
+    own = F.when(F.col("core"), F.col("rest") + F.pmod(F.xxhash64("node"), F.col("cores"))).otherwise(F.pmod(F.xxhash64("node"), F.col("rest"))).cast("int")
+    other = F.when(F.col("core"), F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(
+        F.when(every == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), every - 1), lambda x: x != F.col("i")))
+    )
+    rows = members.withColumn("i", own).select("label", "node", "joint", "text_key", "i", F.explode(other).alias("j"))
+    rows = rows.withColumn("k", F.xxhash64("label", F.least("i", "j"), F.greatest("i", "j"))).join(sets, "text_key")
+    return rows.select("k", "joint", "node", "hashes").repartition("k").sortWithinPartitions("k").mapInArrow(_settle(similarity), "a bigint, b bigint")
+
+
+def verified_links(members: DataFrame, docs: DataFrame, similarity: float, text_col: str = "text", size: int = 5) -> DataFrame:
+    """``a, b``: links that join what all alike pairs within candidate groups (``label, node, fp, sketch, n, text_key``) join.
+
+    In groups of at most ``SMALL_GROUP`` all pairs are compared by their sketches. A larger group is compared with its
+    centre, the member nearest to the majority of the fingerprints. What is clearly like the centre is the group's core;
+    all pairs but those within it are then compared by their whole sets.
     """
+    margin = 4 * (similarity * (1 - similarity) / SKETCH) ** 0.5
     members = staged(members, "candidates")
-    size = staged(members.groupBy("label").agg(F.count(F.lit(1)).alias("members")), "sizes")
-    members = staged(members.join(size, "label"), "members")
+    count = staged(members.groupBy("label").agg(F.count(F.lit(1)).alias("members")), "sizes")
+    members = staged(members.join(count, "label"), "members")
     small = members.where(F.col("members") <= SMALL_GROUP)
     a = small.select("label", F.col("node").alias("a"), F.col("sketch").alias("sa"))
     b = small.select("label", F.col("node").alias("b"), F.col("sketch").alias("sb"))
-    links = _alike(a.join(b, "label").where("a < b"), similarity)
-    rest = members.where(F.col("members") > SMALL_GROUP).select("label", "node", "fp", "sketch")
-    for _ in range(rounds):
-        if rest.isEmpty():
-            break
-        half = F.count(F.lit(1)) / 2
-        ones = [F.sum(F.shiftrightunsigned("fp", k).bitwiseAND(1)) for k in range(64)]
-        word = F.lit(0).cast("bigint")
-        for k, n in enumerate(ones):
-            word = word.bitwiseOR(F.when(n > half, F.shiftleft(F.lit(1).cast("bigint"), k)).otherwise(0))
-        majority = staged(rest.groupBy("label").agg(word.alias("majority")), "majority")
-        centre = rest.join(majority, "label").groupBy("label").agg(F.min_by("node", F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("majority"))), "node")).alias("a"))
-        centre = staged(centre.join(rest.select("label", F.col("node").alias("a"), F.col("sketch").alias("sa")), ["label", "a"]), "centre")
-        found = staged(_alike(rest.join(centre, "label").select("a", "sa", F.col("node").alias("b"), F.col("sketch").alias("sb")), similarity), "found")
-        links = links.unionByName(found.where("a <> b"))
-        if found.where("a <> b").isEmpty():
-            break
-        rest = staged(rest.join(found.select(F.col("b").alias("node")), "node", "left_anti"), "rest")
-    return links
+    links = _alike(a.join(b, "label").where("a < b"), similarity, 0.0).where("alike").select("a", "b")
+    large = members.where(F.col("members") > SMALL_GROUP).select("label", "node", "fp", "sketch", "n", "text_key")
+    half = F.count(F.lit(1)) / 2
+    ones = [F.sum(F.shiftrightunsigned("fp", k).bitwiseAND(1)) for k in range(64)]
+    word = F.lit(0).cast("bigint")
+    for k, n in enumerate(ones):
+        word = word.bitwiseOR(F.when(n > half, F.shiftleft(F.lit(1).cast("bigint"), k)).otherwise(0))
+    majority = staged(large.groupBy("label").agg(word.alias("majority")), "majority")
+    centre = large.join(majority, "label").groupBy("label").agg(F.min_by("node", F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("majority"))), "node")).alias("a"))
+    centre = staged(centre.join(large.select("label", F.col("node").alias("a"), F.col("sketch").alias("sa")), ["label", "a"]), "centre")
+    core = _alike(large.join(centre, "label").select("label", "a", "sa", F.col("node").alias("b"), F.col("sketch").alias("sb")), similarity, margin)
+    core = staged(core.where("alike"), "core")
+    links = links.unionByName(core.where("a <> b").select("a", "b"))
+    left = large.join(core.select(F.col("b").alias("node"), "a"), "node", "left")
+    left = left.select("label", "node", F.coalesce("a", "node").alias("joint"), F.col("a").isNotNull().alias("core"), "n", "text_key")
+    return links.unionByName(exact_links(staged(left, "left"), docs, similarity, text_col, size))
 
 
 #: Shingles alike to 0.8 (Jaccard) differ in about 0.15 of their fingerprints' bits. Candidates differ in at most so many
@@ -347,8 +488,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     labels = staged(component_labels(links(nodes, SIMILAR_RADIUS, SIMILAR_WIDE_RADIUS)), "candidates")
     both = labels.unionByName(labels.select(F.col("label").alias("node"), "label")).distinct()
     own = prints.join(nodes.select("node", "least"), "node").where(F.col("id").eqNullSafe(F.col("least")))
-    own = own.join(both, "node").select("label", "node", "fp", "sketch").dropDuplicates(["node"])
-    final = component_labels(verified_links(own, similarity)).withColumnRenamed("node", "_node")
+    own = own.join(both, "node").select("label", "node", "fp", "sketch", "n", "text_key").dropDuplicates(["node"])
+    final = component_labels(verified_links(own, docs, similarity, text_col, size)).withColumnRenamed("node", "_node")
     nodes = nodes.join(final, F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     nodes = staged(nodes, "labelled")
     # Written first, so that both sides of the join are plain exchanges and Spark can split a hot component.

@@ -159,6 +159,45 @@ def test_sketch_likeness():
     assert simhash_dedup.likeness(a, b) == pytest.approx(len(x & y) / len(x | y))
 
 
+def test_set_links_are_those_of_all_pairs():
+    rng = np.random.default_rng(3)
+    base = [rng.choice(1 << 40, 100, replace=False) for _ in range(3)]
+    sets = []
+    for b in base:
+        for _ in range(60):
+            drop = int(rng.integers(0, 25))
+            sets.append(np.unique(np.concatenate([b[drop:], rng.integers(1 << 41, 1 << 42, int(rng.integers(0, 12)))])))
+    sets = [sets[i] for i in rng.permutation(len(sets))] + [np.zeros(0, np.int64)]
+    found = simhash_dedup.set_links(sets, np.arange(len(sets)), 0.8)
+    like = lambda a, b: len(np.intersect1d(a, b)) / max(len(np.union1d(a, b)), 1)
+    assert all(like(sets[i], sets[j]) >= 0.8 for i, j in found)
+    want = groups_of(sets, lambda a, b: like(a, b) >= 0.8)
+    assert len(found) == len(sets) - len(set(want))
+
+
+def test_large_groups_are_settled(spark, monkeypatch):
+    """A chain of versions whose centre is unlike most: every link within the candidate group is found, block by block."""
+    words = prose(400, 61).split()
+    rows = []
+    for i in range(40):  # each one is alike to its next ones, but not to those far off
+        words = [f"v{i}x{k}" if k in (i * 9, i * 9 + 4) else w for k, w in enumerate(words)]
+        rows.append((i, " ".join(words)))
+    sets = [set(simhash_dedup.shingles(t, 5)) for _, t in rows]
+    members = [(7, i, i * 977, *simhash_dedup.wide_fingerprint(t)[2:4], hashlib.sha256(t.encode()).digest()) for i, t in rows]
+    members = spark.createDataFrame(
+        [(a, b, c, s.view(np.int32).tolist(), n, bytearray(h)) for a, b, c, s, n, h in members],
+        "label bigint, node bigint, fp bigint, sketch array<int>, n bigint, text_key binary",
+    )
+    want = groups_of(sets, lambda a, b: len(a & b) / len(a | b) >= 0.8)
+    assert len(set(want)) == 1 and len(sets[0] & sets[39]) / len(sets[0] | sets[39]) < 0.5
+    monkeypatch.setattr(simhash_dedup, "SMALL_GROUP", 3)
+    for block in (1024, 7):
+        monkeypatch.setattr(simhash_dedup, "SET_BLOCK", block)
+        links = simhash_dedup.verified_links(members, docs(spark, rows), 0.8)
+        labels = {r["node"]: r["label"] for r in components.component_labels(links).collect()}
+        assert labels == {i: 0 for i in range(1, 40)}
+
+
 # --- WARC
 def test_warc_round_trip(spark, tmp_path):
     html = ["<p>a</p>", "<p>a</p>", None, "", "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n", "é\r\n\r\n", "x" * 200_000, "<p>a</p>"]
