@@ -55,17 +55,21 @@ def fingerprint(text: str | None, size: int = 4) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def wide_fingerprint(text: str | None, size: int = 5) -> tuple[int, int, np.ndarray, int]:
-    """A 128-bit SimHash, as two numbers of 64 bits, and the least ``SKETCH`` distinct hashes of the shingles, sorted.
+def wide_fingerprint(text: str | None, size: int = 5) -> tuple[int, int, np.ndarray, int, int, int]:
+    """A 128-bit SimHash of the distinct shingles, as two numbers of 64 bits, and their least ``SKETCH`` hashes, sorted.
 
-    A text of at most that many shingles has all of them in its sketch. The last number is that of all shingles.
+    A text of at most that many shingles has all of them in its sketch. Then their number, and a 128-bit hash of their
+    set, as two numbers.
     """
-    hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x, SEED) for x in shingles(text, size)]), np.uint8).reshape(-1, 16)
+    joined = b"".join(sorted({xxhash.xxh3_128_digest(x, SEED) for x in shingles(text, size)}))
+    hashes = np.frombuffer(joined, np.uint8).reshape(-1, 16)
     votes = np.zeros(128, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         votes += np.unpackbits(hashes[at : at + (1 << 15)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     first, second = np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")
-    return int(first), int(second), np.unique(hashes[:, :4].copy().view("<u4").ravel())[:SKETCH], len(hashes)
+    sketch = np.unique(hashes[:, :4].copy().view("<u4").ravel())[:SKETCH]
+    whole = xxhash.xxh3_128_intdigest(joined, SEED)
+    return int(first), int(second), sketch, len(hashes), whole >> 64, whole & ((1 << 64) - 1)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -78,7 +82,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, wide: bool = False) -> DataFrame:
     """``id, fp`` (the fingerprint's bits as a long), and if ``wide`` also 64 more bits ``fp2``, a ``sketch``, the number of
-    shingles ``n`` and a hash of the text, ``text_key``.
+    distinct shingles ``n``, a hash of their set (``s1, s2``) and one of the text, ``text_key``.
 
     Null is empty, and empty texts have fingerprint zero.
     """
@@ -95,11 +99,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 found = [wide_fingerprint(t, size) for t in texts]
                 cols = [pa.array(np.array([f[i] for f in found], np.uint64).view(np.int64)) for i in (0, 1)]
                 cols.append(pa.array([f[2].view(np.int32) for f in found], pa.list_(pa.int32())))
-                cols.append(pa.array([f[3] for f in found], pa.int64()))
-                yield pa.record_batch([batch.column(0), *cols, batch.column(2)], ["id", "fp", "fp2", "sketch", "n", "text_key"])
+                cols += [pa.array(np.array([f[i] for f in found], np.uint64).view(np.int64)) for i in (3, 4, 5)]
+                yield pa.record_batch([batch.column(0), *cols, batch.column(2)], ["id", "fp", "fp2", "sketch", "n", "s1", "s2", "text_key"])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *([_text_key(text_col).alias("text_key")] if wide else []))
-    more = ", fp2 bigint, sketch array<int>, n bigint, text_key binary" if wide else ""
+    more = ", fp2 bigint, sketch array<int>, n bigint, s1 bigint, s2 bigint, text_key binary" if wide else ""
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, fp bigint{more}")
 
 
@@ -481,21 +485,29 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``id_col, component_id``: groups linked by pairs of texts whose runs of ``size`` words are alike (Jaccard).
 
     Candidates come from 128-bit fingerprints, hence a pair may be missed that chance holds apart; what is linked is
-    verified. Null and empty texts are alike.
+    verified, also if fingerprints are equal. Texts of equal sets of runs are one node. Null and empty texts are alike.
     """
-    prints = staged(fingerprints(docs, id_col, text_col, size, wide=True).withColumn("node", F.xxhash64("fp", "fp2")), "prints")
-    nodes = staged(prints.groupBy("node", "fp", "fp2").agg(F.min("id").alias("least")), "nodes")
+    prints, nodes = _similar(docs, id_col, text_col, size, similarity)
+    return prints.join(nodes, ["s1", "s2"]).select(F.col("id").alias(id_col), "component_id")
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """``id, s1, s2, text_key`` of all rows, and ``s1, s2, component_id`` of all sets of shingles."""
+    prints = staged(fingerprints(docs, id_col, text_col, size, wide=True), "prints")
+    # One row of those with the set stands for it; the sketch follows once candidates are known.
+    nodes = prints.groupBy("s1", "s2", "fp", "fp2", "n").agg(F.min("id").alias("least"), F.min("text_key").alias("text_key"))
+    nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     labels = staged(component_labels(links(nodes, SIMILAR_RADIUS, SIMILAR_WIDE_RADIUS)), "candidates")
     both = labels.unionByName(labels.select(F.col("label").alias("node"), "label")).distinct()
-    own = prints.join(nodes.select("node", "least"), "node").where(F.col("id").eqNullSafe(F.col("least")))
-    own = own.join(both, "node").select("label", "node", "fp", "sketch", "n", "text_key").dropDuplicates(["node"])
+    own = nodes.join(both, "node").select("label", "node", "n", "text_key")
+    own = prints.select("fp", "sketch", "text_key").join(own, "text_key").dropDuplicates(["node"])
     final = component_labels(verified_links(own, docs, similarity, text_col, size)).withColumnRenamed("node", "_node")
-    nodes = nodes.join(final, F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("label", "node").alias("label"))
+    nodes = nodes.join(final, F.col("node") == F.col("_node"), "left").select("s1", "s2", "least", F.coalesce("label", "node").alias("label"))
     nodes = staged(nodes, "labelled")
     # Written first, so that both sides of the join are plain exchanges and Spark can split a hot component.
     groups = staged(nodes.groupBy("label").agg(F.min("least").alias("component_id")), "groups")
-    nodes = staged(nodes.join(groups, "label").select("node", "component_id"), "components")
-    return prints.select("id", "node").join(nodes, "node").select(F.col("id").alias(id_col), "component_id")
+    nodes = staged(nodes.join(groups, "label").select("s1", "s2", "component_id"), "components")
+    return prints.select("id", "s1", "s2", "text_key"), nodes
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = SIMILARITY) -> DataFrame:

@@ -198,6 +198,17 @@ def test_large_groups_are_settled(spark, monkeypatch):
         assert labels == {i: 0 for i in range(1, 40)}
 
 
+def test_equal_fingerprints_are_verified(spark):
+    """A line repeated outvoted all else: two texts that share but that line are no copies, repeat counts do not matter."""
+    line, own = "the same short line here ", [" ".join(f"w{s}x{k}" for k in range(30)) for s in range(2)]
+    rows = [(i, line * 200 + t) for i, t in enumerate(own)] + [(2, line * 3 + own[0])]
+    got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_groups(docs(spark, rows)).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
+    # Different sets of one fingerprint: links leave them two nodes, and both are candidates.
+    nodes = spark.createDataFrame([(1, 5, 9), (2, 5, 9)], "node bigint, fp bigint, fp2 bigint")
+    assert [tuple(sorted(r)) for r in simhash_dedup.links(nodes, 12, 26).collect()] == [(1, 2)]
+
+
 # --- WARC
 def test_warc_round_trip(spark, tmp_path):
     html = ["<p>a</p>", "<p>a</p>", None, "", "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n", "é\r\n\r\n", "x" * 200_000, "<p>a</p>"]
