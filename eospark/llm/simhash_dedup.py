@@ -447,8 +447,9 @@ def exact_links(members: DataFrame, docs: DataFrame, similarity: float, text_col
 def verified_links(members: DataFrame, docs: DataFrame, similarity: float, text_col: str = "text", size: int = 5) -> DataFrame:
     """``a, b``: links that join what all alike pairs within candidate groups (``label, node, fp, sketch, n, text_key``) join.
 
-    In groups of at most ``SMALL_GROUP`` all pairs are compared by their sketches. A larger group is compared with its
-    centre, the member nearest to the majority of the fingerprints. What is clearly like the centre is the group's core;
+    In groups of at most ``SMALL_GROUP`` all pairs are compared by their sketches. These settle clear cases only: a group
+    with a pair of sampled sketches within four standard errors of ``similarity`` is compared by whole sets. A larger
+    group is compared with its centre, the member nearest to the majority of the fingerprints. What is clearly like the centre is the group's core;
     all pairs but those within it are then compared by their whole sets.
     """
     margin = 4 * (similarity * (1 - similarity) / SKETCH) ** 0.5
@@ -458,7 +459,10 @@ def verified_links(members: DataFrame, docs: DataFrame, similarity: float, text_
     small = members.where(F.col("members") <= SMALL_GROUP)
     a = small.select("label", F.col("node").alias("a"), F.col("sketch").alias("sa"))
     b = small.select("label", F.col("node").alias("b"), F.col("sketch").alias("sb"))
-    links = _alike(a.join(b, "label").where("a < b"), similarity, 0.0).where("alike").select("a", "b")
+    pairs = staged(_alike(a.join(b, "label").where("a < b"), similarity, margin), "pairs")
+    links = pairs.where("alike").select("a", "b")
+    unclear = small.join(pairs.where("alike is null").select("label").distinct(), "label", "left_semi")
+    unclear = unclear.select("label", "node", F.col("node").alias("joint"), F.lit(False).alias("core"), "n", "text_key")
     large = members.where(F.col("members") > SMALL_GROUP).select("label", "node", "fp", "sketch", "n", "text_key")
     half = F.count(F.lit(1)) / 2
     ones = [F.sum(F.shiftrightunsigned("fp", k).bitwiseAND(1)) for k in range(64)]
@@ -473,7 +477,7 @@ def verified_links(members: DataFrame, docs: DataFrame, similarity: float, text_
     links = links.unionByName(core.where("a <> b").select("a", "b"))
     left = large.join(core.select(F.col("b").alias("node"), "a"), "node", "left")
     left = left.select("label", "node", F.coalesce("a", "node").alias("joint"), F.col("a").isNotNull().alias("core"), "n", "text_key")
-    return links.unionByName(exact_links(staged(left, "left"), docs, similarity, text_col, size))
+    return links.unionByName(exact_links(staged(left.unionByName(unclear), "left"), docs, similarity, text_col, size))
 
 
 #: Shingles alike to 0.8 (Jaccard) differ in about 0.15 of their fingerprints' bits. Candidates differ in at most so many

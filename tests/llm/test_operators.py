@@ -209,6 +209,26 @@ def test_equal_fingerprints_are_verified(spark):
     assert [tuple(sorted(r)) for r in simhash_dedup.links(nodes, 12, 26).collect()] == [(1, 2)]
 
 
+def test_long_texts_are_judged_by_whole_sets(spark):
+    """Candidate groups of pairs of long texts just above and below 0.8, where sketches of 256 hashes err by 0.025."""
+    rows, members, want = [], [], set()
+    for g in range(20):
+        words = prose(1200, 700 + g).split()
+        start = 80 + 8 * (g % 7)
+        for i in range(2):
+            text = " ".join(w if i == 0 or not start <= k < 2 * start + 26 else f"e{k}" for k, w in enumerate(words))
+            rows.append((2 * g + i, text))
+            _, _, sketch, n, *_ = simhash_dedup.wide_fingerprint(text)
+            members.append((g, 2 * g + i, 0, sketch.view(np.int32).tolist(), n, bytearray(hashlib.sha256(text.encode()).digest())))
+        a, b = (set(simhash_dedup.shingles(t, 5)) for _, t in rows[-2:])
+        assert 0.7 < len(a & b) / len(a | b) < 0.9
+        if len(a & b) / len(a | b) >= 0.8:
+            want.add((2 * g, 2 * g + 1))
+    schema = "label bigint, node bigint, fp bigint, sketch array<int>, n bigint, text_key binary"
+    links = simhash_dedup.verified_links(spark.createDataFrame(members, schema), docs(spark, rows), 0.8)
+    assert 0 < len(want) < 20 and {tuple(sorted(r)) for r in links.collect()} == want
+
+
 # --- WARC
 def test_warc_round_trip(spark, tmp_path):
     html = ["<p>a</p>", "<p>a</p>", None, "", "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n", "é\r\n\r\n", "x" * 200_000, "<p>a</p>"]
