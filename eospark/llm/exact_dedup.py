@@ -136,5 +136,7 @@ def _with_ranks(src: DataFrame, rows: DataFrame, contents: DataFrame, clashing:
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that are exact copies of a row with a smaller id; all columns stay."""
-    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
+    # By id and text, as other rows may repeat the id, or have none. The pattern is the contract's class.
+    same = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256) == gone["_sha"]
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]) & same, "left_anti")

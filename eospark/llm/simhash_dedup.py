@@ -516,6 +516,8 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, size: int, similarity:
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, that with the smallest id; all columns stay."""
-    groups = similar_groups(docs, id_col, text_col, size, similarity)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    prints, nodes = _similar(docs, id_col, text_col, size, similarity)
+    gone = prints.join(nodes, ["s1", "s2"]).where(F.col("id") != F.col("component_id"))
+    # By id and text, as other rows may repeat the id.
+    gone = gone.select(F.col("id").alias("_gone"), F.col("text_key").alias("_text")).distinct()
+    return docs.join(gone, (docs[id_col] == gone["_gone"]) & (_text_key(text_col) == gone["_text"]), "left_anti")

@@ -69,6 +69,18 @@ def test_exact_edges(spark):
     assert sorted((r["doc_id"] or -1, r["group_size"], r["kept"]) for r in same) == [(-1, 1, True), (-1, 3, False), (1, 3, True), (1, 3, True)]
 
 
+def test_copies_go_by_row(spark):
+    """Rows without an id, or that share one, go only if they are copies themselves."""
+    rows = [(1, "a"), (None, "a"), (None, "b"), (2, "a"), (2, "c  d"), (3, "c d"), (4, None), (5, "")]
+    kept = exact_dedup.drop_exact_copies(docs(spark, rows)).collect()
+    assert sorted(((r["doc_id"] or 0, r["text"] or "") for r in kept)) == [(0, "b"), (1, "a"), (2, "c  d"), (4, "")]
+    long = prose(400, 50)
+    near = [(1, long), (2, long + " end"), (2, prose(400, 51)), (3, None), (4, "")]
+    kept = simhash_dedup.drop_near_copies(docs(spark, near)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept if r["text"]) == [(1, long), (2, near[2][1])]
+    assert [r["doc_id"] for r in kept if not r["text"]] == [3]
+
+
 def test_chunks_are_the_text():
     for t in texts():
         data = exact_dedup.normalise(t)
