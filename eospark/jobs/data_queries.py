@@ -67,8 +67,9 @@ def src_globs(spark, d):
 @query("metric_log", "SELECT run, step, metric, round(value, 6) AS value FROM metric_log WHERE step <= 20")
 def sink_metrics(spark, d):
     path = new_path(spark, "metrics")
-    files.save_metrics(X.metric_log(spark, d).where("step <= 20"), path)
-    back = spark.read.parquet(path)
+    files.save_metrics(X.metric_log(spark, d), path)
+    # The whole log is saved; what the SQL shows of it are the first steps.
+    back = spark.read.parquet(path).where("step <= 20")
     return rounded(back.select("run", F.col("step").cast("bigint").alias("step"), "metric", "value"))
 
 

@@ -56,9 +56,13 @@ def images(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("origin").alias("path"), "height", "width", n.alias("channels"), values.alias("data"))
 
 
+#: Steps in a folder of saved metrics.
+STEPS = 10_000
+
+
 def save_metrics(df: DataFrame, path: str) -> None:
-    """Long metrics (``run, step, metric, value``), in a folder a step."""
-    df.write.mode("append").partitionBy("step").parquet(path)
+    """Long metrics (``run, step, metric, value``), in a folder a range of steps, as long logs have very many steps."""
+    df.withColumn("steps", F.floor(F.col("step") / STEPS)).write.mode("append").partitionBy("steps").parquet(path)
 
 
 def metric_log_rows(df: DataFrame, metrics: list[str]) -> DataFrame:

@@ -234,3 +234,14 @@ def test_lookup_by_line(spark, tmp_path):
 def test_u_is_uniform(spark):
     m = spark.range(20000).select(F.avg(u(F.col("id"), "z")), F.max(u(F.col("id"), "z"))).first()
     assert abs(m[0] - 0.5) < 0.01 and m[1] < 1
+
+
+def test_metrics_are_saved_whole(spark, tmp_path, monkeypatch):
+    from eospark.jobs import data_queries
+    from eospark.sources import fixtures
+
+    monkeypatch.setattr(data_queries, "new_path", lambda spark, name: f"file://{tmp_path}/{name}")
+    sf = "/root/testdata/sf0.001"
+    assert data_queries.sink_metrics(spark, sf).count()
+    saved, log = (sorted(map(tuple, x.select("run", "step", "metric", "value").collect())) for x in (spark.read.parquet(f"file://{tmp_path}/metrics"), fixtures.metric_log(spark, sf)))
+    assert saved == log and max(r[1] for r in log) > 20
