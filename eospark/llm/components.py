@@ -10,12 +10,13 @@ from eospark.functions.storage import staged
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+    # Written first, so that both sides of the join are plain exchanges and Spark can split a node with many neighbours.
+    least = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = staged(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -24,8 +25,8 @@ def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node, label`` for every node of ``edges`` (``a, b``) but the smallest of its component, which is the label.
 
     Loops and repeated edges do no harm. Steps repeat until nothing changes; each is written to the shared folder. All
-    steps are joins of a node with its one smallest neighbour, so nothing is gathered; yet the links of a node with very
-    many neighbours pass through one task, as two numbers a link.
+    steps are joins of a node with its one smallest neighbour, so nothing is gathered, and the links of a node with very
+    many neighbours are split like any skewed join.
     """
     g, l = F.greatest("a", "b"), F.least("a", "b")
     edges = staged(edges.where("a <> b").select(g.alias("a"), l.alias("b")).distinct(), "edges")

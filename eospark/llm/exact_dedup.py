@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eospark.functions.storage import staged
+from eospark.llm.rows import one_of_each, row_key
 
 #: Runs of white space other than a lone space; the contract's class is [\x20\x09-\x0D].
 _RUNS = re.compile(r"[\t-\r][\t-\r ]*| [\t-\r ]+")
@@ -77,14 +78,16 @@ def _contents(bits: int, with_place: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict = {}
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for place, c in enumerate(chunks(normalise(text))):
+            for text in batch.column(0).to_pylist():
+                data = normalise(text)
+                key = hashlib.sha256(data).digest() if with_place else None
+                for place, c in enumerate(chunks(data)):
                     seen[(c, key, place) if with_place else c] = _digest(c, bits)
             cols = [pa.array(seen.values(), pa.int64()), pa.array([k[0] if with_place else k for k in seen], pa.binary())]
             names = ["chunk", "bytes"]
             if with_place:
-                cols += [pa.array([k[1] for k in seen], batch.schema.field(0).type), pa.array([k[2] for k in seen], pa.int32())]
-                names += ["id", "place"]
+                cols += [pa.array([k[1] for k in seen], pa.binary()), pa.array([k[2] for k in seen], pa.int32())]
+                names += ["sha", "place"]
             yield pa.record_batch(cols, names)
 
     return run
@@ -102,13 +105,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id_type = src.schema["id"].dataType.simpleString()
     rows = staged(src.mapInArrow(_recipes(hash_bits), f"id {id_type}, recipe array<bigint>, sha binary"), "recipes")
     # Verification: a chunk hash with more than one content is no identifier yet.
-    contents = src.select("id", "text").mapInArrow(_contents(hash_bits, False), "chunk bigint, bytes binary").distinct()
+    contents = src.select("text").mapInArrow(_contents(hash_bits, False), "chunk bigint, bytes binary").distinct()
     clashing = contents.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("chunk")
     clashing = staged(clashing, "clashing")
     if clashing.isEmpty():
         rows = rows.withColumn("ranks", F.array().cast("array<int>"))
     else:
-        rows = _with_ranks(src, rows, contents, clashing, id_type, hash_bits)
+        rows = _with_ranks(src, rows, contents, clashing, hash_bits)
     keys = ["recipe", "ranks"]
     groups = rows.groupBy(*keys).agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     # Written first, so that both sides of the join are plain exchanges and Spark can split a hot group.
@@ -122,21 +125,28 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def _with_ranks(src: DataFrame, rows: DataFrame, contents: DataFrame, clashing: DataFrame, id_type: str, bits: int) -> DataFrame:
-    """Tell chunks of one hash apart by the rank of their bytes, and add the ranks to the recipes they are in."""
+def _with_ranks(src: DataFrame, rows: DataFrame, contents: DataFrame, clashing: DataFrame, bits: int) -> DataFrame:
+    """Tell chunks of one hash apart by the rank of their bytes, and add the ranks to the recipes they are in.
+
+    Chunks are looked up by the hash of their whole text, as ids may repeat.
+    """
     w = Window.partitionBy("chunk").orderBy("bytes")
     ranked = contents.join(clashing, "chunk").withColumn("rank", F.row_number().over(w))
-    places = src.mapInArrow(_contents(bits, True), f"chunk bigint, bytes binary, id {id_type}, place int")
-    ranks = places.join(ranked, ["chunk", "bytes"]).groupBy("id").agg(
+    places = src.select("text").mapInArrow(_contents(bits, True), "chunk bigint, bytes binary, sha binary, place int").distinct()
+    ranks = places.join(ranked, ["chunk", "bytes"]).groupBy("sha").agg(
         F.transform(F.array_sort(F.collect_set(F.struct("place", "rank"))), lambda x: x["rank"]).alias("ranks")
     )
-    joined = rows.join(ranks.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id")), "left").drop("_id")
-    return joined.withColumn("ranks", F.coalesce("ranks", F.array().cast("array<int>")))
+    return rows.join(ranks, "sha", "left").withColumn("ranks", F.coalesce("ranks", F.array().cast("array<int>")))
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that are exact copies of a row with a smaller id; all columns stay."""
-    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
-    # By id and text, as other rows may repeat the id, or have none. The pattern is the contract's class.
-    same = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256) == gone["_sha"]
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]) & same, "left_anti")
+    """``docs`` with one row of each group of equal texts, that with the smallest id; all columns stay.
+
+    Equal, null ids and empty tables: see ``exact_groups``. Rows that share an id are told apart by their texts; of rows
+    that repeat both, one stays at most.
+    """
+    groups = exact_groups(docs, id_col, text_col).where(~F.col("kept"))
+    gone = groups.select(row_key(F.col(id_col), F.unhex("text_sha256")).alias("_key"))
+    # The pattern is the contract's class.
+    text = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    return one_of_each(docs, row_key(docs[id_col], F.unhex(F.sha2(text, 256))), gone)

@@ -8,6 +8,7 @@ spanning forest, not all its pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,15 +19,15 @@ from pyspark.sql import functions as F
 
 from eospark.functions.storage import staged
 from eospark.llm.components import component_labels
+from eospark.llm.rows import one_of_each, row_key
 
 SEED = 42
 #: A bucket of more rows is compared in blocks of so many, by as many tasks as there are pairs of blocks.
 BLOCK = 4096
 _PAIRS = 1 << 21
-#: Hashes in a sketch, and the members up to which all pairs of a candidate group are verified.
-SKETCH, SMALL_GROUP = 256, 64
 #: Members and shingles in a block of whole sets, about; larger groups are settled by two blocks at a time.
 SET_BLOCK, SET_SHINGLES = 1024, 1 << 18
+_ODD = np.array([xxhash.xxh64_intdigest(i.to_bytes(2, "little"), SEED) | 1 for i in range(1024)], np.uint64)
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
@@ -55,60 +56,58 @@ def fingerprint(text: str | None, size: int = 4) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def wide_fingerprint(text: str | None, size: int = 5) -> tuple[int, int, np.ndarray, int, int, int]:
-    """A 128-bit SimHash of the distinct shingles, as two numbers of 64 bits, and their least ``SKETCH`` hashes, sorted.
+def set_hashes(text: str | None, size: int) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's shingles, sorted."""
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(x, SEED) for x in shingles(text, size)], np.uint64))
 
-    A text of at most that many shingles has all of them in its sketch. Then their number, and a 128-bit hash of their
-    set, as two numbers.
-    """
-    joined = b"".join(sorted({xxhash.xxh3_128_digest(x, SEED) for x in shingles(text, size)}))
-    hashes = np.frombuffer(joined, np.uint8).reshape(-1, 16)
-    votes = np.zeros(128, np.int64)
-    for at in range(0, len(hashes), 1 << 15):
-        votes += np.unpackbits(hashes[at : at + (1 << 15)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    first, second = np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")
-    sketch = np.unique(hashes[:, :4].copy().view("<u4").ravel())[:SKETCH]
-    whole = xxhash.xxh3_128_intdigest(joined, SEED)
-    return int(first), int(second), sketch, len(hashes), whole >> 64, whole & ((1 << 64) - 1)
+
+def long_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """A SimHash of ``words`` times 64 bits of a set of hashes; each 64 bits come from scrambling the hashes anew."""
+    votes = np.zeros(64 * words, np.int64)
+    for at in range(0, len(hashes), 240):  # counts up to 255 fit a byte
+        x = hashes[at : at + 240, None] * _ODD[None, :words]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(29)
+        votes += np.add.reduce(np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """The Jaccard similarity of two sketches' texts: exact if both hold all shingles, else of the least hashes of both."""
-    both = np.union1d(a, b)
-    if len(a) == SKETCH or len(b) == SKETCH:
-        both = both[:SKETCH]
-    return float((np.isin(both, a) & np.isin(both, b)).mean()) if len(both) else 1.0
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
+    """``id, fp`` (the fingerprint's bits as a long). Null is empty, and empty texts have fingerprint zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                fps = np.array([fingerprint(t, size) for t in batch.column(1).to_pylist()], np.uint64)
+                yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, fp bigint")
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, wide: bool = False) -> DataFrame:
-    """``id, fp`` (the fingerprint's bits as a long), and if ``wide`` also 64 more bits ``fp2``, a ``sketch``, the number of
-    distinct shingles ``n``, a hash of their set (``s1, s2``) and one of the text, ``text_key``.
 
-    Null is empty, and empty texts have fingerprint zero.
-    """
+def set_prints(docs: DataFrame, id_col: str, text_col: str, size: int, words: int) -> DataFrame:
+    """``id, text_key`` (of the text's bytes), ``s1, s2`` (a hash of the set of shingles), ``n`` (their number) and
+    ``words``, a fingerprint of ``words`` longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                texts = batch.column(1).to_pylist()
-                if not wide:
-                    fps = np.array([fingerprint(t, size) for t in texts], np.uint64)
-                    yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
-                    continue
-                found = [wide_fingerprint(t, size) for t in texts]
-                cols = [pa.array(np.array([f[i] for f in found], np.uint64).view(np.int64)) for i in (0, 1)]
-                cols.append(pa.array([f[2].view(np.int32) for f in found], pa.list_(pa.int32())))
-                cols += [pa.array(np.array([f[i] for f in found], np.uint64).view(np.int64)) for i in (3, 4, 5)]
-                yield pa.record_batch([batch.column(0), *cols, batch.column(2)], ["id", "fp", "fp2", "sketch", "n", "s1", "s2", "text_key"])
+                sets = [set_hashes(t, size) for t in batch.column(1).to_pylist()]
+                wholes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes(), SEED) for x in sets), np.int64).reshape(-1, 2)
+                fps = np.array([long_fingerprint(x, words) for x in sets], np.uint64).view(np.int64)
+                made = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * words, pa.array(fps.ravel()))
+                cols = [batch.column(0), batch.column(2), pa.array(wholes[:, 0]), pa.array(wholes[:, 1]), pa.array([len(x) for x in sets], pa.int64()), made]
+                yield pa.record_batch(cols, ["id", "text_key", "s1", "s2", "n", "words"])
 
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *([_text_key(text_col).alias("text_key")] if wide else []))
-    more = ", fp2 bigint, sketch array<int>, n bigint, s1 bigint, s2 bigint, text_key binary" if wide else ""
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, fp bigint{more}")
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), _text_key(text_col).alias("text_key"))
+    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, text_key binary, s1 bigint, s2 bigint, n bigint, words array<bigint>")
 
 
-def segments(distinct: int, radius: int) -> list[tuple[int, int, int]]:
-    """(first bit, width, ball radius) of each segment.
+def segments(distinct: int, radius: int) -> list[tuple[int, int, int, int]]:
+    """(word, first bit, width, ball radius) of each segment of a 64-bit fingerprint.
 
     Radii add up to ``radius`` - segments + 1, so that not every segment can differ in more bits than its radius. Up to
     radius 6 there are three segments of 21 or 22 bits as long as there are fewer than 2**28 fingerprints, and two beyond
@@ -119,7 +118,27 @@ def segments(distinct: int, radius: int) -> list[tuple[int, int, int]]:
     spare = max(radius - m + 1, 0)
     ends = [64 * (i + 1) // m for i in range(m)]
     starts = [0, *ends[:-1]]
-    return [(a, b - a, spare // m + (i >= m - spare % m)) for i, (a, b) in enumerate(zip(starts, ends, strict=True))]
+    return [(0, a, b - a, spare // m + (i >= m - spare % m)) for i, (a, b) in enumerate(zip(starts, ends, strict=True))]
+
+
+def differing(similarity: float) -> float:
+    """The share of bits in which SimHashes of sets of that Jaccard similarity differ, on average: their angle over pi."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def similar_segments(count: int, similarity: float, recall: float = 0.97) -> list[tuple[int, int, int, int]]:
+    """(word, first bit, width, ball radius) of segments that find a pair of just ``similarity`` with chance ``recall``.
+
+    Segments are as wide as the count of texts in bits, so that a key holds a few chance matches at any size; their number
+    follows from the chance that a segment differs in no more bits than its ball. A ball of radius one finds about four
+    times as many pairs as a lone key, for about ten keys: the first segments have one, the others get by without.
+    """
+    width, p = min(max(16, count.bit_length()), 32), differing(similarity)
+    alone = (1 - p) ** width
+    ball = alone + width * p * (1 - p) ** (width - 1)
+    rest = math.log(1 - recall) - BALLS * math.log(1 - ball)
+    radii = [1] * BALLS + [0] * max(0, math.ceil(rest / math.log(1 - alone)))
+    return [(i // (64 // width), i % (64 // width) * width, width, r) for i, r in enumerate(radii)]
 
 
 def _ball(width: int, radius: int) -> np.ndarray:
@@ -131,26 +150,26 @@ def _ball(width: int, radius: int) -> np.ndarray:
     return np.array(found, np.uint64)
 
 
-def _table_rows(plan: list[tuple[int, int, int]]):
+def _table_rows(plan: list[tuple[int, int, int, int]]):
     """Per fingerprint: a row of role 0 for its own key in each table, and rows of role 1 for the keys to be looked up.
 
     Of two fingerprints that differ within a segment, the one whose lowest differing bit is unset looks the other up, so
-    that a pair meets once. The other columns are repeated in each row.
+    that a pair meets once. The first column holds the fingerprints' words; the other columns are repeated in each row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 part = whole.slice(at, 4096)
-                fp = part.column(0).to_numpy().view(np.uint64)
-                everyone = np.arange(len(fp))
+                words = part.column(0).flatten().to_numpy().view(np.uint64).reshape(part.num_rows, -1)
+                everyone = np.arange(part.num_rows)
                 keys, rows, roles = [], [], []
-                for i, (shift, width, radius) in enumerate(plan):
-                    own = (fp >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+                for i, (word, shift, width, radius) in enumerate(plan):
+                    own = (words[:, word] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
                     tag = np.uint64(i << 40)
                     keys.append(own | tag)
                     rows.append(everyone)
-                    roles.append(np.zeros(len(fp), np.int8))
+                    roles.append(np.zeros(len(own), np.int8))
                     for mask in _ball(width, radius):
                         low = mask & (~mask + np.uint64(1))
                         ask = np.flatnonzero((own & low) == 0)
@@ -159,7 +178,7 @@ def _table_rows(plan: list[tuple[int, int, int]]):
                         roles.append(np.ones(len(ask), np.int8))
                 take = pa.array(np.concatenate(rows))
                 cols = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(roles))]
-                yield pa.record_batch([*cols, *(c.take(take) for c in part.columns)], ["k", "role", *part.schema.names])
+                yield pa.record_batch([*cols, *(c.take(take) for c in part.columns[1:])], ["k", "role", *part.schema.names[1:]])
 
     return run
 
@@ -185,16 +204,36 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
-def _bucket_links(key: np.ndarray, role: np.ndarray, words: list[np.ndarray], radii: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of linked rows within the buckets of rows that are sorted by key and role.
+def _near(words: list[np.ndarray], radii: list[int], row: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs whose first words differ in at most the first radius, the first two in at most the second, etc."""
+    differ = np.zeros(len(row), np.int64)
+    for word, radius in zip(words, radii, strict=True):
+        differ += np.bitwise_count(word[row] ^ word[other])
+        near = differ <= radius
+        row, other, differ = row[near], other[near], differ[near]
+    return row, other
 
-    Rows are linked if their first words differ in at most the first radius, and the first two in at most the second.
-    """
+
+def _bucket_links(key: np.ndarray, role: np.ndarray, words: list[np.ndarray], radii: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of linked rows within the buckets of rows that are sorted by key and role: what is near a bucket's first row
+    is linked to it, and then all pairs are compared but those of two such rows."""
     n = len(key)
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     bucket = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [n]])))
     members = np.add.reduceat((role == 0).astype(np.int64), first)
-    partners = np.minimum(np.arange(n) - first[bucket], members[bucket])
+    every = np.flatnonzero((members[bucket] > 0) & (np.arange(n) != first[bucket]))
+    row, lead = _near(words, radii, every, first[bucket[every]])
+    if len(row):
+        yield row, lead
+    joined = np.zeros(n, bool)
+    joined[row] = True
+    joined[first] = members > 0
+    # Within a bucket: members that are not joined, then those that are, then lookups. Partners are the first rows of it.
+    order = np.lexsort((joined, role, bucket))
+    joined, lookup = joined[order], role[order] != 0
+    rest = np.add.reduceat((~joined & ~lookup).astype(np.int64), first)
+    place = np.arange(n) - first[bucket]
+    partners = np.where(joined, rest[bucket], np.where(lookup, members[bucket], place))
     ends = np.cumsum(partners)
     at = 0
     while at < n:
@@ -204,13 +243,8 @@ def _bucket_links(key: np.ndarray, role: np.ndarray, words: list[np.ndarray], ra
         if total:
             row = np.repeat(np.arange(at, stop), count)
             other = first[bucket[row]] + np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-            differ = np.zeros(total, np.int64)
-            for word, radius in zip(words, radii, strict=True):
-                differ += np.bitwise_count(word[row] ^ word[other])
-                near = differ <= radius
-                row, other, differ = row[near], other[near], differ[near]
-                total = len(row)
-            if total:
+            row, other = _near(words, radii, order[row], order[other])
+            if len(row):
                 yield row, other
         at = stop
 
@@ -251,26 +285,49 @@ def _compare(radii: list[int]):
     return run
 
 
-def links(nodes: DataFrame, radius: int = 4, wide_radius: int | None = None, block: int = BLOCK) -> DataFrame:
-    """``a, b``: links that join exactly those nodes (``node, fp[, fp2]``) that chains of near fingerprints join.
+def _dealt(rows: DataFrame, group: str, name: str) -> DataFrame:
+    """The rows of each ``group`` in keys ``k`` of two blocks each, so that any two rows meet but those of the ``core``.
+
+    ``rest`` and ``cores`` say how many blocks the group's rows outside and inside the core are dealt to. Groups that are
+    all core are gone; a row is repeated for each block that its own has to meet.
+    """
+    every = F.col("rest") + F.col("cores")
+    own = F.when(F.col("core"), F.col("rest") + F.pmod(F.xxhash64(name), F.col("cores"))).otherwise(F.pmod(F.xxhash64(name), F.col("rest"))).cast("int")
+    other = F.when(F.col("core"), F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(
+        F.when(every == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), every - 1), lambda x: x != F.col("_i")))
+    )
+    rows = rows.where("rest > 0").withColumn("_i", own).withColumn("_j", F.explode(other))
+    return rows.withColumn("k", F.xxhash64(group, F.least("_i", "_j"), F.greatest("_i", "_j")))
+
 
-    Near means at most ``radius`` differing bits of ``fp``, and, if ``wide_radius`` is given, at most as many as that of
-    ``fp`` and ``fp2`` together.
+def links(nodes: DataFrame, plan: list[tuple[int, int, int, int]], radii: list[int], block: int = BLOCK) -> DataFrame:
+    """``a, b``: links that join exactly those nodes (``node, words``) that chains of near fingerprints join.
+
+    Nodes are compared if they meet in a table of ``plan``. Near means at most ``radii[0]`` differing bits of the first
+    word, at most ``radii[1]`` of the first two, and so on. Rows of a key that are near its first one are linked to it and
+    not compared with each other. Keys of more than ``block`` rows get the same in parts: see ``_dealt``.
     """
-    plan = segments(nodes.count(), radius)
-    names = ["fp", "node"] if wide_radius is None else ["fp", "fp2", "node"]
-    radii = [radius] if wide_radius is None else [radius, wide_radius]
+    words = [f"w{i}" for i in range(len(radii))]
+    names = [*words, "node"]
     schema = "k bigint, role byte, " + ", ".join(f"{n} bigint" for n in names)
-    rows = staged(nodes.select(*names).mapInArrow(_table_rows(plan), schema), "tables")
-    hot = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
-    hot = staged(hot.select("k", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "hot")
+    carried = nodes.select("words", *[F.get("words", F.lit(i)).alias(w) for i, w in enumerate(words)], "node")
+    rows = carried.mapInArrow(_table_rows(plan), schema)
+    hot = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("role", *names)).alias("first"))
+    hot = staged(hot.where((F.col("n") > block) & (F.col("first.role") == 0)).select(F.col("k").alias("key"), "first"), "hot")
+    out = None
     if not hot.isEmpty():
-        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        split = rows.join(hot, "k").withColumn("i", own).withColumn("j", other)
-        split = split.select(F.xxhash64("k", F.least("i", "j"), F.greatest("i", "j")).alias("k"), "role", *names)
-        rows = rows.join(hot, "k", "left_anti").unionByName(split)
-    return rows.repartition("k").sortWithinPartitions("k", "role").mapInArrow(_compare(radii), "a bigint, b bigint")
+        near, differ = F.lit(True), F.lit(0)
+        for w, radius in zip(words, radii, strict=True):
+            differ = differ + F.bit_count(F.col(w).bitwiseXOR(F.col("first")[w]))
+            near &= differ <= radius
+        split = staged(rows.join(hot, F.col("k") == F.col("key")).select("key", "role", *names, F.col("first.node").alias("lead"), near.alias("core")), "hot-rows")
+        count = lambda of: F.ceil(F.sum(of.cast("int")) / block).cast("int")
+        sizes = staged(split.groupBy("key").agg(count(~F.col("core")).alias("rest"), count(F.col("core")).alias("cores")), "hot-sizes")
+        out = split.where("core and lead <> node").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+        dealt = _dealt(split.join(sizes, "key"), "key", "node").select("k", "role", *names)
+        rows = rows.join(hot, F.col("k") == F.col("key"), "left_anti").unionByName(dealt)
+    met = rows.repartition("k").sortWithinPartitions("k", "role").mapInArrow(_compare(radii), "a bigint, b bigint")
+    return met.unionByName(out) if out else met
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = 4, block: int = BLOCK) -> DataFrame:
@@ -280,8 +337,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own. Null ids are never the smallest unless all are. An empty table gives an empty table.
     """
     prints = staged(fingerprints(docs, id_col, text_col, size).withColumn("node", F.col("fp")), "prints")
-    nodes = staged(prints.groupBy("node", "fp").agg(F.min("id").alias("least")), "nodes")
-    labels = component_labels(links(nodes, radius, block=block)).withColumnRenamed("node", "_node")
+    nodes = staged(prints.groupBy("node").agg(F.min("id").alias("least"), F.array(F.col("node")).alias("words")), "nodes")
+    near = links(nodes, segments(nodes.count(), radius), [radius], block)
+    labels = component_labels(near).withColumnRenamed("node", "_node")
     nodes = nodes.join(labels, F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     nodes = staged(nodes, "labelled")
     # Written first, so that both sides of the join are plain exchanges and Spark can split a hot component.
@@ -292,26 +350,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def verdict(a: np.ndarray, b: np.ndarray, similarity: float, margin: float) -> bool | None:
-    """Whether two sketches' texts are alike; None if the sketches are samples and within ``margin`` of ``similarity``."""
-    found = likeness(a, b)
-    sampled = len(a) == SKETCH or len(b) == SKETCH
-    return None if sampled and abs(found - similarity) < margin else found >= similarity
-
-
-def _alike(rows: DataFrame, similarity: float, margin: float) -> DataFrame:
-    """``label, a, b, alike`` of the rows (``label, a, sa, b, sb``): the verdict of their sketches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sketches = [batch.column(i) for i in (2, 4)]
-            values = lambda c, k: c[k].values.to_numpy(zero_copy_only=False).view(np.uint32)
-            said = [verdict(values(sketches[0], k), values(sketches[1], k), similarity, margin) for k in range(batch.num_rows)]
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(3), pa.array(said, pa.bool_())], ["label", "a", "b", "alike"])
-
-    return rows.select("label", "a", "sa", "b", "sb").mapInArrow(run, "label bigint, a bigint, b bigint, alike boolean")
-
-
 def set_links(sets: list[np.ndarray], joint: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Places of alike pairs, as a forest that joins what all alike pairs join; equal ``joint`` are joined already.
 
@@ -408,20 +446,19 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, text_col: str, size: int) ->
     """``text_key, hashes``: the distinct shingle hashes, of 64 bits, of the texts whose keys are in ``wanted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash_of = xxhash.xxh3_64_intdigest
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                sets = [np.unique(np.array([hash_of(x, SEED) for x in shingles(t, size)], np.uint64)).view(np.int64) for t in batch.column(1).to_pylist()]
+                sets = [set_hashes(t, size).view(np.int64) for t in batch.column(1).to_pylist()]
                 yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["text_key", "hashes"])
 
     rows = docs.select(_text_key(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.join(wanted.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"])
-    return rows.mapInArrow(run, "text_key binary, hashes array<bigint>")
+    rows = rows.join(wanted.select("text_key").distinct(), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
+    return rows.select("text_key", "text").mapInArrow(run, "text_key binary, hashes array<bigint>")
 
 
-def exact_links(members: DataFrame, docs: DataFrame, similarity: float, text_col: str, size: int) -> DataFrame:
-    """``a, b``: a forest of the alike pairs within groups (``label, node, joint, core, n, text_key``), by whole sets.
+def exact_links(members: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: a forest of the alike pairs within groups (``label, node, joint, core, n, hashes``), by whole sets.
 
     Each group is dealt to blocks, and each two blocks are compared by one task. Pairs within the core, which is joined
     already, are left out; a group that is all core costs nothing.
@@ -431,93 +468,84 @@ def exact_links(members: DataFrame, docs: DataFrame, similarity: float, text_col
         need = F.greatest(F.sum(F.when(of, 1).otherwise(0)) / SET_BLOCK, F.sum(F.when(of, F.col("n")).otherwise(0)) / SET_SHINGLES)
         return F.ceil(need).cast("int")
 
-    plan = members.groupBy("label").agg(blocks(~F.col("core")).alias("rest"), blocks(F.col("core")).alias("cores")).where("rest > 0")
-    members = staged(members.join(staged(plan, "blocks"), "label"), "open")
-    sets = staged(whole_sets(docs, members, text_col, size), "sets")
-    every = F.col("rest") + F.col("cores")
-    own = F.when(F.col("core"), F.col("rest") + F.pmod(F.xxhash64("node"), F.col("cores"))).otherwise(F.pmod(F.xxhash64("node"), F.col("rest"))).cast("int")
-    other = F.when(F.col("core"), F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(
-        F.when(every == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), every - 1), lambda x: x != F.col("i")))
-    )
-    rows = members.withColumn("i", own).select("label", "node", "joint", "text_key", "i", F.explode(other).alias("j"))
-    rows = rows.withColumn("k", F.xxhash64("label", F.least("i", "j"), F.greatest("i", "j"))).join(sets, "text_key")
+    plan = members.groupBy("label").agg(blocks(~F.col("core")).alias("rest"), blocks(F.col("core")).alias("cores"))
+    members = members.join(staged(plan, "blocks"), "label")
+    rows = _dealt(members, "label", "node")
     return rows.select("k", "joint", "node", "hashes").repartition("k").sortWithinPartitions("k").mapInArrow(_settle(similarity), "a bigint, b bigint")
 
 
-def verified_links(members: DataFrame, docs: DataFrame, similarity: float, text_col: str = "text", size: int = 5) -> DataFrame:
-    """``a, b``: links that join what all alike pairs within candidate groups (``label, node, fp, sketch, n, text_key``) join.
+def verified_links(members: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: links that join what all alike pairs within candidate groups (``label, node, word, n, hashes``) join.
 
-    In groups of at most ``SMALL_GROUP`` all pairs are compared by their sketches. These settle clear cases only: a group
-    with a pair of sampled sketches within four standard errors of ``similarity`` is compared by whole sets. A larger
-    group is compared with its centre, the member nearest to the majority of the fingerprints. What is clearly like the centre is the group's core;
-    all pairs but those within it are then compared by their whole sets.
+    Every member is compared with its group's centre, the one whose ``word`` of fingerprint is nearest to the majority.
+    What is like the centre is the group's core; all pairs but those within the core are then compared. Both times whole
+    sets are compared. One rule holds for groups of any size: where all are like the centre, as copies of one text are,
+    the work grows with the group, and else with the members outside the core times the group, in bounded tasks.
     """
-    margin = 4 * (similarity * (1 - similarity) / SKETCH) ** 0.5
-    members = staged(members, "candidates")
-    count = staged(members.groupBy("label").agg(F.count(F.lit(1)).alias("members")), "sizes")
-    members = staged(members.join(count, "label"), "members")
-    small = members.where(F.col("members") <= SMALL_GROUP)
-    a = small.select("label", F.col("node").alias("a"), F.col("sketch").alias("sa"))
-    b = small.select("label", F.col("node").alias("b"), F.col("sketch").alias("sb"))
-    pairs = staged(_alike(a.join(b, "label").where("a < b"), similarity, margin), "pairs")
-    links = pairs.where("alike").select("a", "b")
-    unclear = small.join(pairs.where("alike is null").select("label").distinct(), "label", "left_semi")
-    unclear = unclear.select("label", "node", F.col("node").alias("joint"), F.lit(False).alias("core"), "n", "text_key")
-    large = members.where(F.col("members") > SMALL_GROUP).select("label", "node", "fp", "sketch", "n", "text_key")
+    members = staged(members, "members")
     half = F.count(F.lit(1)) / 2
-    ones = [F.sum(F.shiftrightunsigned("fp", k).bitwiseAND(1)) for k in range(64)]
-    word = F.lit(0).cast("bigint")
-    for k, n in enumerate(ones):
-        word = word.bitwiseOR(F.when(n > half, F.shiftleft(F.lit(1).cast("bigint"), k)).otherwise(0))
-    majority = staged(large.groupBy("label").agg(word.alias("majority")), "majority")
-    centre = large.join(majority, "label").groupBy("label").agg(F.min_by("node", F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("majority"))), "node")).alias("a"))
-    centre = staged(centre.join(large.select("label", F.col("node").alias("a"), F.col("sketch").alias("sa")), ["label", "a"]), "centre")
-    core = _alike(large.join(centre, "label").select("label", "a", "sa", F.col("node").alias("b"), F.col("sketch").alias("sb")), similarity, margin)
-    core = staged(core.where("alike"), "core")
-    links = links.unionByName(core.where("a <> b").select("a", "b"))
-    left = large.join(core.select(F.col("b").alias("node"), "a"), "node", "left")
-    left = left.select("label", "node", F.coalesce("a", "node").alias("joint"), F.col("a").isNotNull().alias("core"), "n", "text_key")
-    return links.unionByName(exact_links(staged(left.unionByName(unclear), "left"), docs, similarity, text_col, size))
-
-
-#: Shingles alike to 0.8 (Jaccard) differ in about 0.15 of their fingerprints' bits. Candidates differ in at most so many
-#: of 64, and of 128; they are then verified.
-SIMILARITY, SIMILAR_RADIUS, SIMILAR_WIDE_RADIUS = 0.8, 12, 26
+    majority = F.lit(0).cast("bigint")
+    for k in range(64):
+        ones = F.sum(F.shiftrightunsigned("word", k).bitwiseAND(1))
+        majority = majority.bitwiseOR(F.when(ones > half, F.shiftleft(F.lit(1).cast("bigint"), k)).otherwise(0))
+    majority = staged(members.groupBy("label").agg(majority.alias("majority")), "majority")
+    off = F.bit_count(F.col("word").bitwiseXOR(F.col("majority")))
+    centre = members.join(majority, "label").groupBy("label").agg(F.min(F.struct(off, "node")).alias("x")).select("label", F.col("x.node").alias("a"))
+    sets = members.select(F.col("label").alias("_l"), F.col("node").alias("a"), F.col("n").alias("size"), F.col("hashes").alias("own"))
+    # Written first, so that both sides of the join are plain exchanges and Spark can split a hot group.
+    centre = staged(centre.join(sets, (F.col("label") == F.col("_l")) & (centre["a"] == sets["a"])).select("label", centre["a"], "size", "own"), "centres")
+    shared = F.size(F.array_intersect("hashes", "own"))
+    core = (F.col("node") == F.col("a")) | (shared / (F.col("n") + F.col("size") - shared) >= similarity)
+    judged = members.join(centre, "label").select("label", "node", "n", "hashes", "a", core.alias("core"))
+    judged = staged(judged.withColumn("joint", F.when(F.col("core"), F.col("a")).otherwise(F.col("node"))), "judged")
+    return judged.where("core and a <> node").select("a", F.col("node").alias("b")).unionByName(exact_links(judged, similarity))
+
+
+#: Shingles alike to 0.8 (Jaccard) differ in about 0.15 of their fingerprints' bits. Of segments with a ball there are so
+#: many; candidates differ in at most so many of 128 bits, four standard errors more than expected, and are then verified.
+SIMILARITY, BALLS, WIDE_RADIUS = 0.8, 4, 36
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """``id_col, component_id``: groups linked by pairs of texts whose runs of ``size`` words are alike (Jaccard).
 
-    Candidates come from 128-bit fingerprints, hence a pair may be missed that chance holds apart; what is linked is
-    verified, also if fingerprints are equal. Texts of equal sets of runs are one node. Null and empty texts are alike.
+    Candidates come from fingerprints, hence a pair may be missed that chance holds apart (see ``similar_segments``); what
+    is linked is verified by whole sets, also if fingerprints are equal. Texts of equal sets of runs are one node. Null
+    and empty texts are alike. Rows that repeat an id are rows of their own; a null id is never the smallest unless all
+    are. Texts of any length count whole. An empty table gives an empty table; other columns are ignored.
     """
     prints, nodes = _similar(docs, id_col, text_col, size, similarity)
-    return prints.join(nodes, ["s1", "s2"]).select(F.col("id").alias(id_col), "component_id")
+    return prints.join(nodes, ["s1", "s2"]).select(F.col("id").alias(id_col), F.col("least.id").alias("component_id"))
 
 
 def _similar(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """``id, s1, s2, text_key`` of all rows, and ``s1, s2, component_id`` of all sets of shingles."""
-    prints = staged(fingerprints(docs, id_col, text_col, size, wide=True), "prints")
-    # One row of those with the set stands for it; the sketch follows once candidates are known.
-    nodes = prints.groupBy("s1", "s2", "fp", "fp2", "n").agg(F.min("id").alias("least"), F.min("text_key").alias("text_key"))
+    """``id, s1, s2, text_key`` of all rows, and ``s1, s2, least`` (the group's first row) of all sets of shingles."""
+    plan = similar_segments(docs.count(), similarity)
+    prints = staged(set_prints(docs, id_col, text_col, size, plan[-1][0] + 1), "prints")
+    row = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("text_key").alias("text_key"))
+    nodes = prints.groupBy("s1", "s2").agg(F.min(row).alias("least"), F.first("n").alias("n"), F.first("words").alias("words"))
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    labels = staged(component_labels(links(nodes, SIMILAR_RADIUS, SIMILAR_WIDE_RADIUS)), "candidates")
+    near = links(nodes, plan, [64, WIDE_RADIUS])
+    labels = staged(component_labels(near), "candidates")
     both = labels.unionByName(labels.select(F.col("label").alias("node"), "label")).distinct()
-    own = nodes.join(both, "node").select("label", "node", "n", "text_key")
-    own = prints.select("fp", "sketch", "text_key").join(own, "text_key").dropDuplicates(["node"])
-    final = component_labels(verified_links(own, docs, similarity, text_col, size)).withColumnRenamed("node", "_node")
+    own = staged(nodes.join(both, "node").select("label", "node", F.get("words", F.lit(0)).alias("word"), "n", F.col("least.text_key").alias("text_key")), "grouped")
+    own = own.join(whole_sets(docs, own, text_col, size), "text_key").select("label", "node", "word", "n", "hashes")
+    final = component_labels(verified_links(own, similarity)).withColumnRenamed("node", "_node")
     nodes = nodes.join(final, F.col("node") == F.col("_node"), "left").select("s1", "s2", "least", F.coalesce("label", "node").alias("label"))
     nodes = staged(nodes, "labelled")
     # Written first, so that both sides of the join are plain exchanges and Spark can split a hot component.
-    groups = staged(nodes.groupBy("label").agg(F.min("least").alias("component_id")), "groups")
-    nodes = staged(nodes.join(groups, "label").select("s1", "s2", "component_id"), "components")
+    groups = staged(nodes.groupBy("label").agg(F.min("least").alias("least")), "groups")
+    nodes = staged(nodes.drop("least").join(groups, "label").select("s1", "s2", "least"), "components")
     return prints.select("id", "s1", "s2", "text_key"), nodes
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates, that with the smallest id; all columns stay."""
+    """``docs`` with one row of each group of near duplicates, that with the smallest id; all columns stay.
+
+    Groups: see ``similar_groups``. Rows that share an id are told apart by their texts; of rows that repeat both, one
+    stays at most.
+    """
     prints, nodes = _similar(docs, id_col, text_col, size, similarity)
-    gone = prints.join(nodes, ["s1", "s2"]).where(F.col("id") != F.col("component_id"))
-    # By id and text, as other rows may repeat the id.
-    gone = gone.select(F.col("id").alias("_gone"), F.col("text_key").alias("_text")).distinct()
-    return docs.join(gone, (docs[id_col] == gone["_gone"]) & (_text_key(text_col) == gone["_text"]), "left_anti")
+    same = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("text_key") == F.col("least.text_key"))
+    gone = prints.join(nodes, ["s1", "s2"]).where(~same).select(row_key(F.col("id"), F.col("text_key")).alias("_key"))
+    return one_of_each(docs, row_key(docs[id_col], _text_key(text_col)), gone)

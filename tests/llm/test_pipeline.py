@@ -24,7 +24,7 @@ def test_stages(spark):
         if name == "simhash_near_dedup":
             runs = [set(simhash_dedup.shingles(r["text"], 5)) for r in out.collect()]
             like = [len(a & b) / len(a | b) for i, a in enumerate(runs) for b in runs[:i] if a | b]
-            assert max(like) < 0.9  # closer pairs do not slip through
+            assert max(like) < 0.8
         if name in ("mixing", "packing"):
             assert after == before
         docs = out
