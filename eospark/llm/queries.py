@@ -96,4 +96,4 @@ def op7_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_suffix_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.without_repeats(_table(spark, sf_dir, "documents"))
-    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "passage_words")

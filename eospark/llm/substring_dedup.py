@@ -1,19 +1,23 @@
 """Removal of passages that occur more than once, by a hash-compared suffix sort.
 
 Of the hashes of all 64-byte strings within a 400-byte window the least is the window's anchor, so equal windows have the
-same anchor at the same place. Windows are handled in runs that share an anchor:
-
-* runs whose whole bytes occur again are settled by counting their 128 hash bits;
-* of runs with the same anchor and different bytes, one of each kind is sent to the anchor's group. There the suffixes at
-  the anchors are mergesorted, and so are the reversed prefixes before them. Comparisons find the common extension by
-  binary search on prefix polynomial hashes, and the extensions of neighbours are verified byte by byte. Two windows are
-  equal where both extensions reach far enough;
-* groups with very many different runs are not gathered: their windows are counted by hash.
+same anchor at the same place. Windows are handled in runs that share an anchor, and runs whose anchors have equal hashes
+form a group. Runs of one group meet with their bytes: equal ones are told by their bytes, and the suffixes at the anchors
+of different ones are mergesorted, and so are the reversed prefixes before them. Comparisons find the common extension by
+binary search on prefix polynomial hashes, and the extensions of neighbours are verified byte by byte. Two windows are
+equal where both extensions reach far enough. Hashes only bring runs together; bytes decide.
+
+A group of very many runs does not meet in one task: its runs are counted by their bytes, and if still too many different
+ones are left, each is cut in two by the anchor's place in the window. All windows of a part share a longer string, which
+makes the part's group. In the end a part is one window, and a group one string.
+
+The same is done with words in place of bytes, to find passages of more than 50 words that other documents hold too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +28,36 @@ from pyspark.sql import functions as F
 from eospark.functions.storage import staged
 
 LENGTH, GRAM = 400, 64
-#: Groups of more different runs are settled by counting window hashes.
-HOT = 4096
+#: Passages have at least so many words; their anchors so many.
+PASSAGE, WORD_GRAM = 51, 8
+#: Runs, or different runs, that one task sorts; larger groups are split.
+GROUP = 4096
 _BASE = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BYTES = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) | 1 for b in range(256)], np.uint64)
 _POWERS: dict[int, np.ndarray] = {}
 
 
+class Unit(NamedTuple):
+    """What texts are made of: bytes (tag 0) or words (tag 1), and how many make a window and an anchor."""
+
+    tag: int
+    length: int
+    gram: int
+
+    def split(self, data: bytes) -> bytes | list[bytes]:
+        return data.split() if self.tag else data
+
+    def join(self, part: bytes | list[bytes]) -> bytes:
+        return b" ".join(part) if self.tag else part
+
+    def values(self, whole: bytes | list[bytes]) -> np.ndarray:
+        """A hash of each byte or word."""
+        if self.tag:
+            return np.array([xxhash.xxh3_64_intdigest(w) for w in whole], np.uint64)
+        return _BYTES[np.frombuffer(whole, np.uint8)]
+
+
 def powers(n: int, base: int = _BASE) -> np.ndarray:
     """The first ``n`` powers of ``base``, modulo 2**64."""
     have = _POWERS.get(base, np.ones(1, np.uint64))
@@ -41,10 +67,10 @@ def powers(n: int, base: int = _BASE) -> np.ndarray:
     return have[:n]
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """Polynomial hashes of all prefixes: entry i is of the first i bytes, the first byte with the lowest power."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * powers(len(data)), out=out[1:])
+def prefix_hashes(values: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of all prefixes: entry i is of the first i values, the first one with the lowest power."""
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(len(values)), out=out[1:])
     return out
 
 
@@ -59,86 +85,81 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def gram_hashes(prefix: np.ndarray, size: int) -> np.ndarray:
-    """A scrambled hash of the ``size`` bytes from each position on."""
+    """A scrambled hash of the ``size`` values from each position on."""
     n = len(prefix) - size
     if n <= 0:
         return np.zeros(0, np.uint64)
     return mixed((prefix[size:] - prefix[:-size]) * powers(n, _INVERSE))
 
 
+_PLACE = np.uint64((1 << 24) - 1)
+
+
 def window_anchors(grams: np.ndarray, width: int) -> np.ndarray:
-    """For each run of ``width`` grams, the position of its least one, the last of them if several are."""
+    """For each run of ``width`` grams, the position of its least one (by all but 24 bits), the last of them if several are."""
     n = len(grams) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
+    if n + width > 1 << 24:  # positions have 24 bits
+        step = (1 << 24) - 2 * width
+        return np.concatenate([window_anchors(grams[at : at + step + width - 1], width) + at for at in range(0, n, step)])
     # Sliding minimum from running minima within blocks of ``width``, forwards and backwards.
+    places = (grams & ~_PLACE) | (_PLACE - np.arange(len(grams), dtype=np.uint64))
     pad = -len(grams) % width
-    blocks = np.concatenate([grams, np.full(pad, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, width)
+    blocks = np.concatenate([places, np.full(pad, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, width)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
-    # The last position up to the window's end whose gram is that small: minima only change where one leaves or enters.
-    change = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    run = np.diff(np.concatenate([change, [n]]))
-    out = np.empty(n, np.int64)
-    for a, m in zip(change.tolist(), run.tolist(), strict=True):
-        stop = a + m - 1 + width
-        hits = np.flatnonzero(grams[a:stop] == least[a]) + a
-        if len(hits) == 1:
-            out[a : a + m] = hits[0]
-        else:
-            ends = np.arange(a + width - 1, a + m - 1 + width)
-            out[a : a + m] = hits[np.searchsorted(hits, ends, side="right") - 1]
-    return out
+    return (_PLACE - (np.minimum(back[:n], ahead[width - 1 : width - 1 + n]) & _PLACE)).astype(np.int64)
 
 
-def runs(data: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, int, int, int, int]]:
-    """(anchor hash, hash of the run's bytes, first window, windows, distance from the last window to the anchor)."""
-    if len(data) < length:
-        return
-    grams = gram_hashes(prefix_hashes(np.frombuffer(data, np.uint8)), gram)
+def runs(values: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Of each run of windows: anchor hash, first window, windows, distance from the last window to the anchor."""
+    if len(values) < length:
+        return (np.zeros(0, np.int64),) * 4
+    grams = gram_hashes(prefix_hashes(values), gram)
     anchors = window_anchors(grams, length - gram + 1)
     first = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
     last = np.concatenate([first[1:], [len(anchors)]]) - 1
     at = anchors[first]
-    hashes = grams[at].view(np.int64).tolist()
-    for g, a, b, p in zip(hashes, first.tolist(), last.tolist(), at.tolist(), strict=True):
-        n, off = b - a + 1, p - b
-        u = xxhash.xxh3_64_intdigest(data[a : b + length], seed=(off << 20) + n)
-        yield g, u - (1 << 64) if u >= 1 << 63 else u, a, n, off
+    return grams[at].view(np.int64), first, last - first + 1, at - last
 
 
 def _pack(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _run_rows(length: int, gram: int):
-    names = ["g", "u", "start", "run", "off"]
+def _run_rows(units: list[Unit], bits: int):
+    """The runs of each text; ``back`` is a run's place among those of its text and unit."""
+    kinds = {"unit": np.int8, "g": np.int64, "start": np.int32, "run": np.int32, "off": np.int32, "back": np.int32}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                rows, place = [], []
+                parts: dict[str, list] = {k: [] for k in kinds}
+                place = []
                 for i, text in enumerate(batch.column(2).to_pylist()):
-                    own = list(runs(_pack(text), length, gram))
-                    rows += own
-                    place += [i] * len(own)
-                if rows:
-                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-                    cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                    take = pa.array(place)
-                    yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), *cols], ["id", "h", *names])
+                    data = _pack(text)
+                    for unit in units:
+                        g, *own = runs(unit.values(unit.split(data)), unit.length, unit.gram)
+                        n, own = len(g), (g >> (64 - bits), *own)
+                        for k, x in zip(kinds, (np.full(n, unit.tag), *own, np.arange(n)), strict=True):
+                            parts[k].append(x.astype(kinds[k]))
+                        place.append(np.full(n, i))
+                take = pa.array(np.concatenate(place))
+                cols = [pa.array(np.concatenate(x)) for x in parts.values()]
+                if len(take):
+                    yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), *cols], ["id", "h", *kinds])
 
     return run
 
 
 class Suffixes:
-    """Strings that begin at places of one buffer, each with a length; sorted within groups by vectorised mergesort."""
+    """Strings of integers that begin at places of one array, each with a length; sorted within groups by vectorised mergesort."""
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, group: np.ndarray):
         self.data, self.starts, self.lengths, self.group = data, starts, lengths, group
-        self.prefix, self.power = prefix_hashes(data), powers(len(data) + 1)
+        self.prefix, self.power = prefix_hashes(mixed(data.astype(np.uint64) + np.uint64(1))), powers(len(data) + 1)
 
     def extension(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Common first bytes of strings ``i`` and ``j``, by binary search on prefix hashes."""
@@ -199,13 +220,14 @@ class Suffixes:
         at = np.flatnonzero(self.group[order[1:]] == self.group[order[:-1]]) + 1
         ext[at] = self.extension(order[at - 1], order[at])
         if not self._verified(order, ext, at):  # hashes have clashed: compare bytes instead
-            text = self.data.tobytes()
-            key = lambda i: (self.group[i], text[self.starts[i] : self.starts[i] + self.lengths[i]])
+            text = self.data.astype(">u8").tobytes()
+            key = lambda i: (self.group[i], text[8 * self.starts[i] : 8 * (self.starts[i] + self.lengths[i])])
             order = np.array(sorted(range(len(order)), key=key), np.int64)
             for k in range(1, len(order)):
-                (g, a), (f, b) = key(order[k - 1]), key(order[k])
-                same = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-                ext[k] = same if g == f else -1
+                i, j = order[k - 1], order[k]
+                n = min(self.lengths[i], self.lengths[j])
+                other = np.flatnonzero(self.data[self.starts[i] : self.starts[i] + n] != self.data[self.starts[j] : self.starts[j] + n])
+                ext[k] = -1 if self.group[i] != self.group[j] else other[0] if len(other) else n
         return order, ext
 
     def _verified(self, order: np.ndarray, ext: np.ndarray, at: np.ndarray) -> bool:
@@ -226,13 +248,13 @@ class Suffixes:
 
 
 def repeated_windows(
-    group: np.ndarray, bytes_: list[bytes], count: np.ndarray, run: np.ndarray, off: np.ndarray, length: int = LENGTH
+    group: np.ndarray, strings: list[np.ndarray], low: np.ndarray, high: np.ndarray, run: np.ndarray, off: np.ndarray, length: int = LENGTH
 ) -> tuple[np.ndarray, np.ndarray]:
-    """For runs of windows (group ascending; each with its bytes, how often it occurs, how many windows, and the distance
-    from its last window to the anchor): the least and the greatest distance to the anchor of its windows that occur
-    again in the group (greatest < least if none does)."""
-    data = np.frombuffer(b"".join(bytes_), np.uint8)
-    sizes = np.fromiter(map(len, bytes_), np.int64, len(bytes_))
+    """For runs of windows (group ascending; each with its string, its least and greatest owner, how many windows, and the
+    distance from its last window to the anchor): the least and the greatest distance to the anchor of its windows that
+    another owner in the group has too (greatest < least if none does)."""
+    data = np.concatenate(strings)
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
     begin = np.cumsum(sizes) - sizes
     far = off + run - 1
     anchor = begin + far
@@ -248,23 +270,58 @@ def repeated_windows(
         ahead = np.cumsum(right_ext < length - d)[place_r[own]]
         behind = np.cumsum(left_ext < d)[place_l[own]]
         _, kind = np.unique(ahead * (len(run) + 1) + behind, return_inverse=True)
-        again = own[np.bincount(kind, count[own])[kind] > 1]
+        first, last = np.full(len(own), np.iinfo(np.int64).max), np.full(len(own), np.iinfo(np.int64).min)
+        np.minimum.at(first, kind, low[own])
+        np.maximum.at(last, kind, high[own])
+        again = own[(first != last)[kind]]
         least[again] = np.minimum(least[again], d)
         most[again] = d
     return least, most
 
 
-def _group_spans(length: int):
+def _symbols(unit: Unit, texts: list[bytes]) -> list[np.ndarray]:
+    """Integers that are equal where bytes or words are."""
+    if not unit.tag:
+        return [np.frombuffer(t, np.uint8) for t in texts]
+    known: dict[bytes, int] = {}
+    return [np.array([known.setdefault(w, len(known)) for w in t.split()], np.int64) for t in texts]
+
+
+def _settled(unit: Unit, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """``repeated_windows`` of a table sorted by group; runs of equal bytes are settled together."""
+    g, low, high, run, off = (table.column(c).to_numpy().astype(np.int64) for c in ("g", "low", "high", "run", "off"))
+    kinds: dict[tuple, int] = {}
+    kind = np.array([kinds.setdefault(x, len(kinds)) for x in zip(g.tolist(), run.tolist(), off.tolist(), table.column("bytes").to_pylist(), strict=True)])
+    n = len(kinds)
+    first, last = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+    np.minimum.at(first, kind, low)
+    np.maximum.at(last, kind, high)
+    keys = list(kinds)
+    group, runs_, offs = (np.array([k[i] for k in keys], np.int64) for i in range(3))
+    again = first != last
+    least, most = np.where(again, offs, 1 << 30), np.where(again, offs + runs_ - 1, -1)
+    same = group[1:] == group[:-1]
+    several = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+    if len(several):
+        ids = np.cumsum(np.concatenate([[0], group[several][1:] != group[several][:-1]]))
+        strings = _symbols(unit, [keys[i][3] for i in several])
+        least[several], most[several] = repeated_windows(ids, strings, first[several], last[several], runs_[several], offs[several], unit.length)
+    return least[kind], most[kind]
+
+
+def _group_spans(units: list[Unit], held_rows: int = GROUP):
+    """``least, most`` (see ``repeated_windows``) of rows sorted by unit and group; rows without a repeated window are gone."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def work(table: pa.Table) -> pa.RecordBatch:
-            g, n, start, windows, off = (table.column(c).to_numpy() for c in ("g", "n", "start", "run", "off"))
-            group = np.cumsum(np.concatenate([[0], g[1:] != g[:-1]]))
-            least, most = repeated_windows(group, table.column("bytes").to_pylist(), n, windows.astype(np.int64), off.astype(np.int64), length)
-            keep = np.flatnonzero((most >= least) & (n == 1))
-            anchor = start[keep] + off[keep] + windows[keep] - 1
-            took = table.select(["id", "h"]).take(pa.array(keep)).combine_chunks()
-            a, b = (anchor - most[keep]).astype(np.int32), (anchor - least[keep] + length).astype(np.int32)
-            return pa.record_batch([took.column(0).combine_chunks(), took.column(1).combine_chunks(), pa.array(a), pa.array(b)], ["id", "h", "a", "b"])
+        def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            tags = table.column("unit").to_numpy()
+            for unit in units:
+                own = table.filter(pa.array(tags == unit.tag))
+                if own.num_rows:
+                    least, most = _settled(unit, own)
+                    keep = pa.array(most >= least)
+                    own = own.append_column("least", pa.array(least.astype(np.int32))).append_column("most", pa.array(most.astype(np.int32)))
+                    yield from own.filter(keep).combine_chunks().to_batches()
 
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -273,22 +330,26 @@ def _group_spans(length: int):
                 continue
             held.append(batch)
             rows += batch.num_rows
-            if rows >= 4 * HOT:
+            if rows >= 4 * held_rows:
                 table = pa.Table.from_batches(held)
-                g = table.column("g").to_numpy()
-                last = int(np.searchsorted(g, g[-1]))
+                g, tag = table.column("g").to_numpy(), table.column("unit").to_numpy()
+                other = np.flatnonzero((g != g[-1]) | (tag != tag[-1]))
+                last = int(other[-1]) + 1 if len(other) else 0
                 if last:
-                    yield work(table.slice(0, last).combine_chunks())
+                    yield from work(table.slice(0, last).combine_chunks())
                 held = table.slice(last).combine_chunks().to_batches()
                 rows = table.num_rows - last
         if held:
-            yield work(pa.Table.from_batches(held).combine_chunks())
+            yield from work(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
-def _cut_out(length: int):
-    """The bytes of the wanted runs of each text."""
+def _cut_out(units: list[Unit]):
+    """The bytes of the wanted runs of each text; words are joined by one space."""
+    by_tag = {u.tag: u for u in units}
+    names = ["unit", "g", "low", "high", "start", "run", "off"]
+    kinds = [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -297,35 +358,54 @@ def _cut_out(length: int):
                 rows, place = [], []
                 for i, (text, wanted) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                     data = _pack(text)
+                    parts = {tag: by_tag[tag].split(data) for tag in {w["unit"] for w in wanted}}
                     for w in wanted:
-                        rows.append((w["g"], w["n"], w["k"], w["start"], w["run"], w["off"], data[w["start"] : w["start"] + w["run"] - 1 + length]))
+                        unit = by_tag[w["unit"]]
+                        cut = unit.join(parts[unit.tag][w["start"] : w["start"] + w["run"] - 1 + unit.length])
+                        rows.append((w["unit"], w["g"], w["owner"], w["owner"], w["start"], w["run"], w["off"], cut))
                         place.append(i)
                 if rows:
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
                     cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
                     take = pa.array(place)
-                    yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), *cols], ["id", "h", "g", "n", "k", "start", "run", "off", "bytes"])
+                    yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), *cols], ["id", "h", *names, "bytes"])
 
     return run
 
 
-def _window_hashes(length: int):
+def _width(unit: Unit, level: int) -> int:
+    """Places of the anchor in a part of ``2**level``."""
+    return -(-(unit.length - unit.gram + 1) // (1 << level))
+
+
+def _bands(units: list[Unit], level: int, bits: int):
+    """Runs cut at places of the anchor that are the same in all runs, ``2**level`` parts of a window's span of places.
+
+    All windows of a part share the string around the anchor that the part's places leave; its hash makes the new group.
+    """
+    by_tag = {u.tag: u for u in units}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                low, high, start, n, place = [], [], [], [], []
-                for i, r in enumerate(batch.select(["n", "start", "run", "bytes"]).to_pylist()):
-                    for w in range(r["run"]):
-                        x = xxhash.xxh3_128_digest(r["bytes"][w : w + length])
-                        low.append(int.from_bytes(x[:8], "little", signed=True))
-                        high.append(int.from_bytes(x[8:], "little", signed=True))
-                        start.append(r["start"] + w)
-                        n.append(r["n"])
+                out, place = [], []
+                for i, r in enumerate(batch.select(["unit", "g", "start", "run", "off", "bytes"]).to_pylist()):
+                    unit = by_tag[r["unit"]]
+                    width = _width(unit, level)
+                    parts, far = unit.split(r["bytes"]), r["off"] + r["run"] - 1
+                    for band in range(r["off"] // width, far // width + 1):
+                        near, off = band * width, max(r["off"], band * width)
+                        last = min(far, near + width - 1)
+                        core = unit.join(parts[far - near : far + unit.length - near - width + 1])
+                        g = xxhash.xxh3_64_intdigest(core, seed=(r["g"] + band) & ((1 << 64) - 1)) >> (64 - bits)
+                        cut = unit.join(parts[far - last : far - off + unit.length])
+                        out.append((g - (1 << 64) if g >> 63 else g, r["start"] + far - last, last - off + 1, off, cut))
                         place.append(i)
-                take = pa.array(place, pa.int64())
-                cols = [pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(n, pa.int64()), pa.array(start, pa.int32())]
-                yield pa.record_batch([batch.column("id").take(take), batch.column("h").take(take), *cols], ["id", "h", "w0", "w1", "n", "start"])
+                if out:
+                    took = batch.take(pa.array(place))
+                    fresh = dict(zip(("g", "start", "run", "off", "bytes"), zip(*out, strict=True), strict=True))
+                    cols = [pa.array(fresh[n], took.schema.field(n).type) if n in fresh else took.column(n) for n in took.schema.names]
+                    yield pa.record_batch(cols, took.schema.names)
 
     return run
 
@@ -338,30 +418,66 @@ def _renamed(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({"id": "_id", "h": "_h"})
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """``id, h, a, b`` for ``docs`` (``id, h, text``; h a hash of the text): byte ranges that together cover exactly what
-    a string of ``length`` bytes covers that also starts elsewhere."""
+def _spans(rows: DataFrame, units: list[Unit]) -> DataFrame:
+    """``id, h, unit, a, b`` of rows with ``least`` and ``most``."""
+    length = F.element_at(F.create_map(*[F.lit(x) for u in units for x in (u.tag, u.length)]), F.col("unit").cast("int"))
+    anchor = F.col("start") + F.col("off") + F.col("run") - 1
+    return rows.select("id", "h", "unit", (anchor - F.col("most")).alias("a"), (anchor - F.col("least") + length).alias("b"))
+
+
+def _of_large_groups(rows: DataFrame, units: list[Unit], group: int, bits: int) -> DataFrame:
+    """``id, h, unit, a, b`` of rows (see ``_cut_out``) whose groups are larger than ``group``."""
+    keys = ["unit", "g"]
+    same = [*keys, "run", "off", "bytes"]
+    spans: list[DataFrame] = []
+    for level in range(1, 64):  # the first one takes runs as they are
+        kinds = staged(rows.groupBy(*same).agg(F.min("low").alias("low"), F.max("high").alias("high")), "kinds")
+        if all(_width(u, level - 1) == 1 for u in units):  # a run is a window, a kind a string
+            own = kinds.where("low <> high").select(*same, F.col("off").alias("least"), F.col("off").alias("most"))
+            spans.append(_spans(rows.join(staged(own, "settled"), same), units))
+            break
+        many = staged(kinds.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h"), "many")
+        few = kinds.join(many.where(F.col("n") <= group).select(*keys), keys)
+        few = few.repartition(*keys).sortWithinPartitions(*keys).select(*same, "low", "high")
+        few = few.mapInArrow(_group_spans(units, group), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in few.schema) + ", least int, most int")
+        # Written first, so that both sides of the join are plain exchanges and Spark can split hot ones.
+        spans.append(_spans(rows.join(staged(few.drop("low", "high"), "settled"), same), units))
+        left = staged(rows.join(many.where(F.col("n") > group).select(*keys), keys, "left_semi").select(*rows.columns), "left")
+        if left.isEmpty():
+            break
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+        rows = staged(left.mapInArrow(_bands(units, level, bits), schema), "bands")
+    out = spans[0]
+    for more in spans[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def repeated_spans(docs: DataFrame, units: list[Unit], group: int = GROUP, hash_bits: int = 64) -> DataFrame:
+    """``id, h, unit, a, b`` for ``docs`` (``id, h, text``; h a hash of the text): ranges of bytes that together cover
+    exactly what a window covers that also starts elsewhere, and of words what another document holds too."""
     kind = docs.schema["id"].dataType.simpleString()
-    found = docs.select("id", "h", "text").mapInArrow(_run_rows(length, gram), f"id {kind}, h bigint, g bigint, u bigint, start int, run int, off int")
-    found = staged(found, "runs").withColumn("who", F.xxhash64("id", "h", "start"))
-    kinds = staged(found.groupBy("g", "u").agg(F.count(F.lit(1)).alias("n"), F.min("who").alias("rep")), "kinds")
-    several = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    wanted = staged(kinds.join(several, "g", "left").where("n > 1 or k is not null"), "wanted")
-    marked = staged(found.join(wanted, ["g", "u"]).where("n > 1 or who = rep"), "marked")
-    whole = marked.where("n > 1").select("id", "h", F.col("start").alias("a"), (F.col("start") + F.col("run") - 1 + length).alias("b"))
-    asked = marked.where("k is not null and who = rep").groupBy("id", "h").agg(F.collect_list(F.struct("g", "n", "k", "start", "run", "off")).alias("asked"))
-    asked = _renamed(asked)
-    cut = docs.join(asked, _key(docs, asked)).select("id", "h", "text", "asked")
-    cut = cut.mapInArrow(_cut_out(length), f"id {kind}, h bigint, g bigint, n bigint, k bigint, start int, run int, off int, bytes binary")
-    grouped = cut.where(F.col("k") <= hot).repartition("g").sortWithinPartitions("g").mapInArrow(_group_spans(length), f"id {kind}, h bigint, a int, b int")
-    spans = whole.unionByName(grouped)
-    if not several.where(F.col("k") > hot).isEmpty():
-        windows = cut.where(F.col("k") > hot).mapInArrow(_window_hashes(length), f"id {kind}, h bigint, w0 bigint, w1 bigint, n bigint, start int")
-        windows = staged(windows, "windows")
-        again = staged(windows.groupBy("w0", "w1").agg(F.sum("n").alias("all")).where("all > 1").select("w0", "w1"), "again")
-        more = windows.where("n = 1").join(again, ["w0", "w1"]).select("id", "h", F.col("start").alias("a"), (F.col("start") + length).alias("b"))
-        spans = spans.unionByName(more)
-    return spans
+    found = docs.select("id", "h", "text").mapInArrow(
+        _run_rows(units, hash_bits), f"id {kind}, h bigint, unit byte, g bigint, start int, run int, off int, back int"
+    )
+    who = F.monotonically_increasing_id()
+    found = staged(found.withColumn("owner", F.when(F.col("unit") == 1, who - F.col("back")).otherwise(who)).drop("back"), "runs")
+    several = found.groupBy("unit", "g").agg(F.count(F.lit(1)).alias("n"), F.min("owner").alias("l"), F.max("owner").alias("h"))
+    several = staged(several.where("l <> h").select("unit", "g", "n"), "several")
+    marked = staged(found.join(several, ["unit", "g"]), "marked")
+
+    def cut(of: DataFrame) -> DataFrame:
+        asked = of.groupBy("id", "h").agg(F.collect_list(F.struct("unit", "g", "owner", "start", "run", "off")).alias("asked"))
+        asked = _renamed(asked)
+        rows = docs.join(asked, _key(docs, asked)).select("id", "h", "text", "asked")
+        return rows.mapInArrow(_cut_out(units), row_schema)
+
+    row_schema = f"id {kind}, h bigint, unit byte, g bigint, low bigint, high bigint, start int, run int, off int, bytes binary"
+    rows = cut(marked.where(F.col("n") <= group)).repartition("unit", "g").sortWithinPartitions("unit", "g")
+    spans = _spans(rows.mapInArrow(_group_spans(units, group), row_schema + ", least int, most int"), units)
+    if several.where(F.col("n") > group).isEmpty():
+        return spans
+    return spans.unionByName(_of_large_groups(staged(cut(marked.where(F.col("n") > group)), "large"), units, group, hash_bits))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -375,16 +491,23 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """One row a document: ``id_col, n_bytes, n_removed, n_spans, kept`` (the remaining bytes).
+def without_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, passage: int = PASSAGE,
+    word_gram: int = WORD_GRAM, group: int = GROUP, hash_bits: int = 64,
+) -> DataFrame:
+    """One row a document: ``id_col, n_bytes, n_removed, n_spans, kept`` (the remaining bytes) and ``passage_words``.
 
     Every byte goes that lies in a string of ``length`` bytes which also starts anywhere else, be it in the same document.
     Texts are UTF-8; null is empty; texts shorter than ``length`` stay whole. Rows that repeat each other count as
-    occurrences each. An empty table gives an empty table.
+    occurrences each. An empty table gives an empty table. ``passage_words`` counts the words that lie in passages of at
+    least ``passage`` words (runs of anything but ASCII white space) which another document holds too; rows are documents
+    of their own even if they share an id, and such words are counted only, not removed. Other columns are ignored.
+    ``hash_bits`` below 64 only serves tests, which force anchors to clash.
     """
+    units = [Unit(0, length, gram), Unit(1, passage, word_gram)]
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("h"), "text")
     kind = src.schema["id"].dataType.simpleString()
-    spans = repeated_spans(src, length, gram, hot).groupBy("id", "h").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = repeated_spans(src, units, group, hash_bits).groupBy("id", "h").agg(F.collect_list(F.struct("unit", "a", "b")).alias("spans"))
     spans = _renamed(spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,13 +517,13 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 rows = []
                 for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     data = _pack(text)
-                    gone = merged([(s["a"], s["b"]) for s in found or []])
+                    gone, held = (merged([(s["a"], s["b"]) for s in found or [] if s["unit"] == u.tag]) for u in units)
                     edges = [0, *[x for s in gone for x in s], len(data)]
                     kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                    rows.append((len(data), len(data) - len(kept), len(gone), kept))
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
-                yield pa.record_batch([batch.column(0), *cols], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
+                    rows.append((len(data), len(data) - len(kept), len(gone), kept, sum(b - a for a, b in held)))
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)]
+                yield pa.record_batch([batch.column(0), *cols], ["id", "n_bytes", "n_removed", "n_spans", "kept", "passage_words"])
 
     joined = src.join(spans, _key(src, spans), "left").select("id", "text", "spans")
-    out = joined.mapInArrow(run, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    out = joined.mapInArrow(run, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, passage_words bigint")
     return out.withColumnRenamed("id", id_col)

@@ -332,13 +332,51 @@ def slow_repeats(ts, n):
     return out
 
 
-@pytest.mark.parametrize("length,gram,hot", [(400, 64, 4096), (50, 16, 4096), (50, 16, 1), (40, 40, 2)])
-def test_repeats(spark, length, gram, hot):
+def slow_passages(ts, n):
+    """Words of each text in runs of n words that another text holds too."""
+    words = [(t or "").encode().split() for t in ts]
+    holders = defaultdict(set)
+    for i, w in enumerate(words):
+        for k in range(len(w) - n + 1):
+            holders[tuple(w[k : k + n])].add(i)
+    out = []
+    for w in words:
+        held = np.zeros(len(w), bool)
+        for k in range(len(w) - n + 1):
+            if len(holders[tuple(w[k : k + n])]) > 1:
+                held[k : k + n] = True
+        out.append(int(held.sum()))
+    return out
+
+
+@pytest.mark.parametrize("length,gram,group,bits", [(400, 64, 4096, 64), (50, 16, 4096, 64), (50, 16, 20, 64), (40, 40, 2, 64), (50, 16, 4096, 3), (50, 16, 20, 1)])
+def test_repeats(spark, length, gram, group, bits):
+    """Groups in one task or split over and over; with clashing anchors, which make one group of unlike runs, bytes decide."""
     ts = [t[:6000] if t else t for t in texts()]
     passage = prose(30, 5)
     ts += [prose(9, 200 + i)[: 7 * i] + passage[i : len(passage) - i] + prose(9, 300 + i) for i in range(12)]
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in substring_dedup.without_repeats(docs(spark, list(enumerate(ts))), length=length, gram=gram, hot=hot).collect()}
-    assert [got[i] for i in range(len(ts))] == slow_repeats(ts, length)
+    ts += ["a" * 900, "so " * 60, prose(5, 9) + " " + "so " * 40]
+    found = substring_dedup.without_repeats(docs(spark, list(enumerate(ts))), length=length, gram=gram, passage=20, word_gram=4, group=group, hash_bits=bits)
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert [tuple(got[i][c] for c in ("n_bytes", "n_removed", "n_spans")) + (bytes(got[i]["kept"]),) for i in range(len(ts))] == slow_repeats(ts, length)
+    assert [got[i]["passage_words"] for i in range(len(ts))] == slow_passages(ts, 20)
+
+
+def test_a_hot_passage_is_split(spark):
+    """One passage in all of 300 texts, groups of at most 16: settled by their bytes, however often they are cut."""
+    passage = prose(80, 77)
+    ts = [prose(12 + i % 5, 5000 + i) + " " + passage + " " + prose(12, 6000 + i % 90) for i in range(300)]
+    got = {r["doc_id"]: r for r in substring_dedup.without_repeats(docs(spark, list(enumerate(ts))), length=100, gram=16, group=16).collect()}
+    assert [(got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], bytes(got[i]["kept"])) for i in range(300)] == slow_repeats(ts, 100)
+    assert [got[i]["passage_words"] for i in range(300)] == slow_passages(ts, 51)
+
+
+def test_anchors_of_long_texts(monkeypatch):
+    """Windows are dealt to pieces when places no longer fit; ties go to the last place either way."""
+    rng = np.random.default_rng(1)
+    grams = rng.integers(0, 50, 5000).astype(np.uint64) << np.uint64(30)
+    want = [max(k for k in range(i, i + 40) if grams[k] == grams[i : i + 40].min()) for i in range(4961)]
+    assert substring_dedup.window_anchors(grams, 40).tolist() == want
 
 
 def test_repeats_edges(spark):
