@@ -129,8 +129,8 @@ def _pack(text: str | None) -> bytes:
 
 
 def _run_rows(units: list[Unit], bits: int):
-    """The runs of each text; ``back`` is a run's place among those of its text and unit."""
-    kinds = {"unit": np.int8, "g": np.int64, "start": np.int32, "run": np.int32, "off": np.int32, "back": np.int32}
+    """The runs of each text."""
+    kinds = {"unit": np.int8, "g": np.int64, "start": np.int32, "run": np.int32, "off": np.int32}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -143,7 +143,7 @@ def _run_rows(units: list[Unit], bits: int):
                     for unit in units:
                         g, *own = runs(unit.values(unit.split(data)), unit.length, unit.gram)
                         n, own = len(g), (g >> (64 - bits), *own)
-                        for k, x in zip(kinds, (np.full(n, unit.tag), *own, np.arange(n)), strict=True):
+                        for k, x in zip(kinds, (np.full(n, unit.tag), *own), strict=True):
                             parts[k].append(x.astype(kinds[k]))
                         place.append(np.full(n, i))
                 take = pa.array(np.concatenate(place))
@@ -348,8 +348,8 @@ def _group_spans(units: list[Unit], held_rows: int = GROUP):
 def _cut_out(units: list[Unit]):
     """The bytes of the wanted runs of each text; words are joined by one space."""
     by_tag = {u.tag: u for u in units}
-    names = ["unit", "g", "low", "high", "start", "run", "off"]
-    kinds = [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["unit", "g", "start", "run", "off"]
+    kinds = [pa.int8(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -362,7 +362,7 @@ def _cut_out(units: list[Unit]):
                     for w in wanted:
                         unit = by_tag[w["unit"]]
                         cut = unit.join(parts[unit.tag][w["start"] : w["start"] + w["run"] - 1 + unit.length])
-                        rows.append((w["unit"], w["g"], w["owner"], w["owner"], w["start"], w["run"], w["off"], cut))
+                        rows.append((w["unit"], w["g"], w["start"], w["run"], w["off"], cut))
                         place.append(i)
                 if rows:
                     cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
@@ -453,31 +453,45 @@ def _of_large_groups(rows: DataFrame, units: list[Unit], group: int, bits: int)
     return out
 
 
+def _owner() -> Column:
+    """Who holds a run: a place in a text, or for words a text. Copies of a text are one and the same here."""
+    return F.when(F.col("unit") == 1, F.col("h")).otherwise(F.xxhash64("h", "start"))
+
+
 def repeated_spans(docs: DataFrame, units: list[Unit], group: int = GROUP, hash_bits: int = 64) -> DataFrame:
     """``id, h, unit, a, b`` for ``docs`` (``id, h, text``; h a hash of the text): ranges of bytes that together cover
-    exactly what a window covers that also starts elsewhere, and of words what another document holds too."""
+    exactly what a window covers that also starts elsewhere, and of words what another document holds too.
+
+    Texts that have copies repeat as a whole: all their rows get a range of unit 2. One row of each such text still meets
+    the other texts.
+    """
     kind = docs.schema["id"].dataType.simpleString()
-    found = docs.select("id", "h", "text").mapInArrow(
-        _run_rows(units, hash_bits), f"id {kind}, h bigint, unit byte, g bigint, start int, run int, off int, back int"
-    )
-    who = F.monotonically_increasing_id()
-    found = staged(found.withColumn("owner", F.when(F.col("unit") == 1, who - F.col("back")).otherwise(who)).drop("back"), "runs")
-    several = found.groupBy("unit", "g").agg(F.count(F.lit(1)).alias("n"), F.min("owner").alias("l"), F.max("owner").alias("h"))
+    slim = staged(docs.select("id", "h", F.unhex(F.sha2("text", 256)).alias("sha")), "slim")
+    # Written first, so that both sides of the join are plain exchanges and Spark can split a hot text.
+    copied = staged(slim.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1"), "copied")
+    copies = slim.join(copied, "sha").groupBy("id", "h").agg(F.first("first").alias("first"))
+    copies = staged(copies, "copies")
+    others = _renamed(copies.where(~F.col("id").eqNullSafe(F.col("first"))).drop("first"))
+    found = docs.select("id", "h", "text").mapInArrow(_run_rows(units, hash_bits), f"id {kind}, h bigint, unit byte, g bigint, start int, run int, off int")
+    found = staged(found, "runs")
+    several = found.groupBy("unit", "g").agg(F.count(F.lit(1)).alias("n"), F.min(_owner()).alias("l"), F.max(_owner()).alias("h"))
     several = staged(several.where("l <> h").select("unit", "g", "n"), "several")
-    marked = staged(found.join(several, ["unit", "g"]), "marked")
 
     def cut(of: DataFrame) -> DataFrame:
-        asked = of.groupBy("id", "h").agg(F.collect_list(F.struct("unit", "g", "owner", "start", "run", "off")).alias("asked"))
-        asked = _renamed(asked)
+        asked = found.join(of, ["unit", "g"]).groupBy("id", "h").agg(F.collect_set(F.struct("unit", "g", "start", "run", "off")).alias("asked"))
+        asked = _renamed(asked.join(others, _key(asked, others), "left_anti"))
         rows = docs.join(asked, _key(docs, asked)).select("id", "h", "text", "asked")
-        return rows.mapInArrow(_cut_out(units), row_schema)
-
-    row_schema = f"id {kind}, h bigint, unit byte, g bigint, low bigint, high bigint, start int, run int, off int, bytes binary"
-    rows = cut(marked.where(F.col("n") <= group)).repartition("unit", "g").sortWithinPartitions("unit", "g")
-    spans = _spans(rows.mapInArrow(_group_spans(units, group), row_schema + ", least int, most int"), units)
-    if several.where(F.col("n") > group).isEmpty():
+        rows = rows.mapInArrow(_cut_out(units), f"id {kind}, h bigint, unit byte, g bigint, start int, run int, off int, bytes binary")
+        return rows.select("id", "h", "unit", "g", _owner().alias("low"), _owner().alias("high"), "start", "run", "off", "bytes")
+
+    few, many = several.where(F.col("n") <= group), several.where(F.col("n") > group)
+    rows = cut(few).repartition("unit", "g").sortWithinPartitions("unit", "g")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    spans = _spans(rows.mapInArrow(_group_spans(units, group), schema + ", least int, most int"), units)
+    spans = spans.unionByName(copies.select("id", "h", F.lit(2).cast("byte").alias("unit"), F.lit(0).alias("a"), F.lit(0).alias("b")))
+    if many.isEmpty():
         return spans
-    return spans.unionByName(_of_large_groups(staged(cut(marked.where(F.col("n") > group)), "large"), units, group, hash_bits))
+    return spans.unionByName(_of_large_groups(staged(cut(many), "large"), units, group, hash_bits))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -518,6 +532,8 @@ def without_repeats(
                 for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     data = _pack(text)
                     gone, held = (merged([(s["a"], s["b"]) for s in found or [] if s["unit"] == u.tag]) for u in units)
+                    if any(s["unit"] == 2 for s in found or []):  # the text has copies
+                        gone, held = ([(0, n)] if n >= u.length else [] for u, n in ((u, len(u.split(data))) for u in units))
                     edges = [0, *[x for s in gone for x in s], len(data)]
                     kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                     rows.append((len(data), len(data) - len(kept), len(gone), kept, sum(b - a for a, b in held)))
