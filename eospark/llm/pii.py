@@ -1,9 +1,8 @@
 """Personal data in texts: patterns, and a character-level BiLSTM-CRF that adds what patterns miss.
 
-Patterns give the base spans, which always stay. They are also the labels that the tagger learns from, together with
-made-up variants of the same kinds in other formats. All kinds need a digit or an ``@``, so windows without either
-cannot hold a span and are not decoded; every other part of a text is covered by overlapping windows, whose tags are
-reconciled over the whole text.
+Patterns give the base spans, which always stay. They are also labels that the tagger learns from, together with made-up
+spans of the same kinds in other formats (spelled-out addresses, other separators) and look-alikes that are none. Every
+text is decoded whole, in overlapping windows, whose tags are reconciled over the whole text.
 """
 
 from __future__ import annotations
@@ -17,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-#: The tagger is fitted on windows of at most so many texts that hold a digit or an ``@``, in the order of a hash.
+#: The tagger is fitted on windows of at most so many texts, in the order of a hash, and on so many windows of them:
+#: half of them with a base span, as far as there are any.
 MAX_TEXTS = 1500
 MAX_WINDOWS = 3000
-WINDOW, STRIDE, MARGIN = 64, 32, 20
-EMBED, HIDDEN, STEPS, BATCH = 12, 16, 350, 64
+#: Characters in a window that is learnt from, and in one that is decoded; decoded windows overlap by ``OVERLAP``.
+WINDOW, SPAN, OVERLAP = 80, 384, 32
+EMBED, HIDDEN, STEPS, BATCH = 12, 14, 500, 64
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -29,7 +30,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]+")
+_TRIGGER = re.compile(r"[0-9@]")
 
 
 def _luhn(digits: str) -> bool:
@@ -106,8 +107,8 @@ def _lstm(model: dict, way: str, x: np.ndarray) -> tuple[np.ndarray, list]:
     """Hidden states (time, batch, hidden) of embedded input (time, batch, embed), and what the gradient needs."""
     steps, n, _ = x.shape
     pre = x @ model[f"{way}_in"] + model[f"{way}_b"]
-    h = c = np.zeros((n, HIDDEN))
-    hs, saved = np.empty((steps, n, HIDDEN)), []
+    h = c = np.zeros((n, HIDDEN), x.dtype)
+    hs, saved = np.empty((steps, n, HIDDEN), x.dtype), []
     for t in range(steps):
         z = pre[t] + h @ model[f"{way}_rec"]
         i, f, o = (_sigmoid(z[:, k * HIDDEN : (k + 1) * HIDDEN] + (k == 1)) for k in range(3))
@@ -122,8 +123,8 @@ def _lstm(model: dict, way: str, x: np.ndarray) -> tuple[np.ndarray, list]:
 
 
 def _lstm_gradient(model: dict, way: str, x: np.ndarray, saved: list, dhs: np.ndarray, grads: dict) -> np.ndarray:
-    dz = np.empty((*dhs.shape[:2], 4 * HIDDEN))
-    dh = dc = np.zeros(dhs.shape[1:])
+    dz = np.empty((*dhs.shape[:2], 4 * HIDDEN), x.dtype)
+    dh = dc = np.zeros(dhs.shape[1:], x.dtype)
     for t in range(len(x) - 1, -1, -1):
         i, f, o, g, before, last, tc = saved[t]
         dh = dh + dhs[t]
@@ -185,7 +186,7 @@ def gradient(model: dict, codes: np.ndarray, tags: np.ndarray) -> tuple[float, d
 
 def fit(codes: np.ndarray, tags: np.ndarray, steps: int = STEPS, seed: int = 0) -> dict[str, np.ndarray]:
     """A model from (windows, WINDOW) character classes and tags, by Adam."""
-    model, rng = new_model(seed), np.random.default_rng(seed)
+    model, rng = {k: v.astype(np.float32) for k, v in new_model(seed).items()}, np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in model.items()}
     v = {k: np.zeros_like(x) for k, x in model.items()}
     for step in range(1, steps + 1):
@@ -196,17 +197,57 @@ def fit(codes: np.ndarray, tags: np.ndarray, steps: int = STEPS, seed: int = 0)
             g = g * min(1.0, 5 / (norm + 1e-9))
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.999 * v[k] + 0.001 * g * g
-            model[k] = model[k] - 0.015 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+            rate = 0.015 * min(1.0, 2 * (1 - step / (steps + 1)))
+            model[k] = model[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
     return model
 
 
-def decode(model: dict, codes: np.ndarray) -> np.ndarray:
-    """The most likely tags of each window (Viterbi)."""
-    e = _emissions(model, codes)[0]
+def _hidden_emissions(model: dict, codes: np.ndarray) -> np.ndarray:
+    """Emissions (time, batch, tags) without what a gradient needs, in single precision.
+
+    A character's share of the gates is looked up. All gates are one logistic function, as tanh(x) = 2 / (1 + exp(-2x)) - 1.
+    """
+    steps, n, h_ = codes.shape[1], len(codes), HIDDEN
+    out = np.empty((steps, n, TAGS), np.float32)
+    out[:] = model["out_b"]
+    scale = np.r_[np.ones(3 * h_), np.full(h_, 2.0)]
+    z, c, h, t = np.empty((n, 4 * h_), np.float32), np.empty((n, h_), np.float32), np.empty((n, h_), np.float32), np.empty((n, h_), np.float32)
+    add, share = np.empty_like(z), np.empty((n, TAGS), np.float32)
+    by_time = np.ascontiguousarray(codes.T)
+    for way in "fb":
+        bias = model[f"{way}_b"] + np.r_[np.zeros(h_), np.ones(h_), np.zeros(2 * h_)]  # as in training
+        table = (-(model["embed"] @ model[f"{way}_in"] + bias) * scale).astype(np.float32)
+        rec = (-model[f"{way}_rec"] * scale).astype(np.float32)
+        own = model["out"][:h_] if way == "f" else model["out"][h_:]
+        own = own.astype(np.float32)
+        c[:], h[:] = 0, 0
+        for k in range(steps) if way == "f" else range(steps - 1, -1, -1):
+            np.take(table, by_time[k], axis=0, out=z)
+            z += np.matmul(h, rec, out=add)
+            np.exp(z, out=z)
+            z += 1
+            np.reciprocal(z, out=z)
+            np.multiply(z[:, 3 * h_ :], 2, out=t)
+            t -= 1
+            t *= z[:, :h_]
+            c *= z[:, h_ : 2 * h_]
+            c += t
+            np.multiply(c, -2, out=t)
+            np.exp(t, out=t)
+            t += 1
+            np.reciprocal(t, out=t)
+            t *= 2
+            t -= 1
+            np.multiply(t, z[:, 2 * h_ : 3 * h_], out=h)
+            out[k] += np.matmul(h, own, out=share)
+    return out
+
+
+def _viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
     steps, n, _ = e.shape
     best, back = e[0], np.empty(e.shape, np.int64)
     for t in range(1, steps):
-        step = best[:, :, None] + model["trans"]
+        step = best[:, :, None] + trans
         back[t] = step.argmax(axis=1)
         best = np.take_along_axis(step, back[t][:, None, :], 1)[:, 0] + e[t]
     tags = np.empty((steps, n), np.int64)
@@ -216,18 +257,34 @@ def decode(model: dict, codes: np.ndarray) -> np.ndarray:
     return tags.T
 
 
-def windows(text: str) -> list[int]:
-    """Starts of overlapping windows that together cover every digit and ``@`` with ``MARGIN`` characters around."""
-    starts: list[int] = []
-    reach = -1
-    for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        at = a if not starts or a > reach else starts[-1] + STRIDE
-        while reach < b:
-            starts.append(at)
-            reach = at + WINDOW
-            at += STRIDE
-    return starts
+def decode(model: dict, codes: np.ndarray) -> np.ndarray:
+    """The most likely tags of each window (Viterbi).
+
+    A bound on what any stay in other tags could gain over "outside", with all other tags taken as one, says for most
+    windows that outside throughout is the best path; the others are searched.
+    """
+    with np.errstate(over="ignore"):  # exp to infinity, whose reciprocal is zero
+        e = _hidden_emissions(model, codes)
+    trans = model["trans"].astype(np.float32)
+    outside = e[:, :, 0] + trans[0, 0]
+    enter = (e[:, :, 1:] + trans[0, 1:]).max(axis=2) - outside
+    go_on = (e[:, :, 1:] + trans[1:, 1:].max(axis=0)).max(axis=2) - outside
+    enter[0] = e[0, :, 1:].max(axis=1) - e[0, :, 0]
+    gain = most = enter[0]
+    for t in range(1, len(e)):
+        gain = np.maximum(enter[t], gain + go_on[t])
+        most = np.maximum(most, gain)
+    plain = (most + (trans[1:, 0] - trans[0, 0]).max() <= 0) & (gain <= 0)
+    tags = np.zeros(codes.shape, np.int64)
+    rest = np.flatnonzero(~plain)
+    if len(rest):
+        tags[rest] = _viterbi(e[:, rest], trans)
+    return tags
+
+
+def windows(n: int) -> list[int]:
+    """Starts of overlapping windows that together cover ``n`` characters."""
+    return [0, *range(SPAN - OVERLAP, n - OVERLAP, SPAN - OVERLAP)] if n else []
 
 
 def _tags_of(text: str, spans: list[tuple[str, int, int]]) -> np.ndarray:
@@ -239,97 +296,129 @@ def _tags_of(text: str, spans: list[tuple[str, int, int]]) -> np.ndarray:
     return tags
 
 
-def _pad(x: np.ndarray) -> np.ndarray:
-    return np.pad(x, (0, WINDOW - len(x)))
+def _pad(x: np.ndarray, n: int = WINDOW) -> np.ndarray:
+    return np.pad(x, (0, n - len(x)))
+
+
+def _card(rng: np.random.Generator) -> str:
+    """Sixteen digits that pass Luhn."""
+    digits = "".join(map(str, rng.integers(0, 10, 15)))
+    return digits + next(str(d) for d in range(10) if _luhn(digits + str(d)))
 
 
-def _variants(count: int, seed: int) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """Made-up sentences with spans in formats that the patterns do not know."""
+def _variants(count: int, seed: int, contexts: list[str] | None = None) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """Made-up spans in formats that the patterns do not know, and look-alikes that are none, amid ``contexts`` and words."""
     rng = np.random.default_rng(seed)
-    word = lambda: "".join(rng.choice(list("abcdefghilmnoprstu"), int(rng.integers(2, 9))))
+    pick = lambda xs: xs[int(rng.integers(0, len(xs)))]
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnoprstuvwz"), int(rng.integers(2, 9))))
     num = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+
+    def email() -> str:
+        user = word() + pick(["", num(2), pick([".", "_"]) + word(), " dot " + word()])
+        at = pick([" at ", " [at] ", "[at]", "(at)", " (at) ", " AT ", " @ "])
+        dot = pick([" dot ", " DOT ", "[.]", " [dot] ", "(dot)", "."]) if at != "@" else pick([" dot ", "[.]", "[dot]"])
+        if dot == "." and at in (" at ", " AT "):
+            dot = " dot "
+        return user + at + word() + dot + pick(["com", "org", "net", "de", "io", "co"])
+
+    def phone() -> str:
+        return pick([f"({num(3)}) {num(3)}-{num(4)}", f"00{num(2)} {num(3)} {num(3)} {num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}"])
+
+    def ip() -> str:
+        return pick([" . ", "[.]", " [.] ", "(.)"]).join(str(x) for x in rng.integers(0, 256, 4))
+
+    def card() -> str:
+        d = _card(rng)
+        return pick([".", "/", "_", "  ", " - "]).join(d[i : i + 4] for i in range(0, 16, 4))
+
+    def alike() -> str:
+        return pick(
+            [f"{num(3)}-{num(2)}-{num(4)}", f"{num(2)}/{num(2)}/{num(4)}", f"20{num(2)}-0{num(1)}-1{num(1)} {num(2)}:{num(2)}", f"${num(2)},{num(3)}.{num(2)}",
+             f"v{num(1)}.{num(1)}.{num(2)}", f"section {num(1)}.{num(1)}", f"no. {num(9)}", f"{num(2)},{num(3)},{num(3)}", f"ref {num(4)}-{num(6)}", f"id {num(12)}",
+             "look at the dot on it", f"met at {word()} and", f"dot {word()} at {num(2)}", f"pages {num(3)}-{num(3)}", f"@{word()} {word()}", f"{num(4)} {num(4)}", f"{word()} at {word()} ."]
+        )
+
+    make = {"email": email, "phone": phone, "ip": ip, "card": card}
     out = []
     for _ in range(count):
-        kind = KINDS[int(rng.integers(0, 4))]
-        if kind == "email":
-            span = f"{word()}{num(2)} @ {word()}.com" if rng.random() < 0.5 else f"{word()}.{word()}@{word()}[.]org"
-        elif kind == "phone":
-            span = f"({num(3)}) {num(3)}-{num(4)}" if rng.random() < 0.5 else f"00{num(2)} {num(3)} {num(3)} {num(4)}"
-        elif kind == "ip":
-            span = " . ".join(str(x) for x in rng.integers(1, 255, 4)) if rng.random() < 0.5 else "[.]".join(str(x) for x in rng.integers(1, 255, 4))
-        else:
-            span = ".".join([num(4), num(4), num(4), num(4)]) if rng.random() < 0.5 else "/".join([num(4), num(4), num(4), num(4)])
-        before = " ".join(word() for _ in range(int(rng.integers(2, 6)))) + " "
-        after = " " + " ".join(word() for _ in range(6))
-        out.append((before + span + after, [(kind, len(before), len(before) + len(span))]))
+        kind = pick([*KINDS, "email", None, None])
+        span = make[kind]() if kind else alike()
+        around = pick(contexts) if contexts and rng.random() < 0.6 else " ".join(word() for _ in range(16))
+        cut = int(rng.integers(0, max(1, min(len(around), 40))))
+        before, after = around[:cut] + pick([" ", " ", ": ", " (", ", "]) if cut else "", pick([" ", " ", ". ", ", ", ") "]) + around[cut:]
+        text = before + span + after
+        # A context may hold base spans of its own.
+        spans = [x for x in base_spans(text) if x[2] <= len(before) or x[1] >= len(before) + len(span)]
+        out.append((text, spans + ([(kind, len(before), len(before) + len(span))] if kind else [])))
     return out
 
 
-def training_windows(texts: list[str], limit: int = MAX_WINDOWS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Character classes and tags of at most ``limit`` windows of the texts, and of made-up variants, a fifth as many."""
-    codes, tags = [], []
-    for text in texts:
-        if len(codes) >= limit:
-            break
-        c, y = _codes(text), _tags_of(text, base_spans(text))
-        for at in windows(text):
-            part = y[at : at + WINDOW]
-            # A span that began before the window has no beginning here: such windows are not learnt from.
-            if len(part) and not (part[0] and part[0] % 2 == 0):
-                codes.append(_pad(c[at : at + WINDOW]))
-                tags.append(_pad(part))
-    for text, spans in _variants(max(200, len(codes) // 5), seed):
-        codes.append(_pad(_codes(text)[:WINDOW]))
-        tags.append(_pad(_tags_of(text, spans)[:WINDOW]))
-    return np.array(codes[: limit * 2]), np.array(tags[: limit * 2])
-
-
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_texts: int = MAX_TEXTS, steps: int = STEPS) -> dict:
-    """Fit on the surroundings of digits and ``@`` in at most ``max_texts`` texts; only those pieces reach the driver."""
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    src = src.orderBy(F.xxhash64("id"), F.col("id")).limit(max_texts).select("text")
+def training_windows(pieces: list[str], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Character classes and tags of the pieces, of at most ``WINDOW`` characters, and of as many variants amid them."""
+    made = [(t, base_spans(t)) for t in pieces] + _variants(max(1500, len(pieces)), seed, [t for t in pieces if len(t) > 20])
+    codes = np.array([_pad(_codes(t)[:WINDOW]) for t, _ in made])
+    return codes, np.array([_pad(_tags_of(t, spans)[:WINDOW]) for t, spans in made])
+
+
+def train(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_texts: int = MAX_TEXTS, max_windows: int = MAX_WINDOWS, steps: int = STEPS
+) -> dict:
+    """Fit on at most ``max_windows`` windows of at most ``max_texts`` texts, half of the windows with a base span as far as
+    there are any, all picked by a hash of what they hold; only these windows reach the driver. An empty table leaves the
+    made-up variants to learn from."""
+    text = F.col(text_col).cast("string")
+    ids = docs.where(text.rlike("[0-9@]")).select(F.xxhash64(text).alias("_h")).distinct().orderBy(F.xxhash64("_h", F.lit(1)), "_h").limit(max_texts)
+    # At most ``max_texts`` keys of eight bytes.
+    src = docs.select(text.alias("text"), F.xxhash64(text).alias("_h")).join(F.broadcast(ids), "_h", "left_semi").select("text")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
             for text in batch.column(0).to_pylist():
-                starts = windows(text)[:64]
-                out += [text[max(0, a - WINDOW) : a + 2 * WINDOW] for a in starts[::2]]
-            yield pa.record_batch([pa.array(out, pa.string())], ["piece"])
-
-    rows = src.mapInArrow(pieces, "piece string").limit(2 * MAX_WINDOWS).collect()
-    return fit(*training_windows(sorted(r["piece"] for r in rows)), steps=steps)
-
-
+                spans, at, out, held = base_spans(text), 0, [], []
+                ends = sorted((a, b) for _, a, b in spans)
+                while at < len(text):
+                    stop = min(len(text), at + WINDOW)
+                    for a, b in ends:  # a window that would cut a span begins or ends beside it
+                        if a < stop < b:
+                            stop = a if a > at else min(b, at + WINDOW)
+                    out.append(text[at:stop])
+                    held.append(any(a >= at and b <= stop for a, b in ends))
+                    at = stop
+                yield pa.record_batch([pa.array(out, pa.string()), pa.array(held, pa.bool_())], ["piece", "held"])
+
+    found = src.mapInArrow(pieces, "piece string, held boolean").distinct()
+    some = lambda held: found.where(F.col("held") == held).orderBy(F.xxhash64("piece"), "piece").limit(max_windows // 2).collect()
+    return fit(*training_windows([r["piece"] for held in (True, False) for r in some(held)]), steps=steps)
+
+
+_AT, _DOT = re.compile(r"@|\bat\b|[\[(]at[\])]", re.IGNORECASE), re.compile(r"\.|\bdot\b|[\[(]dot[\])]", re.IGNORECASE)
+_LETTER = re.compile(r"[^\W\d_]")
 _SHAPE = {
-    "email": lambda s: "@" in s or "at" in s,
-    "ip": lambda s: len(re.findall(r"[0-9]+", s)) == 4 and all(int(x) <= 255 for x in re.findall(r"[0-9]{1,6}", s)),
-    "card": lambda s: 13 <= len(_digits(s)) <= 19 and _luhn(_digits(s)),
-    "phone": lambda s: 9 <= len(_digits(s)) <= 15,
+    "email": lambda s: bool((m := _AT.search(s)) and m.start() and _DOT.search(s, m.end()) and s[-1].isalpha()),
+    "ip": lambda s: len(x := re.findall(r"[0-9]+", s)) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in x) and not _LETTER.search(s),
+    "card": lambda s: 13 <= len(_digits(s)) <= 19 and _luhn(_digits(s)) and not _LETTER.search(s),
+    "phone": lambda s: 9 <= len(_digits(s)) <= 15 and not _LETTER.search(s) and not re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", s),
 }
 
 
 def added_spans(model: dict, texts: list[str], base: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
     """What the tagger finds beside the base spans.
 
-    Of overlapping windows each character takes its tag from the one whose middle is nearest; tags are then read as spans
+    Of overlapping windows each character takes its tag from the one whose edges are farther; tags are then read as spans
     over the whole text. Spans that touch a base span or lack the shape of their kind are left out.
     """
-    jobs = [(i, a) for i, t in enumerate(texts) for a in windows(t)]
-    if not jobs:
-        return [[] for _ in texts]
-    coded = {i: _codes(texts[i]) for i in {i for i, _ in jobs}}
-    tags = {i: np.zeros(len(c), np.int64) for i, c in coded.items()}
-    far = {i: np.full(len(c), WINDOW) for i, c in coded.items()}
-    middle = np.abs(np.arange(WINDOW) - WINDOW // 2)
-    for k in range(0, len(jobs), 1024):
-        part = jobs[k : k + 1024]
-        found = decode(model, np.array([_pad(coded[i][a : a + WINDOW]) for i, a in part]))
-        for (i, a), y in zip(part, found, strict=True):
-            n = min(WINDOW, len(coded[i]) - a)
-            nearer = middle[:n] < far[i][a : a + n]
-            tags[i][a : a + n][nearer] = y[:n][nearer]
-            far[i][a : a + n][nearer] = middle[:n][nearer]
+    codes = [_codes(t) for t in texts]
+    jobs = [(i, a) for i, c in enumerate(codes) for a in windows(len(c))]
+    tags: dict[int, np.ndarray] = {}
+    half = OVERLAP // 2
+    for k in range(0, len(jobs), 2048):
+        part = jobs[k : k + 2048]
+        found = decode(model, np.array([_pad(codes[i][a : a + SPAN], SPAN) for i, a in part]))
+        for row in np.flatnonzero(found.any(axis=1)).tolist():
+            i, a = part[row]
+            own = tags.setdefault(i, np.zeros(len(codes[i]), np.int64))
+            lo, hi = a + half if a else 0, min(len(own), a + SPAN - half if a + SPAN < len(own) else a + SPAN)
+            own[lo:hi] = found[row, lo - a : hi - a]
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     for i, y in tags.items():
         taken = np.zeros(len(y) + 1, bool)
@@ -346,26 +435,31 @@ def added_spans(model: dict, texts: list[str], base: list[list[tuple[str, int, i
 
 
 def find(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, spans array<struct<kind,start,end,base>>`` of every whole text; offsets are code points.
+    """``id_col, text_key, spans array<struct<kind,start,end,base>>`` of every whole text; offsets are code points.
 
-    A null text is empty and has no spans. Repeated rows are rows of their own; an empty table gives an empty table.
+    A null text is empty and has no spans. Repeated rows are rows of their own and ids may be null; ``text_key`` (a hash)
+    tells rows of one id apart. Texts of any length are decoded whole, window by window. An empty table gives an empty
+    table; other columns are ignored.
     """
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            base = [base_spans(t) for t in texts]
-            more = added_spans(model, texts, base)
-            rows = [
-                [{"kind": k, "start": a, "end": b, "base": True} for k, a, b in x] + [{"kind": k, "start": a, "end": b, "base": False} for k, a, b in y]
-                for x, y in zip(base, more, strict=True)
-            ]
-            yield pa.record_batch([batch.column(0), pa.array(rows, pa.list_(span))], ["id", "spans"])
-
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                texts = [t or "" for t in batch.column(2).to_pylist()]
+                base = [base_spans(t) for t in texts]
+                more = added_spans(model, texts, base)
+                rows = [
+                    [{"kind": k, "start": a, "end": b, "base": own} for spans, own in ((x, True), (y, False)) for k, a, b in spans]
+                    for x, y in zip(base, more, strict=True)
+                ]
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(rows, pa.list_(span))], ["id", "text_key", "spans"])
+
+    text = F.col(text_col).cast("string")
+    src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    out = src.mapInArrow(run, f"id {kind}, spans array<struct<kind:string,start:int,end:int,base:boolean>>")
+    out = src.mapInArrow(run, f"id {kind}, text_key bigint, spans array<struct<kind:string,start:int,end:int,base:boolean>>")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -384,8 +478,11 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with each span replaced by its kind in brackets; ids must be unique."""
-    spans = found.select(F.col(id_col).alias("_id"), "spans")
+    """``docs`` with each span replaced by its kind in brackets; all columns stay, whatever their names.
+
+    Rows meet their spans by id and text, so ids may repeat or be null. A null text stays null.
+    """
+    spans = found.groupBy(F.col(id_col).alias("_id"), F.col("text_key").alias("_key")).agg(F.first("spans").alias("_spans"))
 
     @F.pandas_udf("string")
     def cover(texts, spans):
@@ -402,5 +499,7 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
             out.append(None if text is None else "".join(parts) + text[at:])
         return pd.Series(out, dtype="object")
 
-    joined = docs.join(spans, docs[id_col] == spans["_id"], "left")
-    return joined.withColumn(text_col, cover(F.col(text_col), "spans")).select(*docs.columns)
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), F.xxhash64(docs[text_col].cast("string")).alias("_h"))
+    same = F.col(f"_doc.{id_col}").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_key"))
+    text = cover(F.col(f"_doc.{text_col}").cast("string"), "_spans")
+    return packed.join(spans, same, "left").select(*[text.alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in docs.columns])
