@@ -96,8 +96,11 @@ def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
     single = global_index(slim.where("copies is null").drop("grp", "copies"), [F.col("id")])
     n_linked, n_single = linked.count(), single.count()
     sizes = _sizes(n_linked + n_single, shards)
-    # Dealt in turn, a shard has no more linked rows than its size.
-    cells = linked.groupBy("grp", F.pmod("idx", F.lit(shards)).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    # Labels begin as runs of ranks cut at the shards' sizes: a group starts in as few shards as may be, and where there
+    # is no free quota, as no row is without links, few groups need to move at all.
+    ends = [sum(sizes[: s + 1]) for s in range(shards)]
+    start = sum(((F.col("idx") >= e).cast("int") for e in ends[:-1]), F.lit(0))
+    cells = linked.groupBy("grp", start.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
     cells = propagate(cells, sizes, rounds)
     inside = Window.partitionBy("grp").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     ranges = global_cumsum(cells, [F.col("shard"), F.col("grp")], {"through": "n"})
