@@ -119,17 +119,21 @@ def mix(
 ) -> DataFrame:
     """``docs`` with a row for each use of a document, and ``_epoch``, ``_block``, ``_mix_key``.
 
-    All columns stay. Rows sorted by ``_mix_key`` (from 0 to 1) give the mixture: each source is spread evenly over it.
-    Repeated rows are rows of their own; a null id has a block too; an empty table gives an empty table. For the targets
-    see ``plan``.
+    All columns stay, but for any of these three names, which are replaced. Rows sorted by ``_mix_key`` (from 0 to 1) give
+    the mixture: each source is spread evenly over it. Repeated rows are rows of their own; a null id has a block too; a
+    null or empty text has no tokens and costs nothing; long texts count whole; an empty table gives an empty table. For
+    the targets see ``plan``.
     """
     uses = staged(plan(docs, id_col, source_col, text_col, blocks=blocks, seed=seed, **target), "plan")
     uses = uses.select(F.col("source").alias("_s"), F.col("block").alias("_b"), F.col("budget").alias("_budget"), "passes")
     if uses.count() <= BROADCAST_ROWS:
         uses = F.broadcast(uses)
-    rows = docs.withColumn("_block", _block(F.col(id_col), blocks, seed))
-    rows = rows.join(uses, F.col(source_col).cast("string").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")))
+    # The row travels packed, so that names of columns cannot clash.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), docs[id_col].alias("_id"), docs[source_col].cast("string").alias("_source"))
+    rows = rows.withColumn("_block", _block(F.col("_id"), blocks, seed))
+    rows = rows.join(uses, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")))
     rows = rows.withColumn("_use", F.explode("passes"))
-    u = F.pmod(F.xxhash64(F.col(id_col), "_use.epoch", F.lit(seed + 1)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    u = F.pmod(F.xxhash64(F.col("_id"), "_use.epoch", F.lit(seed + 1)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     key = (F.col("_use.before") + u * F.col("_use.tokens")) / F.greatest("_budget", F.lit(1))
-    return rows.select(*[docs[c] for c in docs.columns], F.col("_use.epoch").alias("_epoch"), "_block", F.least(key, F.lit(1.0)).alias("_mix_key"))
+    kept = [F.col("_doc")[c].alias(c) for c in docs.columns if c not in ("_epoch", "_block", "_mix_key")]
+    return rows.select(*kept, F.col("_use.epoch").alias("_epoch"), "_block", F.least(key, F.lit(1.0)).alias("_mix_key"))
