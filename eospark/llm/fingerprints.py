@@ -9,13 +9,12 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eospark.functions.storage import staged
+from eospark.operators.global_order import global_index
 
-#: Documents are dealt to buckets of neighbouring ids, about so many to one, and to so many buckets at most.
-PER_BUCKET, QUANTILES, MAX_SUB = 512, 64, 1024
 RADIUS = 3
 #: (which long, first bit, bits) of each block.
 BLOCKS = ((0, 0, 22), (0, 22, 21), (0, 43, 21), (1, 0, 32), (1, 32, 32))
@@ -88,8 +87,11 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_counts(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``fp0, fp1, near``: how many other documents have a fingerprint within ``radius`` bits (equal ones included)."""
-    distinct = staged(prints.groupBy("fp0", "fp1").agg(F.count(F.lit(1)).alias("n")), "distinct")
+    """``fp0, fp1, near``: how many other documents have a fingerprint within ``radius`` bits (equal ones included).
+
+    ``prints`` has a fingerprint a row, and the number ``n`` of documents that have it.
+    """
+    distinct = staged(prints.groupBy("fp0", "fp1").agg(F.sum("n").alias("n")), "distinct")
     pairs = near_pairs(distinct, radius)
     both = F.array(
         F.struct(F.col("a.fp0").alias("fp0"), F.col("a.fp1").alias("fp1"), F.col("b.n").alias("n")),
@@ -99,46 +101,34 @@ def near_counts(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return more.groupBy("fp0", "fp1").agg(F.sum("n").alias("near"))
 
 
-def _with_bucket(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` (``id``, ``text``) with ``bucket``, in the order of the ids, and each bucket's first id with the bucket before.
-
-    There are at most ``QUANTILES * MAX_SUB`` buckets, however many documents.
-    """
-    stats = docs.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("id").alias("lo"),
-        F.max("id").alias("hi"),
-        F.percentile_approx("id", [q / QUANTILES for q in range(1, QUANTILES)], 10_000).alias("q"),
-    ).first()
-    lo, hi = stats["lo"] or 0, stats["hi"] or 0
-    starts = [lo, *(stats["q"] or [])]
-    ends = [*starts[1:], hi + 1]
-    sub = max(1, min(MAX_SUB, -(-stats["n"] // (PER_BUCKET * QUANTILES))))
-    part = sum(((F.col("id") >= s).cast("int") for s in starts[1:]), F.lit(0))
-    longs = lambda xs: F.array(*[F.lit(int(x)).cast("bigint") for x in xs])
-    at = F.col("id") - F.get(longs(starts), F.col("part"))
-    step = F.get(longs([max(1, -(-(b - a) // sub)) for a, b in zip(starts, ends, strict=True)]), F.col("part"))
-    out = docs.withColumn("part", part).withColumn("bucket", F.coalesce(F.col("part") * sub + F.floor(at / step).cast("int"), F.lit(-1))).drop("part")
-    firsts = out.groupBy("bucket").agg(F.min("id").alias("first_id"))
-    order = Window.orderBy("bucket")
-    firsts = firsts.withColumn("_last", F.max("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return out, firsts.select("first_id", F.coalesce(F.lag("bucket").over(order), "_last").alias("before"))
+#: A row is known by its id and a hash of its text; none of the three is ever null.
+KEY = ["some", "key", "h"]
+_NEXT = [f"{c}_next" for c in KEY]
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """``bucket, place, extra, id, text, next_text``: each document with the text of the next one by id (after the last:
-    the first), from one shuffle of the texts.
+    """``KEY``, the key of the next row by id, ``copies``, ``n_chars, text`` and ``beginning``: of each document (``id,
+    text``) the first half as many characters of the next one (after the last: the first).
 
-    A bucket also holds a copy of the document that comes after it, marked ``extra``. Among equal ids the order is that
-    of a hash of the text; null ids come first.
+    Null ids come first, and among equal ids the order is that of the hash. Rows that repeat both are one row here, with
+    their number in ``copies``. Only keys are sorted; then a text goes to its key, where the one before asks for as much
+    of its beginning as it needs.
     """
-    docs, firsts = _with_bucket(docs)
-    # At most QUANTILES * MAX_SUB rows.
-    rows = docs.join(F.broadcast(firsts), F.col("id").eqNullSafe(F.col("first_id")) & F.col("before").isNotNull(), "left")
-    places = F.array(F.struct("bucket", F.lit(False).alias("extra")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("extra")))
-    rows = rows.select("id", "text", F.inline(places)).where("bucket is not null")
-    w = Window.partitionBy("bucket").orderBy("extra", F.col("id").asc_nulls_first(), F.xxhash64("text"))
-    return rows.select("bucket", F.row_number().over(w).alias("place"), "extra", "id", "text", F.lead("text").over(w).alias("next_text"))
+    keyed = docs.select(
+        F.col("id").isNotNull().cast("int").alias("some"), F.coalesce("id", F.lit(0)).alias("key"), F.xxhash64("text").alias("h"), "text"
+    )
+    slim = keyed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("copies"), F.first(F.char_length("text")).cast("bigint").alias("n_chars"))
+    placed = global_index(slim, [F.col(c) for c in KEY])
+    n = placed.count()
+    after = placed.select(F.pmod(F.col("idx") - 1, F.lit(max(n, 1))).alias("idx"), *[F.col(c).alias(x) for c, x in zip(KEY, _NEXT, strict=True)])
+    asked = staged(placed.join(after, "idx").drop("idx"), "asked")
+    if not asked.where("copies > 1").isEmpty():
+        keyed = keyed.groupBy(*KEY).agg(F.first("text").alias("text"))
+    half = F.expr("n_chars div 2").cast("int")
+    requests = asked.select(*KEY, "n_chars", *_NEXT)
+    given = requests.withColumnsRenamed({**{c: f"_{c}" for c in KEY}, **dict(zip(_NEXT, KEY, strict=True))})
+    given = keyed.join(given, KEY).select(*[F.col(f"_{c}").alias(c) for c in KEY], F.substring("text", F.lit(1), half).alias("beginning"))
+    return keyed.join(asked, KEY).join(given, KEY)
 
 
 def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -147,27 +137,33 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     In the edited text the second half is replaced by as much of the next document's beginning. Likeness is the share of
     equal bits; ``near_docs`` counts other documents within ``radius`` bits. A null text is empty; empty texts have
-    fingerprint zero. Ids must be integers. Repeated rows are rows of their own; an empty table gives an empty table.
+    fingerprint zero. Ids must be integers; null ids come first. Repeated rows are rows of their own, each the next of the
+    one before it. Texts of any length count whole; an empty table gives an empty table; other columns are ignored.
     """
     src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = with_next(src).withColumn("n_chars", F.char_length("text").cast("bigint"))
+    rows = with_next(src)
     kept, half = F.expr("n_chars - n_chars div 2").cast("int"), F.expr("n_chars div 2").cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), kept), F.substring("next_text", F.lit(1), half))
-    rows = rows.withColumn("edited", F.when(~F.col("extra"), edited))
-    keys = ["bucket", "place", "extra", "id", "n_chars", "sha"]
-    rows = rows.withColumn("sha", F.unhex(F.sha2("edited", 256)))
-    texts = rows.select(*keys, F.inline(F.array(F.struct(F.lit(0).alias("kind"), F.col("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))))
-    words = texts.where("text is not null").select(*keys, "kind", F.explode(F.split("text", _WORDS)).alias("word"))
-    prints = votes(words, [*keys, "kind"])
-    pick = lambda kind, i: F.max(F.when(F.col("kind") == kind, F.col(f"fp{i}")))
-    prints = prints.groupBy(*keys).agg(pick(0, 0).alias("fp0"), pick(0, 1).alias("fp1"), pick(1, 0).alias("ed0"), pick(1, 1).alias("ed1"))
-    w = Window.partitionBy("bucket").orderBy("place")
-    prints = prints.withColumn("next0", F.lead("fp0").over(w)).withColumn("next1", F.lead("fp1").over(w)).where(~F.col("extra"))
-    prints = staged(prints.select("id", "n_chars", "sha", "fp0", "fp1", "ed0", "ed1", "next0", "next1"), "prints")
-    near = staged(near_counts(prints, radius), "near")
+    edited = F.concat(F.substring("text", F.lit(1), kept), F.col("beginning"))
+    # What a row becomes whose next one is its own repeat.
+    again = F.when(F.col("copies") > 1, F.concat(F.substring("text", F.lit(1), kept), F.substring("text", F.lit(1), half)))
+    texts = [F.struct(F.lit(k).alias("kind"), t.alias("text")) for k, t in enumerate((F.col("text"), edited, again))]
+    keys = [*KEY, *_NEXT, "copies", "n_chars"]
+    rows = rows.select(*keys, F.inline(F.array(*texts))).where("text is not null")
+    rows = rows.select(*keys, "kind", F.when(F.col("kind") > 0, F.unhex(F.sha2("text", 256))).alias("sha"), F.explode(F.split("text", _WORDS)).alias("word"))
+    prints = votes(rows, [*keys, "kind", "sha"])
+    pick = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    of = {"fp0": (0, "fp0"), "fp1": (0, "fp1"), "ed0": (1, "fp0"), "ed1": (1, "fp1"), "sha": (1, "sha"), "own0": (2, "fp0"), "own1": (2, "fp1"), "own_sha": (2, "sha")}
+    prints = staged(prints.groupBy(*keys).agg(*[pick(*x).alias(c) for c, x in of.items()]), "prints")
+    follow = prints.select(*[F.col(c).alias(x) for c, x in zip(KEY, _NEXT, strict=True)], F.col("fp0").alias("next0"), F.col("fp1").alias("next1"))
+    near = staged(near_counts(prints.select("fp0", "fp1", F.col("copies").alias("n")), radius), "near")
+    out = prints.join(follow, _NEXT).join(near, ["fp0", "fp1"])
+    last = F.col("copy") == F.col("copies")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    for c, own in {"ed0": "own0", "ed1": "own1", "sha": "own_sha", "next0": "fp0", "next1": "fp1"}.items():
+        out = out.withColumn(c, F.when(last, F.col(c)).otherwise(F.col(own)))
     like = lambda a, b: 1 - distance(F.col("fp0"), F.col("fp1"), F.col(a), F.col(b)) / F.lit(128.0)
-    return prints.join(near, ["fp0", "fp1"]).select(
-        F.col("id").alias(id_col),
+    return out.select(
+        F.when(F.col("some") == 1, F.col("key")).alias(id_col),
         "n_chars",
         F.lower(F.hex("sha")).alias("edited_sha256"),
         as_text(F.col("fp0"), F.col("fp1")).alias("fingerprint"),

@@ -284,6 +284,23 @@ def test_warc_round_trip(spark, tmp_path):
     assert kept == {str(i): h for h, i in first.items()}
 
 
+def test_warc_of_many_sizes(spark, tmp_path):
+    """Payloads of each size class: files are bounded by bytes, and read in chunks."""
+    rng = random.Random(5)
+    html = [rng.choice("ab") * n + str(n % 3) for n in (10, 70_000, 70_003, 1_500_000, 1_500_003, 20_000_000, 20_000_000)] + [None]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(html)], "page_id bigint, url string, html string")
+    got = {int(r["id"]): r for r in warc.archived(pages, f"file://{tmp_path}/s").collect()}
+    first = {}
+    for i, h in enumerate(html):
+        assert got[i]["bytes"] == len(h or "") and got[i]["refers_to"] == (str(first[h]) if h in first else None)
+        first.setdefault(h, i)
+    assert {p.name for p in (tmp_path / "s/raw").iterdir()} == {"0", "1", "2", "3"} == {p.name for p in (tmp_path / "s/deduplicated").iterdir()}
+    data = b"".join(warc.record({"id": str(i), "type": "response", "url": None, "digest": "D", "payload": b"x" * i}, "now") + b"\r\n\r\n" for i in range(50))
+    assert [len(p) for _, p in warc.parse(data[i : i + 7] for i in range(0, len(data), 7))] == list(range(50))
+    with pytest.raises(ValueError):
+        list(warc.parse([data[:-6]]))
+
+
 def test_warc_edges(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "a"), (1, "u", "a"), (None, None, "b")], "page_id bigint, url string, html string")
     got = sorted((r["id"], r["type"]) for r in warc.archived(pages, f"file://{tmp_path}/a").collect())
@@ -311,6 +328,15 @@ def test_shards(spark, shards):
         assert len(hot) <= 3 and spread <= 12  # 60 copies do not fit one shard of 40
 
 
+def test_shards_without_free_rows(spark):
+    """Every text has a copy, so no shard has room: pairs still stay together but where a shard's size is odd."""
+    rows = [(i, f"pair {i // 2}") for i in range(400)]
+    got = {r["doc_id"]: r["shard"] for r in sharding.assign_shards(docs(spark, rows), 8).collect()}
+    assert set(Counter(got.values()).values()) == {50} and sum(got[i] != got[i + 1] for i in range(0, 400, 2)) == 0
+    got = {r["doc_id"]: r["shard"] for r in sharding.assign_shards(docs(spark, rows), 9).collect()}
+    assert sum(got[i] != got[i + 1] for i in range(0, 400, 2)) <= 8
+
+
 def test_shards_edges(spark):
     assert sharding.assign_shards(docs(spark).where("false"), 3).count() == 0
     got = sharding.assign_shards(docs(spark, [(1, "a")] * 5), 2).collect()
@@ -576,7 +602,11 @@ def test_fingerprint_edges(spark):
     one = fingerprints.edit_likeness(docs(spark, [(7, "ab cd")])).first()
     assert one["near_next"] == 1 and one["edited_sha256"] == hashlib.sha256(b"ab ab").hexdigest()
     rows = [(None, "b c"), (3, "a a"), (3, "a a"), (1 << 60, "z"), (-5, "q w")]
-    assert fingerprints.edit_likeness(docs(spark, rows)).count() == 5
+    got = sorted(r["edited_sha256"] for r in fingerprints.edit_likeness(docs(spark, rows)).collect())
+    # By id: none, -5, 3, 3, 2**60; the first of the repeated rows is followed by the second.
+    assert got == sorted(hashlib.sha256(x.encode()).hexdigest() for x in ("b q", "q a", "a a", "a z", "z"))
+    ids = [r["doc_id"] for r in fingerprints.edit_likeness(docs(spark, rows)).collect()]
+    assert sorted(ids, key=lambda i: (i is not None, i or 0)) == [None, -5, 3, 3, 1 << 60]
 
 
 def test_near_pairs_lose_nothing(spark):
@@ -626,6 +656,27 @@ def test_mix(spark):
     assert mixing.mix(d.where("source = 'void'")).count() == 2
 
 
+def test_mix_order(spark):
+    """Each pass over a source is a permutation of its blocks: whole blocks, one after the other, in another order each time."""
+    rows = [(i, prose(10, i), "big" if i < 900 else "small", 7, 8) for i in range(1000)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string, passes int, _use int")
+    got = mixing.mix(d, repetition_limit=3.0, blocks=16).collect()
+    assert all(r["passes"] == 7 and r["_use"] == 8 for r in got)
+    orders, tokens = defaultdict(list), Counter()
+    for r in sorted(got, key=lambda r: (r["source"], r["_epoch"], r["_mix_key"])):
+        tokens[r["source"]] += 10
+        if (own := orders[r["source"], r["_epoch"]])[-1:] != [r["_block"]]:
+            own.append(r["_block"])
+    assert all(len(set(x)) == len(x) for x in orders.values())  # no block is begun twice
+    assert set(orders["big", 0]) == {r["_block"] for r in got if r["source"] == "big"}
+    assert set(orders) == {("big", 0), ("small", 0), ("small", 1), ("small", 2)} and orders["small", 0] != orders["small", 1]
+    assert sorted(orders["small", 0]) == sorted(orders["small", 1])
+    ends = {k: max(r["_mix_key"] for r in got if (r["source"], r["_epoch"]) == k) for k in orders}
+    assert ends["small", 0] <= min(r["_mix_key"] for r in got if (r["source"], r["_epoch"]) == ("small", 1))
+    assert ends["big", 0] > 0.95 and abs(tokens["small"] - 3000) <= 10 * 20
+    assert mixing.mix(spark.createDataFrame([(None, "a " * 300_000, None), (None, "b", "s"), (None, "b", "s")], "doc_id bigint, text string, source string")).count() >= 3
+
+
 # --- Packing
 def encoder():
     from tokenizers import Tokenizer
