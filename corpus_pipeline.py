@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from eospark.functions.shipping import ship
-from eospark.functions.storage import staged
+from eospark.functions.storage import clear, mark, staged
 from eospark.llm import exact_dedup, mixing, packing, simhash_dedup, toxicity
 
 #: A source is passed over at most so many times.
@@ -60,10 +60,15 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, from the table ``documents``; what a stage gives is written before the next one reads it."""
+    """All stages, from the table ``documents``; what a stage gives is written before the next one reads it.
+
+    Once a stage's result is written, the tables that it made on the way, and its input, are deleted.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = mark()
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if (name, stage) != STAGES[-1]:
             docs = staged(docs, name)
+            clear(spark, since, but=1)
     return docs
