@@ -149,7 +149,9 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = [F.struct(F.lit(k).alias("kind"), t.alias("text")) for k, t in enumerate((F.col("text"), edited, again))]
     keys = [*KEY, *_NEXT, "copies", "n_chars"]
     rows = rows.select(*keys, F.inline(F.array(*texts))).where("text is not null")
-    rows = rows.select(*keys, "kind", F.when(F.col("kind") > 0, F.unhex(F.sha2("text", 256))).alias("sha"), F.explode(F.split("text", _WORDS)).alias("word"))
+    # Before the words, or each of them would hash the text.
+    rows = rows.withColumn("sha", F.when(F.col("kind") > 0, F.unhex(F.sha2("text", 256))))
+    rows = rows.select(*keys, "kind", "sha", F.explode(F.split("text", _WORDS)).alias("word"))
     prints = votes(rows, [*keys, "kind", "sha"])
     pick = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
     of = {"fp0": (0, "fp0"), "fp1": (0, "fp1"), "ed0": (1, "fp0"), "ed1": (1, "fp1"), "sha": (1, "sha"), "own0": (2, "fp0"), "own1": (2, "fp1"), "own_sha": (2, "sha")}
