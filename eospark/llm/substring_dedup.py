@@ -112,16 +112,30 @@ def window_anchors(grams: np.ndarray, width: int) -> np.ndarray:
     return (_PLACE - (np.minimum(back[:n], ahead[width - 1 : width - 1 + n]) & _PLACE)).astype(np.int64)
 
 
-def runs(values: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Of each run of windows: anchor hash, first window, windows, distance from the last window to the anchor."""
+def runs(whole: bytes | list[bytes], values: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Of each run of windows: anchor hash, first window, windows, distance from the last window to the anchor, and how many
+    more windows follow in runs that equal it. Such runs, of periodic text, are one here."""
     if len(values) < length:
-        return (np.zeros(0, np.int64),) * 4
-    grams = gram_hashes(prefix_hashes(values), gram)
+        return (np.zeros(0, np.int64),) * 5
+    prefix = prefix_hashes(values)
+    grams = gram_hashes(prefix, gram)
     anchors = window_anchors(grams, length - gram + 1)
     first = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
-    last = np.concatenate([first[1:], [len(anchors)]]) - 1
-    at = anchors[first]
-    return grams[at].view(np.int64), first, last - first + 1, at - last
+    end = np.concatenate([first[1:], [len(anchors)]])
+    at, run = anchors[first], end - first
+    g, off = grams[at].view(np.int64), anchors[first] - end + 1
+    all_ = (prefix[end - 1 + length] - prefix[first]) * powers(len(values) + 1, _INVERSE)[first]
+    same = (g[1:] == g[:-1]) & (run[1:] == run[:-1]) & (off[1:] == off[:-1]) & (all_[1:] == all_[:-1])
+    more = np.zeros(len(g), np.int64)
+    if same.any():
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], same.astype(np.int8), [0]])))
+        keep = np.ones(len(g), bool)
+        for i, j in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            lo, hi, step = int(first[i]), int(end[j]) - 1 + length, int(run[i])
+            if whole[lo : hi - step] == whole[lo + step : hi]:  # not just by their hashes
+                more[i], keep[i + 1 : j + 1] = (j - i) * step, False
+        g, first, run, off, more = (x[keep] for x in (g, first, run, off, more))
+    return g, first, run, off, more
 
 
 def _pack(text: str | None) -> bytes:
@@ -130,7 +144,7 @@ def _pack(text: str | None) -> bytes:
 
 def _run_rows(units: list[Unit], bits: int):
     """The runs of each text."""
-    kinds = {"unit": np.int8, "g": np.int64, "start": np.int32, "run": np.int32, "off": np.int32}
+    kinds = {"unit": np.int8, "g": np.int64, "start": np.int32, "run": np.int32, "off": np.int32, "more": np.int32}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -141,7 +155,8 @@ def _run_rows(units: list[Unit], bits: int):
                 for i, text in enumerate(batch.column(2).to_pylist()):
                     data = _pack(text)
                     for unit in units:
-                        g, *own = runs(unit.values(unit.split(data)), unit.length, unit.gram)
+                        whole_ = unit.split(data)
+                        g, *own = runs(whole_, unit.values(whole_), unit.length, unit.gram)
                         n, own = len(g), (g >> (64 - bits), *own)
                         for k, x in zip(kinds, (np.full(n, unit.tag), *own), strict=True):
                             parts[k].append(x.astype(kinds[k]))
@@ -348,8 +363,8 @@ def _group_spans(units: list[Unit], held_rows: int = GROUP):
 def _cut_out(units: list[Unit]):
     """The bytes of the wanted runs of each text; words are joined by one space."""
     by_tag = {u.tag: u for u in units}
-    names = ["unit", "g", "start", "run", "off"]
-    kinds = [pa.int8(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["unit", "g", "start", "run", "off", "more"]
+    kinds = [pa.int8(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -362,7 +377,7 @@ def _cut_out(units: list[Unit]):
                     for w in wanted:
                         unit = by_tag[w["unit"]]
                         cut = unit.join(parts[unit.tag][w["start"] : w["start"] + w["run"] - 1 + unit.length])
-                        rows.append((w["unit"], w["g"], w["start"], w["run"], w["off"], cut))
+                        rows.append((w["unit"], w["g"], w["start"], w["run"], w["off"], w["more"], cut))
                         place.append(i)
                 if rows:
                     cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
@@ -422,7 +437,7 @@ def _spans(rows: DataFrame, units: list[Unit]) -> DataFrame:
     """``id, h, unit, a, b`` of rows with ``least`` and ``most``."""
     length = F.element_at(F.create_map(*[F.lit(x) for u in units for x in (u.tag, u.length)]), F.col("unit").cast("int"))
     anchor = F.col("start") + F.col("off") + F.col("run") - 1
-    return rows.select("id", "h", "unit", (anchor - F.col("most")).alias("a"), (anchor - F.col("least") + length).alias("b"))
+    return rows.select("id", "h", "unit", (anchor - F.col("most")).alias("a"), (anchor - F.col("least") + length + F.col("more")).alias("b"))
 
 
 def _of_large_groups(rows: DataFrame, units: list[Unit], group: int, bits: int) -> DataFrame:
@@ -453,9 +468,10 @@ def _of_large_groups(rows: DataFrame, units: list[Unit], group: int, bits: int)
     return out
 
 
-def _owner() -> Column:
-    """Who holds a run: a place in a text, or for words a text. Copies of a text are one and the same here."""
-    return F.when(F.col("unit") == 1, F.col("h")).otherwise(F.xxhash64("h", "start"))
+def _owner(last: bool = False) -> Column:
+    """Who holds a run: a place in a text, or for words a text. Copies of a text are one and the same here; runs that more
+    equal ones follow have a first and a last place."""
+    return F.when(F.col("unit") == 1, F.col("h")).otherwise(F.xxhash64("h", F.col("start") + F.col("more") if last else F.col("start")))
 
 
 def repeated_spans(docs: DataFrame, units: list[Unit], group: int = GROUP, hash_bits: int = 64) -> DataFrame:
@@ -472,17 +488,18 @@ def repeated_spans(docs: DataFrame, units: list[Unit], group: int = GROUP, hash_
     copies = slim.join(copied, "sha").groupBy("id", "h").agg(F.first("first").alias("first"))
     copies = staged(copies, "copies")
     others = _renamed(copies.where(~F.col("id").eqNullSafe(F.col("first"))).drop("first"))
-    found = docs.select("id", "h", "text").mapInArrow(_run_rows(units, hash_bits), f"id {kind}, h bigint, unit byte, g bigint, start int, run int, off int")
+    found = docs.select("id", "h", "text").mapInArrow(_run_rows(units, hash_bits), f"id {kind}, h bigint, unit byte, g bigint, start int, run int, off int, more int")
     found = staged(found, "runs")
-    several = found.groupBy("unit", "g").agg(F.count(F.lit(1)).alias("n"), F.min(_owner()).alias("l"), F.max(_owner()).alias("h"))
+    several = found.groupBy("unit", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.least(_owner(), _owner(True))).alias("l"), F.max(F.greatest(_owner(), _owner(True))).alias("h"))
     several = staged(several.where("l <> h").select("unit", "g", "n"), "several")
 
     def cut(of: DataFrame) -> DataFrame:
-        asked = found.join(of, ["unit", "g"]).groupBy("id", "h").agg(F.collect_set(F.struct("unit", "g", "start", "run", "off")).alias("asked"))
+        asked = found.join(of, ["unit", "g"]).groupBy("id", "h").agg(F.collect_set(F.struct("unit", "g", "start", "run", "off", "more")).alias("asked"))
         asked = _renamed(asked.join(others, _key(asked, others), "left_anti"))
         rows = docs.join(asked, _key(docs, asked)).select("id", "h", "text", "asked")
-        rows = rows.mapInArrow(_cut_out(units), f"id {kind}, h bigint, unit byte, g bigint, start int, run int, off int, bytes binary")
-        return rows.select("id", "h", "unit", "g", _owner().alias("low"), _owner().alias("high"), "start", "run", "off", "bytes")
+        rows = rows.mapInArrow(_cut_out(units), f"id {kind}, h bigint, unit byte, g bigint, start int, run int, off int, more int, bytes binary")
+        low, high = F.least(_owner(), _owner(True)), F.greatest(_owner(), _owner(True))
+        return rows.select("id", "h", "unit", "g", low.alias("low"), high.alias("high"), "start", "run", "off", "more", "bytes")
 
     few, many = several.where(F.col("n") <= group), several.where(F.col("n") > group)
     rows = cut(few).repartition("unit", "g").sortWithinPartitions("unit", "g")

@@ -381,7 +381,8 @@ def test_repeats(spark, length, gram, group, bits):
     ts = [t[:6000] if t else t for t in texts()]
     passage = prose(30, 5)
     ts += [prose(9, 200 + i)[: 7 * i] + passage[i : len(passage) - i] + prose(9, 300 + i) for i in range(12)]
-    ts += ["a" * 900, "so " * 60, prose(5, 9) + " " + "so " * 40]
+    ts += ["a" * 900, "so " * 60, prose(5, 9) + " " + "so " * 40, "b" * 700, "b" * 699 + "c" + "b" * 20, "u v w " * 90 + prose(30, 12)]
+    assert len(substring_dedup.runs(b"a" * 20000, substring_dedup.Unit(0, 400, 64).values(b"a" * 20000))[0]) == 1
     found = substring_dedup.without_repeats(docs(spark, list(enumerate(ts))), length=length, gram=gram, passage=20, word_gram=4, group=group, hash_bits=bits)
     got = {r["doc_id"]: r for r in found.collect()}
     assert [tuple(got[i][c] for c in ("n_bytes", "n_removed", "n_spans")) + (bytes(got[i]["kept"]),) for i in range(len(ts))] == slow_repeats(ts, length)
