@@ -64,12 +64,11 @@ def src_globs(spark, d):
     return df.agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("metric_log", "SELECT run, step, metric, round(value, 6) AS value FROM metric_log WHERE step <= 20")
+@query("metric_log", "SELECT run, step, metric, round(value, 6) AS value FROM metric_log")
 def sink_metrics(spark, d):
     path = new_path(spark, "metrics")
     files.save_metrics(X.metric_log(spark, d), path)
-    # The whole log is saved; what the SQL shows of it are the first steps.
-    back = spark.read.parquet(path).where("step <= 20")
+    back = spark.read.parquet(path)
     return rounded(back.select("run", F.col("step").cast("bigint").alias("step"), "metric", "value"))
 
 
@@ -223,7 +222,6 @@ _ARR = {
     "det_select_channels": (lambda: R.det_select_channels(F.col("data"), u(F.col("id"), "ch"), 4, 2), _r("list_transform(range(32), lambda i: data[i//2*4+floor(u(id, 'ch')*3)::INT+i%2+1])")),
     "det_noise": (lambda: R.det_noise(F.col("data"), F.col("id"), 0.9, 1.1), "list_transform(range(64), lambda i: round(data[i+1]*(0.9+" + X.sql_u("id", "'noise'||i") + "*0.2), 6))"),
     "pad_seq": (lambda: F.slice(R.pad_1d(F.slice("data", 1, 40), 50, 0.0), 1, 50), _r("list_concat(data[1:40], list_transform(range(10), lambda i: 0.0::DOUBLE))")),
-    "merge_dims": (lambda: F.col("data"), _r("data")),
     "concat_satellites": (lambda: R.concat_channels(F.slice("data", 1, 16), 1, F.slice("data", 17, 48), 3), _r("list_transform(range(64), lambda i: CASE WHEN i%4 = 0 THEN data[i//4+1] ELSE data[16+i//4*3+i%4] END)")),
 }
 for _name, (_f, _sql) in _ARR.items():
@@ -273,8 +271,23 @@ def grayscale(spark, d):
     return rounded(X.arrays(spark, d).select("id", R.grayscale(*[F.get("data", F.lit(i)) for i in range(3)]).alias("gray")))
 
 
+@query("arrays", f"SELECT id, {_r('data')} AS data, [16, 4] AS spatial, [64] AS everything, [[round(data[4*i+k], 6) FOR k IN range(1, 5)] FOR i IN range(16)] AS pixels FROM arrays")
+def merge_dims(spark, d):
+    df = rounded(X.arrays(spark, d).select("id", "data"))
+    shape = F.array(*[F.lit(n) for n in (4, 4, 4)])
+    return df.withColumns({"spatial": R.merged_shape(shape, True), "everything": R.merged_shape(shape, False), "pixels": R.as_rows(F.col("data"), R.merged_shape(shape, True))})
+
+
+@query("arrays", f"SELECT id, {_r('list_transform(range(32), lambda i: data[i//2*4+(1-i%2)*3+1])')} AS ends, {_r('list_transform(range(16), lambda i: data[i*4+2])')} AS green, {_r('list_transform(range(48), lambda i: data[i//3*4+2-i%3+1])')} AS rgb FROM arrays")
+def extract_channels(spark, d):
+    names = ["blue", "green", "red", "nir"]
+    new = R.extract_channels(F.col("data"), names, {"ends": ["nir", "blue"], "green": ["green"], "rgb": ["red", "green", "blue"]})
+    return rounded(X.arrays(spark, d).select("id", *new))
+
+
 # --- Long rasters
 _TILE = {
+    "flip_ud_label": (lambda t: R.flip_ud(t, u(F.col("id"), "ud"), 8, "flipped"), "SELECT id, x, value, CASE WHEN u(id, 'ud') > 0.5 THEN 7-y ELSE y END AS y, u(id, 'ud') > 0.5 AS flipped FROM tiles"),
     "central_crop": (lambda t: R.central_crop(t, 8, 8, (4, 4)), "SELECT id, y-2 AS y, x-2 AS x, value FROM tiles WHERE y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5"),
     "clear_boundary": (lambda t: R.clear_boundary(t, 8, 2), "SELECT id, y, x, CASE WHEN y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5 THEN value ELSE 0 END AS value FROM tiles"),
     "spatial_tiles": (lambda t: R.spatial_tiles(t, 3, 2, 4, 8, 8), "SELECT id, (y-dy)::INT AS y, (x-dx)::INT AS x, value, dy::INT AS dy, dx::INT AS dx FROM tiles, (SELECT unnest([0,2,4]) AS dy), (SELECT unnest([0,2,4]) AS dx) WHERE y >= dy AND y < dy+4 AND x >= dx AND x < dx+4"),
@@ -456,7 +469,16 @@ def early_stop(spark, d):
     return rounded(logs.early_stop_windows(X.metric_log(spark, d), 15, start=20))
 
 
-@query()
+_SCAN = """, s AS (
+SELECT run, metric, step, value AS best, step AS best_step, NULL::BIGINT AS stop FROM metric_log WHERE step = 1
+UNION ALL
+SELECT m.run, m.metric, m.step, CASE WHEN m.value > s.best + 0.5 THEN m.value ELSE s.best END, CASE WHEN m.value > s.best + 0.5 THEN m.step ELSE s.best_step END,
+CASE WHEN NOT m.value > s.best + 0.5 AND m.step >= 20 AND m.step >= s.best_step + 15 THEN m.step END
+FROM s JOIN metric_log m ON m.run = s.run AND m.metric = s.metric AND m.step = s.step + 1 WHERE s.stop IS NULL)
+SELECT run, metric, arg_max(best_step, step) AS best_step, round(arg_max(best, step), 6) AS best, max(stop) AS stop_step FROM s GROUP BY ALL"""
+
+
+@query(sql="WITH RECURSIVE " + X.SQL["metric_log"] + _SCAN)
 def early_stop_delta(spark, d):
     return rounded(logs.early_stop(X.metric_log(spark, d), 15, 0.5, start=20))
 

@@ -91,6 +91,23 @@ def select_channels(xs: Column, channels: int, wanted: list[int]) -> Column:
     return F.flatten(F.transform(pixels, lambda p: F.transform(at, lambda c: F.get(xs, p * channels + c))))
 
 
+def extract_channels(xs: Column, names: list[str], wanted: dict[str, list[str]]) -> list[Column]:
+    """New arrays, each of some channels by name, in the order asked for; an unknown name raises."""
+    return [select_channels(xs, len(names), [names.index(c) for c in cs]).alias(key) for key, cs in wanted.items()]
+
+
+def merged_shape(shape: Column, spatial: bool) -> Column:
+    """A shape with all dimensions, or all but the last one, made one; the data keep their order."""
+    product = lambda dims: F.aggregate(dims, F.lit(1), lambda a, n: a * n)
+    return F.array(product(F.slice(shape, F.lit(1), F.size(shape) - 1)), F.element_at(shape, -1)) if spatial else F.array(product(shape))
+
+
+def as_rows(xs: Column, shape: Column) -> Column:
+    """A flat array of a shape of two dimensions as an array of arrays."""
+    n = F.element_at(shape, 2)
+    return F.transform(F.sequence(F.lit(0), F.element_at(shape, 1) - 1), lambda i: F.slice(xs, i * n + 1, n))
+
+
 def reduce_arrays(arrays: list[Column], how: str) -> Column:
     """Elementwise over several arrays: prod, sum, mean, max, min, logsumexp, any, all."""
     step = {
@@ -212,6 +229,12 @@ def det_flip_rot(df: DataFrame, r: Column, size: int, turns: bool = True, flip:
     return df.select(*[c for c in df.columns if c not in ("y", "x")], ny.cast("int").alias("y"), nx.cast("int").alias("x"))
 
 
+def flip_ud(df: DataFrame, r: Column, height: int, flipped: str | None = None) -> DataFrame:
+    """An up-down flip if r > 0.5; ``flipped`` names a column that says so, which is a label to learn."""
+    rows = df.withColumn("y", F.when(r > 0.5, height - 1 - F.col("y")).otherwise(F.col("y")).cast("int"))
+    return rows.withColumn(flipped, r > 0.5) if flipped else rows
+
+
 def det_roll(df: DataFrame, r1: Column, r2: Column, height: int, width: int) -> DataFrame:
     """Cyclic shift by floor(r1 * height) and floor(r2 * width)."""
     return df.withColumns({

@@ -56,9 +56,9 @@ def example_pearson(df: DataFrame, key: str, positive: Column, prob: Column, kee
     return per.agg(F.corr("share", "mean_prob").alias("example_pearson"))
 
 
-def ranks(df: DataFrame, col: str, name: str) -> DataFrame:
-    """``value, rank``: average rank (from 1) of each distinct value."""
-    counts = df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("c"))
+def ranks(df: DataFrame, col: str, name: str, count: str) -> DataFrame:
+    """``value, rank``: average rank (from 1) of each distinct value; ``count`` says how often a row counts."""
+    counts = df.groupBy(F.col(col).alias("value")).agg(F.sum(count).alias("c"))
     return global_cumsum(counts, [F.col("value")], {"upto": "c"}).select("value", (F.col("upto") - (F.col("c") - 1) / 2.0).alias(name))
 
 
@@ -67,8 +67,7 @@ def spearman(df: DataFrame, pred: str = "pred", label: str = "label", keep: Colu
     rows = (df.where(keep) if keep is not None else df).select(F.col(pred).alias("p"), F.col(label).alias("y"))
     rows = rows.groupBy("p", "y").agg(F.count(F.lit(1)).alias("m"))
     rows = staged(rows, "values")
-    many = rows.select("p", "y", F.explode(F.array_repeat(F.lit(1), F.col("m").cast("int"))).alias("_"))
-    a, b = staged(ranks(many, "p", "rp"), "ranks"), staged(ranks(many, "y", "ry"), "ranks")
+    a, b = staged(ranks(rows, "p", "rp", "m"), "ranks"), staged(ranks(rows, "y", "ry", "m"), "ranks")
     both = rows.join(a, rows["p"] == a["value"]).drop("value").join(b, F.col("y") == b["value"])
     m, x, y = F.col("m"), F.col("rp"), F.col("ry")
     s = both.agg(F.sum(m).alias("n"), F.sum(m * x).alias("sx"), F.sum(m * y).alias("sy"))
