@@ -494,7 +494,8 @@ def repeated_spans(docs: DataFrame, units: list[Unit], group: int = GROUP, hash_
     several = staged(several.where("l <> h").select("unit", "g", "n"), "several")
 
     def cut(of: DataFrame) -> DataFrame:
-        asked = found.join(of, ["unit", "g"]).groupBy("id", "h").agg(F.collect_set(F.struct("unit", "g", "start", "run", "off", "more")).alias("asked"))
+        # Merged at any size: a broadcast of the groups would end as they grow.
+        asked = found.join(of.hint("merge"), ["unit", "g"]).groupBy("id", "h").agg(F.collect_set(F.struct("unit", "g", "start", "run", "off", "more")).alias("asked"))
         asked = _renamed(asked.join(others, _key(asked, others), "left_anti"))
         rows = docs.join(asked, _key(docs, asked)).select("id", "h", "text", "asked")
         rows = rows.mapInArrow(_cut_out(units), f"id {kind}, h bigint, unit byte, g bigint, start int, run int, off int, more int, bytes binary")
