@@ -21,7 +21,7 @@ KINDS = ("email", "ip", "card", "phone")
 MAX_TEXTS = 1500
 MAX_WINDOWS = 3000
 #: Characters in a window that is learnt from, and in one that is decoded; decoded windows overlap by ``OVERLAP``.
-WINDOW, SPAN, OVERLAP = 80, 384, 32
+WINDOW, SPAN, OVERLAP = 80, 768, 32
 EMBED, HIDDEN, STEPS, BATCH = 12, 14, 500, 64
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -408,12 +408,17 @@ def added_spans(model: dict, texts: list[str], base: list[list[tuple[str, int, i
     over the whole text. Spans that touch a base span or lack the shape of their kind are left out.
     """
     codes = [_codes(t) for t in texts]
-    jobs = [(i, a) for i, c in enumerate(codes) for a in windows(len(c))]
+    # Shortest first, so that few windows are padded, and those little.
+    jobs = sorted(((i, a) for i, c in enumerate(codes) for a in windows(len(c))), key=lambda x: min(SPAN, len(codes[x[0]]) - x[1]))
     tags: dict[int, np.ndarray] = {}
     half = OVERLAP // 2
-    for k in range(0, len(jobs), 2048):
-        part = jobs[k : k + 2048]
-        found = decode(model, np.array([_pad(codes[i][a : a + SPAN], SPAN) for i, a in part]))
+    for k in range(0, len(jobs), 1024):
+        part = jobs[k : k + 1024]
+        coded = np.zeros((len(part), min(SPAN, len(codes[part[-1][0]]) - part[-1][1])), np.int64)
+        for row, (i, a) in enumerate(part):
+            own = codes[i][a : a + SPAN]
+            coded[row, : len(own)] = own
+        found = decode(model, coded)
         for row in np.flatnonzero(found.any(axis=1)).tolist():
             i, a = part[row]
             own = tags.setdefault(i, np.zeros(len(codes[i]), np.int64))
