@@ -363,8 +363,8 @@ def _group_spans(units: list[Unit], held_rows: int = GROUP):
 def _cut_out(units: list[Unit]):
     """The bytes of the wanted runs of each text; words are joined by one space."""
     by_tag = {u.tag: u for u in units}
-    names = ["unit", "g", "start", "run", "off", "more"]
-    kinds = [pa.int8(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["unit", "g", "start", "run", "off", "more", "large"]
+    kinds = [pa.int8(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -377,7 +377,7 @@ def _cut_out(units: list[Unit]):
                     for w in wanted:
                         unit = by_tag[w["unit"]]
                         cut = unit.join(parts[unit.tag][w["start"] : w["start"] + w["run"] - 1 + unit.length])
-                        rows.append((w["unit"], w["g"], w["start"], w["run"], w["off"], w["more"], cut))
+                        rows.append((w["unit"], w["g"], w["start"], w["run"], w["off"], w["more"], w["large"], cut))
                         place.append(i)
                 if rows:
                     cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
@@ -493,23 +493,25 @@ def repeated_spans(docs: DataFrame, units: list[Unit], group: int = GROUP, hash_
     several = found.groupBy("unit", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.least(_owner(), _owner(True))).alias("l"), F.max(F.greatest(_owner(), _owner(True))).alias("h"))
     several = staged(several.where("l <> h").select("unit", "g", "n"), "several")
 
-    def cut(of: DataFrame) -> DataFrame:
-        # Merged at any size: a broadcast of the groups would end as they grow.
-        asked = found.join(of.hint("merge"), ["unit", "g"]).groupBy("id", "h").agg(F.collect_set(F.struct("unit", "g", "start", "run", "off", "more")).alias("asked"))
-        asked = _renamed(asked.join(others, _key(asked, others), "left_anti"))
-        rows = docs.join(asked, _key(docs, asked)).select("id", "h", "text", "asked")
-        rows = rows.mapInArrow(_cut_out(units), f"id {kind}, h bigint, unit byte, g bigint, start int, run int, off int, more int, bytes binary")
-        low, high = F.least(_owner(), _owner(True)), F.greatest(_owner(), _owner(True))
-        return rows.select("id", "h", "unit", "g", low.alias("low"), high.alias("high"), "start", "run", "off", "more", "bytes")
-
-    few, many = several.where(F.col("n") <= group), several.where(F.col("n") > group)
-    rows = cut(few).repartition("unit", "g").sortWithinPartitions("unit", "g")
+    # Merged at any size: a broadcast of the groups would end as they grow.
+    asked = found.join(several.withColumn("large", F.col("n") > group).hint("merge"), ["unit", "g"])
+    asked = asked.groupBy("id", "h").agg(F.collect_set(F.struct("unit", "g", "start", "run", "off", "more", "large")).alias("asked"))
+    asked = _renamed(asked.join(others, _key(asked, others), "left_anti"))
+    rows = docs.join(asked, _key(docs, asked)).select("id", "h", "text", "asked")
+    rows = rows.mapInArrow(
+        _cut_out(units), f"id {kind}, h bigint, unit byte, g bigint, start int, run int, off int, more int, large boolean, bytes binary"
+    )
+    low, high = F.least(_owner(), _owner(True)), F.greatest(_owner(), _owner(True))
+    # Written at any size, so that small and large groups read texts once.
+    cuts = staged(rows.select("id", "h", "unit", "g", low.alias("low"), high.alias("high"), "start", "run", "off", "more", "bytes", "large"), "cuts")
+
+    rows = cuts.where(~F.col("large")).drop("large").repartition("unit", "g").sortWithinPartitions("unit", "g")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     spans = _spans(rows.mapInArrow(_group_spans(units, group), schema + ", least int, most int"), units)
     spans = spans.unionByName(copies.select("id", "h", F.lit(2).cast("byte").alias("unit"), F.lit(0).alias("a"), F.lit(0).alias("b")))
-    if many.isEmpty():
+    if several.where(F.col("n") > group).isEmpty():
         return spans
-    return spans.unionByName(_of_large_groups(staged(cut(many), "large"), units, group, hash_bits))
+    return spans.unionByName(_of_large_groups(cuts.where("large").drop("large"), units, group, hash_bits))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
