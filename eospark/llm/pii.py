@@ -22,7 +22,7 @@ MAX_TEXTS = 1500
 MAX_WINDOWS = 3000
 #: Characters in a window that is learnt from, and in one that is decoded; decoded windows overlap by ``OVERLAP``.
 WINDOW, SPAN, OVERLAP = 80, 768, 32
-EMBED, HIDDEN, STEPS, BATCH = 12, 14, 500, 64
+EMBED, HIDDEN, STEPS, BATCH = 12, 14, 600, 64
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -99,8 +99,14 @@ def new_model(seed: int = 0) -> dict[str, np.ndarray]:
     return model
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _gate(x: np.ndarray) -> np.ndarray:
+    """A logistic-like curve without exponentials, which took half of the time of decoding."""
+    return 0.5 + 0.5 * x / (1 + np.abs(x))
+
+
+def _gate_slope(y: np.ndarray) -> np.ndarray:
+    """The gate's derivative, from its value."""
+    return 0.5 * (1 - np.abs(2 * y - 1)) ** 2
 
 
 def _lstm(model: dict, way: str, x: np.ndarray) -> tuple[np.ndarray, list]:
@@ -111,7 +117,7 @@ def _lstm(model: dict, way: str, x: np.ndarray) -> tuple[np.ndarray, list]:
     hs, saved = np.empty((steps, n, HIDDEN), x.dtype), []
     for t in range(steps):
         z = pre[t] + h @ model[f"{way}_rec"]
-        i, f, o = (_sigmoid(z[:, k * HIDDEN : (k + 1) * HIDDEN] + (k == 1)) for k in range(3))
+        i, f, o = (_gate(z[:, k * HIDDEN : (k + 1) * HIDDEN] + (k == 1)) for k in range(3))
         g = np.tanh(z[:, 3 * HIDDEN :])
         before, last = c, h
         c = f * c + i * g
@@ -129,7 +135,7 @@ def _lstm_gradient(model: dict, way: str, x: np.ndarray, saved: list, dhs: np.nd
         i, f, o, g, before, last, tc = saved[t]
         dh = dh + dhs[t]
         dc = dc + dh * o * (1 - tc * tc)
-        dz[t] = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], axis=1)
+        dz[t] = np.concatenate([dc * g * _gate_slope(i), dc * before * _gate_slope(f), dh * tc * _gate_slope(o), dc * i * (1 - g * g)], axis=1)
         grads[f"{way}_rec"] += last.T @ dz[t]
         dh = dz[t] @ model[f"{way}_rec"].T
         dc = dc * f
@@ -192,7 +198,7 @@ def fit(codes: np.ndarray, tags: np.ndarray, steps: int = STEPS, seed: int = 0)
     for step in range(1, steps + 1):
         at = rng.integers(0, len(codes), min(BATCH, len(codes)))
         _, grads = gradient(model, codes[at], tags[at])
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+        norm = sum(float((g * g).sum()) for g in grads.values()) ** 0.5
         for k, g in grads.items():
             g = g * min(1.0, 5 / (norm + 1e-9))
             m[k] = 0.9 * m[k] + 0.1 * g
@@ -203,57 +209,67 @@ def fit(codes: np.ndarray, tags: np.ndarray, steps: int = STEPS, seed: int = 0)
 
 
 def _hidden_emissions(model: dict, codes: np.ndarray) -> np.ndarray:
-    """Emissions (time, batch, tags) without what a gradient needs, in single precision.
+    """Emissions (time, tags, batch) without what a gradient needs, in single precision.
 
-    A character's share of the gates is looked up. All gates are one logistic function, as tanh(x) = 2 / (1 + exp(-2x)) - 1.
+    A character's share of the gates is looked up. Each gate has an array of its own, so that all operations run over
+    memory in one piece. Gates and states are kept doubled, and tanh(x) = 2 / (1 + exp(-2x)) - 1.
     """
     steps, n, h_ = codes.shape[1], len(codes), HIDDEN
-    out = np.empty((steps, n, TAGS), np.float32)
-    out[:] = model["out_b"]
-    scale = np.r_[np.ones(3 * h_), np.full(h_, 2.0)]
-    z, c, h, t = np.empty((n, 4 * h_), np.float32), np.empty((n, h_), np.float32), np.empty((n, h_), np.float32), np.empty((n, h_), np.float32)
-    add, share = np.empty_like(z), np.empty((n, TAGS), np.float32)
-    by_time = np.ascontiguousarray(codes.T)
+    out = np.empty((steps, TAGS, n), np.float32)
+    out[:] = model["out_b"][:, None]
+    by_gate = lambda x: np.ascontiguousarray(x.reshape(len(x), 4, h_).transpose(1, 0, 2), np.float32)
+    scale = np.r_[np.ones(3 * h_), np.full(h_, -2.0)]
+    z, c, h, t = (np.empty(shape, np.float32) for shape in ((4, n, h_), (n, h_), (n, h_), (n, h_)))
+    g = z[3]
+    share, by_time = np.empty((TAGS, n), np.float32), np.ascontiguousarray(codes.T)
     for way in "fb":
         bias = model[f"{way}_b"] + np.r_[np.zeros(h_), np.ones(h_), np.zeros(2 * h_)]  # as in training
-        table = (-(model["embed"] @ model[f"{way}_in"] + bias) * scale).astype(np.float32)
-        rec = (-model[f"{way}_rec"] * scale).astype(np.float32)
-        own = model["out"][:h_] if way == "f" else model["out"][h_:]
-        own = own.astype(np.float32)
+        table = by_gate((model["embed"] @ model[f"{way}_in"] + bias) * scale)
+        rec = by_gate(model[f"{way}_rec"] * scale / 2)
+        own = np.ascontiguousarray((model["out"][:h_] if way == "f" else model["out"][h_:]).T / 2, np.float32)
         c[:], h[:] = 0, 0
         for k in range(steps) if way == "f" else range(steps - 1, -1, -1):
-            np.take(table, by_time[k], axis=0, out=z)
-            z += np.matmul(h, rec, out=add)
-            np.exp(z, out=z)
-            z += 1
-            np.reciprocal(z, out=z)
-            np.multiply(z[:, 3 * h_ :], 2, out=t)
-            t -= 1
-            t *= z[:, :h_]
-            c *= z[:, h_ : 2 * h_]
-            c += t
-            np.multiply(c, -2, out=t)
+            for q in range(4):
+                x = z[q]
+                table[q].take(by_time[k], axis=0, out=x, mode="clip")
+                x += np.matmul(h, rec[q], out=t)
+                if q < 3:
+                    np.abs(x, out=t)
+                    t += 1
+                    x /= t
+                    x += 1
+            np.exp(g, out=g)
+            g += 1
+            np.divide(2, g, out=g)
+            g -= 1
+            g *= z[0]
+            c *= 0.5
+            c *= z[1]
+            c += g
+            np.negative(c, out=t)
             np.exp(t, out=t)
             t += 1
-            np.reciprocal(t, out=t)
-            t *= 2
-            t -= 1
-            np.multiply(t, z[:, 2 * h_ : 3 * h_], out=h)
-            out[k] += np.matmul(h, own, out=share)
+            np.divide(2, t, out=h)
+            h -= 1
+            h *= z[2]
+            out[k] += np.matmul(own, h.T, out=share)
     return out
 
 
-def _viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    steps, n, _ = e.shape
-    best, back = e[0], np.empty(e.shape, np.int64)
+def _viterbi(e: np.ndarray, trans: np.ndarray, lengths: np.ndarray, inner: np.ndarray, ended: np.ndarray) -> np.ndarray:
+    """The most likely tags of runs (time, tags, runs), of which the first ``lengths`` steps count.
+
+    What is ``inner`` comes after an outside character, and what is ``ended`` before one; others are at a window's edge.
+    """
+    steps, _, n = e.shape
+    best, tags = np.empty_like(e), np.empty((steps, n), np.int64)
+    best[0] = e[0] + trans[0][:, None] * inner
     for t in range(1, steps):
-        step = best[:, :, None] + trans
-        back[t] = step.argmax(axis=1)
-        best = np.take_along_axis(step, back[t][:, None, :], 1)[:, 0] + e[t]
-    tags = np.empty((steps, n), np.int64)
-    tags[-1] = best.argmax(axis=1)
+        new = (best[t - 1][:, None] + trans[:, :, None]).max(axis=0) + e[t]
+        best[t] = np.where(lengths > t, new, best[t - 1])
+    tags[-1] = (best[-1] + trans[:, :1] * ended).argmax(axis=0)
     for t in range(steps - 1, 0, -1):
-        tags[t - 1] = back[t][np.arange(n), tags[t]]
+        tags[t - 1] = np.where(lengths > t, (best[t - 1] + trans[:, tags[t]]).argmax(axis=0), tags[t])
     return tags.T
 
 
@@ -261,24 +277,37 @@ def decode(model: dict, codes: np.ndarray) -> np.ndarray:
     """The most likely tags of each window (Viterbi).
 
     A bound on what any stay in other tags could gain over "outside", with all other tags taken as one, says for most
-    windows that outside throughout is the best path; the others are searched.
+    characters that no stay over them is worth it, so that the best path is outside there; the runs of characters between
+    them are searched.
     """
     with np.errstate(over="ignore"):  # exp to infinity, whose reciprocal is zero
         e = _hidden_emissions(model, codes)
+    steps, _, n = e.shape
     trans = model["trans"].astype(np.float32)
-    outside = e[:, :, 0] + trans[0, 0]
-    enter = (e[:, :, 1:] + trans[0, 1:]).max(axis=2) - outside
-    go_on = (e[:, :, 1:] + trans[1:, 1:].max(axis=0)).max(axis=2) - outside
-    enter[0] = e[0, :, 1:].max(axis=1) - e[0, :, 0]
-    gain = most = enter[0]
-    for t in range(1, len(e)):
-        gain = np.maximum(enter[t], gain + go_on[t])
-        most = np.maximum(most, gain)
-    plain = (most + (trans[1:, 0] - trans[0, 0]).max() <= 0) & (gain <= 0)
+    outside = e[:, 0] + trans[0, 0]
+    enter = (e[:, 1:] + trans[0, 1:, None]).max(axis=1) - outside
+    go_on = (e[:, 1:] + trans[1:, 1:].max(axis=0)[:, None]).max(axis=1) - outside
+    enter[0] = e[0, 1:].max(axis=0) - e[0, 0]
+    leave = max(0.0, float((trans[1:, 0] - trans[0, 0]).max()))
+    upto, after = enter.copy(), np.zeros((steps, n), np.float32)
+    for t in range(1, steps):
+        np.maximum(enter[t], upto[t - 1] + go_on[t], out=upto[t])
+        # What a stay still gains behind a step, at best; its leaving counts in any case.
+        np.maximum(0, after[steps - t] + go_on[steps - t], out=after[steps - t - 1])
+    upto += after
+    open_ = np.zeros((n, steps + 2), np.int8)
+    open_[:, 1:-1] = (upto > -leave).T
     tags = np.zeros(codes.shape, np.int64)
-    rest = np.flatnonzero(~plain)
-    if len(rest):
-        tags[rest] = _viterbi(e[:, rest], trans)
+    edges = np.diff(open_, axis=1)
+    (row, start), (_, stop) = np.nonzero(edges == 1), np.nonzero(edges == -1)
+    order = np.argsort(stop - start, kind="stable")
+    for k in range(0, len(order), 512):  # of like lengths
+        own = order[k : k + 512]
+        r, a, b = row[own], start[own], stop[own]
+        at = np.minimum(a + np.arange((b - a).max())[:, None], steps - 1)
+        found = _viterbi(np.ascontiguousarray(e[at, :, r].transpose(0, 2, 1)), trans, b - a, a > 0, b < steps)
+        inside = np.arange(len(at)) < (b - a)[:, None]
+        tags[np.broadcast_to(r[:, None], inside.shape)[inside], at.T[inside]] = found[inside]
     return tags
 
 

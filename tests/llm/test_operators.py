@@ -523,12 +523,13 @@ def test_emissions_without_gradient():
     model, rng = pii.new_model(2), np.random.default_rng(1)
     x = rng.integers(0, pii.VOCAB, (40, 50))
     want = pii._emissions(model, x)[0]
-    assert np.allclose(pii._hidden_emissions(model, x), want, atol=1e-4)
-    for lift in (0, 2, 5):  # from few plain windows to many
+    assert np.allclose(pii._hidden_emissions(model, x).transpose(0, 2, 1), want, atol=1e-4)
+    for lift in (0, 2, 5):  # from few characters outside for sure to many
         model["out_b"] = np.r_[lift, np.zeros(pii.TAGS - 1)]
         model["trans"] = rng.normal(0, 0.3, (pii.TAGS, pii.TAGS))
         e = pii._hidden_emissions(model, x)
-        assert (pii.decode(model, x) == pii._viterbi(e, model["trans"].astype(np.float32))).all()
+        whole = np.full(40, 50), np.zeros(40, bool), np.zeros(40, bool)
+        assert (pii.decode(model, x) == pii._viterbi(e, model["trans"].astype(np.float32), *whole)).all()
 
 
 def test_windows_cover_texts():
