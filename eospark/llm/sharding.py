@@ -1,71 +1,159 @@
 """Shards of equal row counts that keep linked documents together, by balanced label propagation.
 
 Documents of equal text are linked. As those of one group in one shard are interchangeable, the labels are counts: how
-many documents of a group are in a shard. In every round a group's smaller counts ask to move to the shards of its
-larger ones; requests are admitted up to the target shard's free quota, so no shard ever grows beyond its size. Documents
-without links then fill the shards up. All of it is joins and aggregates on short rows; texts are read once.
+many documents of a group are in a shard. Labels begin dealt in turn. In every round a group's smaller counts ask to move
+to the shards of its larger ones. What is admitted keeps every shard within its size: requests that form cycles of shards
+are exchanged, the others follow free quota, which the documents without links leave. Where neighbours' shards have no
+room, whole groups ask for an open shard. Documents without links then fill the shards up. All of it is joins and
+aggregates on short rows; texts are read once.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eospark.functions.storage import staged
 from eospark.operators.global_order import global_cumsum, global_index
 
-ROUNDS = 12
-#: Requests to a shard are admitted by the bucket, so that the table of requests has a fixed size.
-BUCKETS = 256
+#: Rounds without an admitted move, each with other ties, after which propagation has settled.
+PATIENCE = 3
 
 
 def _sizes(n: int, shards: int) -> list[int]:
     return [n // shards + (s < n % shards) for s in range(shards)]
 
 
-def _round(cells: DataFrame, free: list[int]) -> DataFrame:
-    """One round of propagation: ``grp, shard, n, moved`` after the admitted moves."""
-    quota = F.array(*[F.lit(x).cast("bigint") for x in free])
-    cells = cells.withColumn("open", F.element_at(quota, F.col("shard") + 1) > 0)
-    tie = F.xxhash64("grp", "shard")
+def admitted(asked: dict[tuple[int, int], int], free: list[int]) -> dict[tuple[int, int], int]:
+    """How many of the rows that ask to move from shard to shard may do so, all at once, with no shard beyond its quota.
+
+    Cycles of requests are exchanges and need no quota. What is left has no cycles, so a pass from its ends backwards lets
+    free quota travel from where rows go to where they come from. At most shards^2 numbers, on the driver.
+    """
+    left, out = {k: n for k, n in asked.items() if n > 0}, defaultdict(int)
+
+    def move(edges: list[tuple[int, int]], n: int) -> None:
+        for e in edges:
+            out[e] += n
+            left[e] -= n
+            if not left[e]:
+                del left[e]
+
+    for s, t in sorted(left):
+        if s < t and (n := min(left.get((s, t), 0), left.get((t, s), 0))):
+            move([(s, t), (t, s)], n)
+    ordered: list[int] = []
+    while True:
+        after = defaultdict(list)
+        for s, t in sorted(left):
+            after[s].append(t)
+        ordered, done, cycle = [], set(), None
+        for root in sorted(after):
+            stack, on = [(root, iter(after[root]))] if root not in done else [], [root]
+            while stack and not cycle:
+                node, rest = stack[-1]
+                t = next((t for t in rest if t not in done), None)
+                if t is None:
+                    done.add(node)
+                    ordered.append(node)
+                    stack.pop()
+                    on.pop()
+                elif t in on:
+                    path = on[on.index(t) :]
+                    cycle = list(zip(path, [*path[1:], t], strict=True))
+                else:
+                    stack.append((t, iter(after[t])))
+                    on.append(t)
+            if cycle:
+                break
+        if not cycle:
+            break
+        move(cycle, min(left[e] for e in cycle))
+    free = list(free)
+    for t in ordered:
+        for s, _ in sorted(e for e in left if e[1] == t):
+            if n := min(left[s, t], free[t]):
+                move([(s, t)], n)
+                free[t] -= n
+                free[s] += n
+    return dict(out)
+
+
+def _to_neighbours(cells: DataFrame, free: list[int], seed: int) -> DataFrame | None:
+    """``cells`` after the admitted moves of a group's smaller counts to the shards of its larger ones; None if there are none."""
+    tie = F.xxhash64("grp", "shard", F.lit(seed))
     # At most as many elements as there are shards.
-    held = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), tie.alias("tie"), "shard", "open")))
-    groups = cells.groupBy("grp").agg(held.alias("held"))
-    groups = groups.withColumn("to", F.filter("held", lambda x: x["open"])).withColumn("half", F.expr("(size(to) + 1) div 2"))
-    own = F.col("cell")
-    place = F.array_position(F.col("to.shard"), own["shard"]).cast("int")  # from 1; 0 if that shard is full
-    rows = groups.select("grp", "to", "half", F.explode("held").alias("cell")).withColumn("place", place)
-    first = F.get("to", F.lit(0))
-    target = F.when((F.col("place") > F.col("half")), F.get("to", F.col("place") - F.col("half") - 1)["shard"]).when(
-        (F.col("place") == 0) & (first["minus"] <= own["minus"]), first["shard"]
+    held = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), tie.alias("tie"), "shard")))
+    groups = cells.groupBy("grp").agg(held.alias("held")).withColumn("half", F.expr("(size(held) + 1) div 2"))
+    rows = groups.select("grp", "held", "half", F.posexplode("held").alias("place", "cell"))
+    target = F.when(F.col("place") >= F.col("half"), F.get("held", F.col("place") - F.col("half"))["shard"])
+    rows = staged(rows.select("grp", F.col("cell.shard").alias("shard"), (-F.col("cell.minus")).alias("n"), target.alias("target")), "requests")
+    asking = rows.where("target is not null")
+    asked = {(r["shard"], r["target"]): r["n"] for r in asking.groupBy("shard", "target").agg(F.sum("n").alias("n")).collect()}
+    grant, base, plan = admitted(asked, free), 0, []
+    for s, t in sorted(asked):
+        plan.append((s, t, base, grant.get((s, t), 0)))
+        base += asked[s, t]
+    if not grant:
+        return None
+    # Which rows of a request move is settled by a running sum, so exactly as many move as were admitted.
+    asking = global_cumsum(asking, [F.col("shard"), F.col("target"), F.xxhash64("grp", F.lit(seed)), F.col("grp")], {"through": "n"})
+    quota = cells.sparkSession.createDataFrame(plan, "shard int, target int, base bigint, grant bigint")
+    asking = asking.join(F.broadcast(quota), ["shard", "target"])  # at most shards^2 rows
+    moved = F.least("n", F.greatest(F.lit(0), F.col("grant") - (F.col("through") - F.col("n") - F.col("base")))).cast("bigint")
+    asking = asking.select("grp", "shard", "target", "n", moved.alias("moved"))
+    parts = F.array(F.struct("shard", (F.col("n") - F.col("moved")).alias("n")), F.struct(F.col("target").alias("shard"), F.col("moved").alias("n")))
+    after = asking.select("grp", F.inline(parts)).where("n > 0").unionByName(rows.where("target is null").select("grp", "shard", "n"))
+    return after.groupBy("grp", "shard").agg(F.sum("n").alias("n"))
+
+
+def _to_open_shards(cells: DataFrame, free: list[int], seed: int) -> DataFrame | None:
+    """``cells`` after whole groups that lie in several shards have moved to a shard with room for all of them."""
+    split = cells.groupBy("grp").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("shards")).where("shards > 1")
+    room = [(i, f) for i, f in enumerate(free) if f > 1]
+    if not room:
+        return None
+    shards = F.array(*[F.lit(i) for i, _ in room])
+    target = F.element_at(shards, (F.pmod(F.xxhash64("grp", F.lit(seed)), F.lit(len(room))) + 1).cast("int")).cast("int")
+    asked = split.select("grp", "n", target.alias("target")).join(
+        F.broadcast(cells.sparkSession.createDataFrame(room, "target int, quota bigint")),  # a row a shard
+        "target",
     )
-    rows = rows.select("grp", own["shard"].alias("shard"), (-own["minus"]).alias("n"), target.alias("target"))
-    rows = rows.withColumn("bucket", F.when(F.col("target").isNotNull(), F.pmod(F.xxhash64("shard", "grp"), F.lit(BUCKETS))))
-    asked = rows.where("target is not null").groupBy("target", "bucket").agg(F.sum("n").alias("asked"))
-    order = Window.partitionBy("target").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    asked = asked.withColumn("before", F.sum("asked").over(order) - F.col("asked"))
-    grant = F.greatest(F.lit(0), F.least("asked", F.element_at(quota, F.col("target") + 1) - F.col("before")))
-    asked = asked.select("target", "bucket", "asked", grant.alias("grant"))
-    # At most shards x BUCKETS rows.
-    rows = rows.join(F.broadcast(asked), ["target", "bucket"], "left")
-    rows = rows.withColumn("moved", F.coalesce(F.expr("(n * grant) div asked"), F.lit(0)))
-    parts = F.array(
-        F.struct(F.col("shard"), (F.col("n") - F.col("moved")).alias("n"), F.lit(0).cast("bigint").alias("moved")),
-        F.struct(F.col("target").alias("shard"), F.col("moved").alias("n"), F.col("moved")),
-    )
-    rows = rows.select("grp", F.inline(parts)).where("n > 0")
-    return rows.groupBy("grp", "shard").agg(F.sum("n").alias("n"), F.sum("moved").alias("moved"))
-
-
-def propagate(cells: DataFrame, sizes: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """``grp, shard, n`` after label propagation; ``n`` summed over a shard never exceeds its entry of ``sizes``."""
-    cells = staged(cells, "cells")
-    for _ in range(rounds):
+    asked = staged(asked.where("n <= quota"), "asked")
+    total, bases = {r["target"]: r["n"] for r in asked.groupBy("target").agg(F.sum("n").alias("n")).collect()}, {}
+    if not total:
+        return None
+    for t in sorted(total):
+        bases[t] = sum(total[u] for u in total if u < t)
+    # Small groups first; what fits by the running sum is admitted.
+    asked = global_cumsum(asked, [F.col("target"), F.col("n"), F.col("grp")], {"through": "n"})
+    base = F.create_map(*[F.lit(x) for t in bases for x in (t, bases[t])])
+    gone = staged(asked.where(F.col("through") - base[F.col("target")] <= F.col("quota")).select("grp", F.col("target").alias("shard"), "n"), "moved")
+    return cells.join(gone.select("grp"), "grp", "left_anti").unionByName(gone.select("grp", "shard", "n"))
+
+
+def propagate(cells: DataFrame, sizes: list[int], log: list[int] | None = None) -> DataFrame:
+    """``grp, shard, n`` after label propagation; ``n`` summed over a shard never exceeds its entry of ``sizes``.
+
+    Each move makes the squares of a group's counts sum to more, so moves come to an end. ``log`` gets the cut links before
+    each round.
+    """
+    cells, idle, seed = staged(cells, "cells"), 0, 0
+    while idle < PATIENCE:
         load = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-        moved = staged(_round(cells, [s - load.get(i, 0) for i, s in enumerate(sizes)]), "cells")
-        cells = moved.drop("moved")
-        if not moved.agg(F.sum("moved")).first()[0]:
+        free = [s - load.get(i, 0) for i, s in enumerate(sizes)]
+        cuts = cut_links(cells)
+        if log is not None:
+            log.append(cuts)
+        if not cuts:
             break
+        moved = _to_neighbours(cells, free, seed)
+        if moved is None:
+            moved = _to_open_shards(cells, free, seed)
+        idle, seed = (idle + 1 if moved is None else 0), seed + 1
+        cells = cells if moved is None else staged(moved, "cells")
     return cells
 
 
@@ -74,12 +162,13 @@ def cut_links(cells: DataFrame) -> int:
     return cells.groupBy("grp").agg((F.count(F.lit(1)) - 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", log: list[int] | None = None) -> DataFrame:
     """``id_col, size, text_crc32, shard, slot``: shard sizes in rows differ by one at most; slots have no gaps.
 
     ``size`` is the text's UTF-8 bytes plus 16. A null text counts as empty, and empty texts are linked like any other.
     Repeated rows get a place each; among rows that tie in id and text it is arbitrary which gets which. Groups larger
-    than a shard fill some shards and spill into others. An empty table gives an empty table.
+    than a shard fill some shards and spill into others. An empty table gives an empty table. ``log`` gets the cut links of
+    each round.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     slim = docs.select(
@@ -96,12 +185,9 @@ def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
     single = global_index(slim.where("copies is null").drop("grp", "copies"), [F.col("id")])
     n_linked, n_single = linked.count(), single.count()
     sizes = _sizes(n_linked + n_single, shards)
-    # Labels begin as runs of ranks cut at the shards' sizes: a group starts in as few shards as may be, and where there
-    # is no free quota, as no row is without links, few groups need to move at all.
-    ends = [sum(sizes[: s + 1]) for s in range(shards)]
-    start = sum(((F.col("idx") >= e).cast("int") for e in ends[:-1]), F.lit(0))
-    cells = linked.groupBy("grp", start.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
-    cells = propagate(cells, sizes, rounds)
+    # Dealt in turn, a shard has no more linked rows than its size.
+    cells = linked.groupBy("grp", F.pmod("idx", F.lit(shards)).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    cells = propagate(cells, sizes, log)
     inside = Window.partitionBy("grp").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     ranges = global_cumsum(cells, [F.col("shard"), F.col("grp")], {"through": "n"})
     load = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}

@@ -329,12 +329,45 @@ def test_shards(spark, shards):
 
 
 def test_shards_without_free_rows(spark):
-    """Every text has a copy, so no shard has room: pairs still stay together but where a shard's size is odd."""
-    rows = [(i, f"pair {i // 2}") for i in range(400)]
-    got = {r["doc_id"]: r["shard"] for r in sharding.assign_shards(docs(spark, rows), 8).collect()}
+    """Every text has a copy, so no shard has room: pairs still come together but where a shard's size is odd."""
+    rows, log = [(i, f"pair {i // 2}") for i in range(400)], []
+    got = {r["doc_id"]: r["shard"] for r in sharding.assign_shards(docs(spark, rows), 8, log=log).collect()}
+    assert log[0] == 200 and log[-1] == 0  # all of them by moves
     assert set(Counter(got.values()).values()) == {50} and sum(got[i] != got[i + 1] for i in range(0, 400, 2)) == 0
-    got = {r["doc_id"]: r["shard"] for r in sharding.assign_shards(docs(spark, rows), 9).collect()}
-    assert sum(got[i] != got[i + 1] for i in range(0, 400, 2)) <= 8
+    log = []
+    got = {r["doc_id"]: r["shard"] for r in sharding.assign_shards(docs(spark, rows), 9, log=log).collect()}
+    assert sorted(Counter(got.values()).values()) == [44] * 5 + [45] * 4 and sum(got[i] != got[i + 1] for i in range(0, 400, 2)) <= 8
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_shards_unite_by_moves(spark, sf):
+    """Label propagation moves rows, and in the end no group that fits a shard is split."""
+    log = []
+    tables = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    got = sharding.assign_shards(tables, 40, log=log)
+    sizes = [r["count"] for r in got.groupBy("shard").count().collect()]
+    assert max(sizes) - min(sizes) <= 1 and len(sizes) == 40
+    assert log[0] > 0 and log == sorted(log, reverse=True)
+    both = got.join(tables.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("t")), "doc_id")
+    split = both.groupBy("t").agg(F.countDistinct("shard").alias("n"), F.count(F.lit(1)).alias("copies")).where("n > 1").collect()
+    assert all(r["copies"] > min(sizes) for r in split) and (log[-1] == 0 or split)
+
+
+def test_admitted_moves():
+    """Random requests: no shard beyond its quota, nothing beyond what was asked, and no cycle is left."""
+    rng = random.Random(4)
+    for _ in range(300):
+        n = rng.randint(2, 8)
+        asked = {(s, t): rng.randint(0, 9) for s in range(n) for t in range(n) if s != t and rng.random() < 0.6}
+        free = [rng.choice([0, 0, 3]) for _ in range(n)]
+        out = sharding.admitted(asked, free)
+        assert all(0 < out[e] <= asked[e] for e in out)
+        for t in range(n):
+            assert sum(v for e, v in out.items() if e[1] == t) - sum(v for e, v in out.items() if e[0] == t) <= free[t]
+        left = {e: asked[e] - out.get(e, 0) for e in asked}
+        assert sharding.admitted(left, [0] * n) == {}
+    assert sharding.admitted({(0, 1): 5, (1, 2): 4, (2, 0): 3}, [0, 0, 0]) == {(0, 1): 3, (1, 2): 3, (2, 0): 3}
+    assert sharding.admitted({(0, 1): 5, (1, 2): 4}, [0, 0, 2]) == {(0, 1): 2, (1, 2): 2}
 
 
 def test_shards_edges(spark):
