@@ -8,6 +8,7 @@ from eospark.functions.arrays import u
 from eospark.functions.storage import new_path
 from eospark.jobs import evaluate, pipeline
 from eospark.jobs.registry import query, rounded
+from eospark.operators import ragged as G
 from eospark.operators import project as Pj
 from eospark.operators import raster as R
 from eospark.operators import shaping as S
@@ -160,12 +161,25 @@ def assert_shapes(spark, d):
 
 
 # --- Joins, lookups, maps
-@query(sql="SELECT o_orderkey AS id, round(o_totalprice, 4) AS label, round(pred, 4) AS pred FROM orders JOIN (SELECT l_orderkey, sum(l_extendedprice*(1-l_discount)) AS pred FROM lineitem GROUP BY ALL) ON l_orderkey = o_orderkey")
-def join_pred_labels(spark, d):
+_JOINED = "SELECT o_orderkey AS id, round(o_totalprice, 4) AS label, round(pred, 4) AS pred FROM orders JOIN (SELECT l_orderkey, sum(l_extendedprice*(1-l_discount)) AS pred FROM lineitem GROUP BY ALL) ON l_orderkey = o_orderkey"
+
+
+def _preds_labels(spark, d) -> tuple:
     line = X.table(spark, d, "lineitem")
     preds = line.groupBy(F.col("l_orderkey").alias("id")).agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("pred"))
-    labels = X.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("label"))
-    return rounded(Pj.join_predictions(preds, labels, check=False), 4)
+    return preds, X.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("label"))
+
+
+@query(sql=_JOINED)
+def join_pred_labels(spark, d):
+    return rounded(Pj.join_unique(*_preds_labels(spark, d)), 4)
+
+
+@query(sql=_JOINED)
+def join_bucketed(spark, d):
+    """The same of tables that were saved by id, so that checks and join need no exchange."""
+    sides = [Pj.save_bucketed(df, "id", 16, name) for df, name in zip(_preds_labels(spark, d), ("preds", "labels"), strict=True)]
+    return rounded(Pj.join_unique(*sides), 4)
 
 
 @query(sql="SELECT s_suppkey, coalesce(n.n_nationkey, -1) AS val FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) n ON s_nationkey = n.n_nationkey")
@@ -313,13 +327,89 @@ def match_spatial_dims(spark, d):
     return rounded(R.resize(X.arrays(spark, d).select("id", "data"), "data", (8, 8, 1), (4, 4), "nearest"))
 
 
-@query()
+#: Pixels of tables g(id, data, h, w, nh, nw) resized bilinearly, and of nearest neighbours.
+_AXIS = ", ".join(f"least(greatest(({i}+0.5::DOUBLE)*{n}/{m}-0.5::DOUBLE, 0), {n}-1) AS c{i}" for i, n, m in (("i", "h", "nh"), ("j", "w", "nw")))
+_LINEAR = f""", q AS (SELECT id, data, h, w, nh, nw, k, k//nw AS i, k%nw AS j FROM (SELECT *, unnest(range(nh*nw)) AS k FROM g)),
+r AS (SELECT *, least(floor(ci), greatest(h-2, 0))::INT AS a, least(floor(cj), greatest(w-2, 0))::INT AS b FROM (SELECT *, {_AXIS} FROM q)),
+l AS (SELECT id, k, nh, nw, (1-(ci-a))*((1-(cj-b))*data[a*w+b+1] + (cj-b)*coalesce(data[a*w+b+2], 0)) + (ci-a)*coalesce((1-(cj-b))*data[(a+1)*w+b+1] + (cj-b)*coalesce(data[(a+1)*w+b+2], 0), 0) AS v FROM r)"""
+_NEAR = "least({n}-1, floor(({i}+0.5::DOUBLE)*{n}/{m}))::INT"
+
+
+def _nearest(data: str, w: str, y: str, x: str) -> str:
+    return f"{data}[({y})*{w}+({x})+1]"
+
+
+_RAGGED = ", ragged AS (SELECT id, label, data, CASE id%3 WHEN 0 THEN 8 WHEN 1 THEN 4 ELSE 16 END AS h, CASE id%3 WHEN 0 THEN 8 WHEN 1 THEN 16 ELSE 4 END AS w FROM arrays)"
+
+
+def _ragged(spark, d):
+    """Rasters of three shapes."""
+    h = F.when(F.col("id") % 3 == 0, 8).when(F.col("id") % 3 == 1, 4).otherwise(16)
+    return X.arrays(spark, d).select("id", "data", F.array(h, F.lit(64) / h, F.lit(1)).cast("array<int>").alias("shape"))
+
+
+def _shaped(df):
+    return rounded(df.select("id", "shape", "data"))
+
+
+@query("arrays", _RAGGED + ", g AS (SELECT *, least(h, w)//2 AS f, (h//(least(h, w)//2))::INT AS nh, (w//(least(h, w)//2))::INT AS nw FROM ragged) SELECT id, [nh, nw, 1] AS shape, list_transform(range(nh*nw), lambda k: trunc(least(greatest(list_avg(list_transform(range(f*f), lambda q: 300*data[(k//nw*f+q//f)*w+k%nw*f+q%f+1])), 0), 255))) AS data FROM g")
+def resize_small(spark, d):
+    """The smaller side becomes two pixels; the mean of 300 times the values, clipped to bytes."""
+    df = _ragged(spark, d).withColumn("data", F.transform("data", lambda x: 300 * x)).withColumn("size", G.by_side(F.col("shape"), 2, True))
+    return _shaped(G.resample(df, {"data": ("area", "uint8")}, "size"))
+
+
+@query("arrays", _RAGGED + ", g AS (SELECT *, round_even(h*(6/greatest(h, w)::DOUBLE), 0)::INT AS nh, round_even(w*(6/greatest(h, w)::DOUBLE), 0)::INT AS nw FROM ragged)" + _LINEAR + " SELECT id, [any_value(nh), any_value(nw), 1] AS shape, list(round(v, 6) ORDER BY k) AS data FROM l GROUP BY id")
+def resize_long(spark, d):
+    """The longer side becomes six pixels, bilinearly."""
+    df = _ragged(spark, d).withColumn("size", G.by_side(F.col("shape"), 6, False))
+    return _shaped(G.resample(df, {"data": ("bilinear", None)}, "size"))
+
+
+_BOX = """, b0 AS (SELECT *, h*w*(0.05::DOUBLE + u(id, 'boxarea')*(1.0::DOUBLE-0.05::DOUBLE)) AS s, 0.75::DOUBLE + u(id, 'boxaspect')*(1.33::DOUBLE-0.75::DOUBLE) AS q FROM ragged),
+b1 AS (SELECT *, least(greatest(round_even(sqrt(s/q), 0), 1), h)::INT AS bh, least(greatest(round_even(sqrt(s*q), 0), 1), w)::INT AS bw FROM b0),
+b AS (SELECT *, floor(u(id, 'boxy')*(h-bh+1))::INT AS y0, floor(u(id, 'boxx')*(w-bw+1))::INT AS x0 FROM b1)"""
+
+
+@query("arrays", _RAGGED + _BOX + " SELECT id, [y0, x0, bh, bw] AS box, [4, 4, 1] AS shape, list_transform(range(16), lambda k: round(" + _nearest("data", "w", "y0+" + _NEAR.format(i="(k//4)", n="bh", m="4"), "x0+" + _NEAR.format(i="(k%4)", n="bw", m="4")) + ", 6)) AS data FROM b")
+def distorted_crop(spark, d):
+    """A box of random area, aspect and place, resampled to 4 x 4."""
+    df = _ragged(spark, d).withColumns({"box": G.distorted_box(F.col("shape"), F.col("id"), "box"), "size": F.array(F.lit(4), F.lit(4))})
+    return rounded(G.resample(df, {"data": ("nearest", None)}, "size", box="box").select("id", "box", "shape", "data"))
+
+
+_REFLECT = "CASE WHEN abs({i}+{d}) > {n}-1 THEN 2*({n}-1)-abs({i}+{d}) ELSE abs({i}+{d}) END"
+
+
+@query("arrays", _RAGGED + ", g AS (SELECT *, floor(u(id, 'sy')*7)::INT-3 AS dy, floor(u(id, 'sx')*7)::INT-3 AS dx FROM ragged) SELECT id, list_transform(range(64), lambda k: round(" + _nearest("data", "w", _REFLECT.format(i="k//w", d="dy", n="h"), _REFLECT.format(i="k%w", d="dx", n="w")) + ", 6)) AS data FROM g")
+def shift_reflect(spark, d):
+    """A shift of up to three pixels either way."""
+    shift = lambda salt: F.floor(u(F.col("id"), salt) * 7) - 3
+    return rounded(_ragged(spark, d).select("id", G.shift_reflect(F.col("data"), F.col("shape"), shift("sy"), shift("sx")).alias("data")))
+
+
+@query("arrays", _RAGGED + ", s AS (SELECT *, floor((0.5::DOUBLE + u(id, 'ratio')*(1.5::DOUBLE-0.5::DOUBLE))*8) AS side FROM ragged), g AS (SELECT *, round_even(h*least(side/h, side/w), 0)::INT AS nh, round_even(w*least(side/h, side/w), 0)::INT AS nw FROM s)" + _LINEAR + ", m AS (SELECT id, list_transform(range(nh*nw), lambda k: (((" + _NEAR.format(i="(k//nw)", n="h", m="nh") + ")*w + " + _NEAR.format(i="(k%nw)", n="w", m="nw") + ")%5 <> 0)::INT::DOUBLE) AS mask FROM g) SELECT id, [any_value(nh), any_value(nw), 1] AS shape, list(round(v, 6) ORDER BY k) AS data, any_value(mask) AS mask FROM l JOIN m USING (id) GROUP BY id")
+def random_resize(spark, d):
+    """Values bilinearly and the padding mask by nearest neighbours, to one random size."""
+    mask = F.transform("data", lambda _, p: (p % 5 != 0).cast("double"))
+    df = _ragged(spark, d).withColumns({"mask": mask, "size": G.by_reference(F.col("shape"), u(F.col("id"), "ratio"), 8, 0.5, 1.5)})
+    return rounded(G.resample(df, {"data": ("bilinear", None), "mask": ("nearest", None)}, "size").select("id", "shape", "data", "mask"))
+
+
+@query("arrays", ", g AS (SELECT id, data, 8 AS h, 8 AS w, floor(8*(0.8::DOUBLE + u(id, 'size')*(1.3::DOUBLE-0.8::DOUBLE)))::INT AS nh, floor(8*(0.8::DOUBLE + u(id, 'size')*(1.3::DOUBLE-0.8::DOUBLE)))::INT AS nw FROM arrays)" + _LINEAR + " SELECT id, list(round(v, 6) ORDER BY k) AS data FROM l GROUP BY id")
 def det_resize(spark, d):
     df = X.arrays(spark, d).select("id", "data", u(F.col("id"), "size").alias("r"))
     return rounded(R.det_resize(df, "data", "r", (8, 8, 1)).select("id", "data"))
 
 
-@query()
+_TURNED = """, q AS (SELECT id, data, k, 2*pi()*u(id, 'turn') AS t, k//8-3.5::DOUBLE AS dy, k%8-3.5::DOUBLE AS dx FROM arrays, range(64) r(k)),
+s AS (SELECT *, sin(t)*dx + cos(t)*dy + 3.5::DOUBLE AS sy, cos(t)*dx - sin(t)*dy + 3.5::DOUBLE AS sx FROM q),
+n AS (SELECT id, k, sy, sx, data, floor(sy)::INT + o//2 AS y, floor(sx)::INT + o%2 AS x FROM s, range(4) p(o)),
+v AS (SELECT id, k, sum(CASE WHEN y BETWEEN 0 AND 7 AND x BETWEEN 0 AND 7 THEN (1-abs(sy-y))*(1-abs(sx-x))*data[y*8+x+1] ELSE 0 END) AS v FROM n GROUP BY ALL)
+SELECT id, list(round(v, 6) ORDER BY k) AS data FROM v GROUP BY id"""
+
+
+@query("arrays", _TURNED)
 def det_rotate(spark, d):
     df = X.arrays(spark, d).select("id", "data", u(F.col("id"), "turn").alias("r"))
     return rounded(R.det_rotate(df, "data", "r", (8, 8, 1)).select("id", "data"))

@@ -133,8 +133,10 @@ _PAN = ", v AS (SELECT id, y, x, list_position(logits, list_max(logits))-1 AS in
 
 @query("scored_px", _PAN + " SELECT id, y, x, (CASE WHEN ok THEN inst ELSE 0 END)::INT AS instance, cls::INT AS class FROM v JOIN k USING (id, inst)")
 def panoptic_post(spark, d):
-    df = X.scored_px(spark, d).withColumn("semantics", F.reverse("logits"))
-    return P.panoptic(df, "id", ["y", "x"], "semantics", "logits", min_fraction=0.25)
+    df = X.rasters_of(X.table(spark, d, "embeddings"), 1, 4, 4, 4)
+    voted = P.panoptic(F.transform("logits", lambda x: F.reverse(x)), F.col("logits"), min_fraction=0.25)
+    rows = df.select("id", voted.alias("v")).select("id", F.posexplode(F.arrays_zip("v.instance", "v.class")).alias("p", "c"))
+    return rows.select("id", F.expr("cast(p div 4 as int)").alias("y"), (F.col("p") % 4).alias("x"), F.col("c.instance"), F.col("c.class"))
 
 
 @query("scored_px", f", a AS (SELECT id, {_LSE} AS z, logits[label+1] AS t, logits[4-label] AS r FROM scored_px) SELECT id, round(avg(z-t), 6) AS semantics_loss, round(avg(z-r), 6) AS instances_loss, round(avg(z-t)+avg(z-r), 6) AS loss FROM a GROUP BY id")

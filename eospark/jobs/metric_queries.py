@@ -42,7 +42,10 @@ def confusion_matrix_3d(spark, d):
     + _grid("k.t", "(SELECT DISTINCT t FROM scored_t)", 4, "r", "list_position(s.logits, list_max(s.logits))-1", "s.t = k.t"),
 )
 def cm3d_rolling_max(spark, d):
-    return C.confusion_matrix(C.rolling_max(X.scored_t(spark, d), 3, ["id", "y", "x"]), 4, ["t"])
+    df = X.rasters_of(X.table(spark, d, "embeddings"), 4, 2, 2, 4)
+    cells = F.arrays_zip(C.rolling_max_in_row(F.col("labels"), 3, 4).alias("label"), F.col("logits"))
+    rows = df.select(F.posexplode(cells).alias("p", "cell")).select(F.expr("cast(p div 4 as int)").alias("t"), "cell.label", "cell.logits")
+    return C.confusion_matrix(rows, 4, ["t"])
 
 
 _STRATA = ", s0 AS (SELECT * FROM scored_cls WHERE label > 0)" + _grid("k.strata", "(SELECT DISTINCT strata FROM scored_cls)", 10, "s0", "list_position(s.logits, list_max(s.logits))-1", "s.strata = k.strata")

@@ -25,8 +25,18 @@ def confusion_matrix(df: DataFrame, classes: int, keys: list[str] = [], label: s
     return counted(df, argmax(F.col(logits)), F.col(label), classes, keys, keep)
 
 
+def rolling_max_in_row(labels: Column, window: int, pixels: int) -> Column:
+    """An array of labels, ``pixels`` a step, with each replaced by the largest in a centred window of an odd number of steps;
+    beyond the ends is 0. In the row, so nothing is shuffled."""
+    if window % 2 == 0:
+        raise ValueError("the window must be odd")
+    half = window // 2
+    steps = F.array(*[F.lit(k * pixels) for k in range(-half, half + 1)])
+    return F.transform(labels, lambda x, i: F.array_max(F.transform(steps, lambda k: F.coalesce(F.get(labels, i + k), F.lit(0)))))
+
+
 def rolling_max(df: DataFrame, window: int, keys: list[str], order: str = "t", label: str = "label") -> DataFrame:
-    """Labels replaced by the largest in a centred window of an odd number of steps; beyond the ends is 0."""
+    """Long tables: labels replaced by the largest in a centred window of an odd number of steps; beyond the ends is 0."""
     if window % 2 == 0:
         raise ValueError("the window must be odd")
     half = window // 2

@@ -5,10 +5,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eospark.functions.arrays import div0, log_sigmoid, log_softmax, log_sum_exp, sigmoid, softmax, total
+from eospark.functions.storage import staged
 
 
 def softmax_xent(logits: Column, targets: Column, kl: bool = False) -> Column:
@@ -119,31 +122,49 @@ def weighted_losses_sum(losses: dict[str, tuple[Column, float]], normalize: bool
     return [whole.alias("loss"), *[c.alias(n) for n, (c, _) in losses.items()]]
 
 
-def nt_xent(df: DataFrame, batch: str = "batch_id", pair: str = "pair", view: str = "view", vector: str = "v", temperature: float = 1.0) -> DataFrame:
-    """``batch, pair, loss`` of paired views: within a batch the other view is the positive, all other vectors are negatives.
+def nt_xent(
+    df: DataFrame, batch: str = "batch_id", pair: str = "pair", view: str = "view", vector: str = "v", temperature: float = 1.0, block: int = 256
+) -> DataFrame:
+    """``batch_id, pair, loss`` of paired views: within a batch the other view is the positive, all other vectors are negatives.
 
-    The batch size bounds the pairs; a batch is one group of a vectorised helper.
+    Pairs of a batch are dealt into blocks of about ``block`` by hash. Each two blocks meet as one row, whose similarities
+    (four times block squared at most at a time) are reduced to a log-sum-exp for each vector; those of one vector over
+    all blocks are combined. So memory doesn't grow with the batch. Pairs without exactly two views are left out.
     """
     import numpy as np
     import pandas as pd
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pair", "view"], kind="stable")
-        both = pdf.groupby("pair")["view"].transform("count") == 2
-        pdf = pdf[both]
-        if not len(pdf):
-            return pd.DataFrame({"batch_id": [], "pair": [], "loss": []})
-        v = np.stack(pdf["v"].to_numpy())
-        sim = v @ v.T / temperature
-        np.fill_diagonal(sim, -1e10)
-        top = sim.max(axis=1, keepdims=True)
-        z = (top + np.log(np.exp(sim - top).sum(axis=1, keepdims=True)))[:, 0]
-        rows = np.arange(len(v))
-        loss = z - sim[rows, rows ^ 1]
-        return pd.DataFrame({"batch_id": pdf["batch_id"].to_numpy()[::2], "pair": pdf["pair"].to_numpy()[::2], "loss": loss[::2] + loss[1::2]})
-
-    src = df.select(F.col(batch).alias("batch_id"), F.col(pair).alias("pair"), F.col(view).alias("view"), F.col(vector).alias("v"))
-    return src.groupBy("batch_id").applyInPandas(run, "batch_id bigint, pair bigint, loss double")
+    src = df.select(F.col(batch).alias("batch_id"), F.col(pair).alias("pair"), F.struct(F.col(view).alias("view"), F.col(vector).alias("v")).alias("x"))
+    both = src.groupBy("batch_id", "pair").agg(F.array_sort(F.collect_list("x")).alias("x")).where("size(x) = 2")
+    both = staged(both.select("batch_id", "pair", F.col("x")[0]["v"].alias("a"), F.col("x")[1]["v"].alias("b")), "pairs")
+    blocks = both.groupBy("batch_id").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    at = F.pmod(F.xxhash64("pair"), F.col("blocks")).alias("block")
+    dealt = both.join(F.broadcast(blocks), "batch_id").select("batch_id", "blocks", at, F.struct("pair", "a", "b").alias("p"))  # a row a batch
+    dealt = staged(dealt.groupBy("batch_id", "blocks", "block").agg(F.collect_list("p").alias("rows")), "blocks")
+    left = dealt.select("batch_id", "block", "rows", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    right = dealt.select("batch_id", F.col("block").alias("other"), F.col("rows").alias("others"))
+    met = left.join(right, ["batch_id", "other"]).select("batch_id", (F.col("block") == F.col("other")).alias("own"), "rows", "others")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stack = lambda rows: np.stack([np.stack([r["a"], r["b"]]) for r in rows])
+        for f in frames:
+            for key, own, rows, others in zip(f["batch_id"], f["own"], f["rows"], f["others"], strict=True):
+                x, y = stack(rows), stack(others)
+                sim = x.reshape(-1, x.shape[2]) @ y.reshape(-1, y.shape[2]).T / temperature
+                if own:
+                    np.fill_diagonal(sim, -np.inf)
+                top = sim.max(axis=1)
+                lse = (top + np.log(np.exp(sim - top[:, None]).sum(axis=1))).reshape(-1, 2)
+                positive = (x[:, 0] * x[:, 1]).sum(axis=1) / temperature
+                yield pd.DataFrame({"batch_id": key, "pair": [r["pair"] for r in rows], "a": lse[:, 0], "b": lse[:, 1], "positive": positive})
+
+    ids = ", ".join(f"{c} {both.schema[c].dataType.simpleString()}" for c in ("batch_id", "pair"))
+    parts = met.mapInPandas(run, f"{ids}, a double, b double, positive double")
+    # As many elements as the batch has blocks.
+    parts = parts.groupBy("batch_id", "pair").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"), F.first("positive").alias("positive"))
+
+    each = log_sum_exp(F.col("a")) + log_sum_exp(F.col("b"))
+    return parts.select("batch_id", "pair", (each - 2 * F.col("positive")).alias("loss"))
 
 
 REGISTRY = {

@@ -75,14 +75,31 @@ def class_area(stats: DataFrame) -> DataFrame:
     return stats.groupBy("class").agg(F.sum("n").alias("n"))
 
 
-def panoptic(df: DataFrame, key: str, pixel: list[str], semantics: str, instances: str, min_fraction: float = 0.0, classes: int = 4) -> DataFrame:
-    """``key, pixel.., instance, class``: an instance's class is that of its pixels' summed semantic logits; instances
-    with at most ``min_fraction`` of the pixels become 0."""
-    rows = df.select(key, *pixel, argmax(F.col(instances)).alias("inst"), F.col(semantics).alias("s"))
-    votes = rows.groupBy(key, "inst").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.get("s", F.lit(c))) for c in range(classes)]).alias("sums"))
-    size = votes.groupBy(key).agg(F.sum("n").alias("all"))
-    votes = votes.join(size, key).select(key, "inst", argmax(F.col("sums")).alias("class"), (F.col("n") / F.col("all") > min_fraction).alias("ok"))
-    return rows.join(votes, [key, "inst"]).select(key, *pixel, F.when(F.col("ok"), F.col("inst")).otherwise(0).alias("instance"), "class")
+def panoptic(semantics: Column, instances: Column, min_fraction: float = 0.0) -> Column:
+    """``struct<instance: array<int>, class: array<int>>`` of a raster whose pixels have an array of logits each: an instance's
+    class is that of its pixels' summed semantic logits; instances with at most ``min_fraction`` of the pixels become 0.
+
+    The votes are taken within the row, on arrays of an Arrow batch, so nothing is shuffled.
+    """
+    import numpy as np
+    import pandas as pd
+
+    @F.pandas_udf("instance array<int>, class array<int>")
+    def vote(sem, inst):
+        out = []
+        for s, i in zip(sem, inst, strict=True):
+            if s is None or not len(s):
+                out.append(([], []))
+                continue
+            s, at = np.stack(s), np.stack(i).argmax(axis=1)
+            found, at = np.unique(at, return_inverse=True)
+            sums = np.zeros((len(found), s.shape[1]))
+            np.add.at(sums, at, s)
+            large = np.bincount(at) / len(at) > min_fraction
+            out.append((np.where(large, found, 0)[at].astype(np.int32), sums.argmax(axis=1)[at].astype(np.int32)))
+        return pd.DataFrame(out, columns=["instance", "class"])
+
+    return vote(semantics, instances)
 
 
 def multitask(df: DataFrame, tasks: dict[str, int], logits: str = "logits") -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eospark.functions.storage import new_path
+
 
 def need(df: DataFrame, *names: str) -> None:
     """Raise at once if columns are missing."""
@@ -183,7 +185,8 @@ def remap_ints(c: Column, mapping: list[int], is_array: bool = False) -> Column:
 
 
 def join_predictions(preds: DataFrame, labels: DataFrame, key: str = "id", check: bool = True) -> DataFrame:
-    """Predictions and labels of one example; ids must be unique on both sides, which is checked before."""
+    """Predictions and labels of one example; ids must be unique on both sides, which is checked before (``join_unique`` checks
+    on the way)."""
     if check:
         for df in (preds, labels):
             if not df.groupBy(key).count().where("count > 1").isEmpty():
@@ -191,6 +194,32 @@ def join_predictions(preds: DataFrame, labels: DataFrame, key: str = "id", check
     return preds.join(labels, key)
 
 
+def join_unique(preds: DataFrame, labels: DataFrame, key: str = "id") -> DataFrame:
+    """The same as one lazy plan: an id that is not unique on its side fails the query when it runs.
+
+    Rows are counted by id in the exchange that the join needs anyway; of tables saved by ``save_bucketed`` none is needed.
+    """
+    return _unique(preds, key).join(_unique(labels, key), key)
+
+
+def _unique(df: DataFrame, key: str) -> DataFrame:
+    rest = [c for c in df.columns if c != key]
+    one = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in rest])
+    fail = F.raise_error(F.concat(F.lit(f"{key} is not unique: "), F.col(key).cast("string")))
+    return one.where(F.when(F.col("_n") > 1, fail.isNotNull()).otherwise(True)).select(*df.columns)
+
+
+def save_bucketed(df: DataFrame, key: str, buckets: int, name: str = "bucketed") -> DataFrame:
+    """``df`` written as a table whose files are bucketed and sorted by ``key``, and read back.
+
+    Tables with equal ``buckets`` meet on the key, or are grouped by it, without an exchange, as often as they are read.
+    """
+    path = new_path(df.sparkSession, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def literal(text: str):
     """A Python literal of the pipeline language; a bare word is text."""
     try:

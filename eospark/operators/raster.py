@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eospark.functions.arrays import u
+from eospark.operators.order_stats import quantiles
 
 #: The luma weights of red, green and blue.
 GRAY = (0.2989, 0.5870, 0.1140)
@@ -35,16 +36,22 @@ def tanh_range(xs: Column, mean: float, std: float, tanh_scale: float = 1.0) ->
 
 
 def band_stats(df: DataFrame, keys: list[str], value: str = "value", valid: Column | None = None, exact: bool = True) -> DataFrame:
-    """``keys, mean, std, bins_median, bins_mad_std, n`` over valid pixels, in two passes.
+    """``keys, mean, std, bins_median, bins_mad_std, n`` over valid pixels.
 
-    Exact medians gather a band in one reducer; ``exact=False`` merges sketches instead, for large tables.
+    Medians are exact for bands of any size (``order_stats``); ``exact=False`` takes those of merged sketches.
     """
-    med = F.percentile if exact else (lambda c, p: F.percentile_approx(c, p, 10_000))
     rows = df.where(valid) if valid is not None else df
-    first = rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), med(F.col(value), 0.5).alias("bins_median"), F.count(value).alias("n"))
-    both = rows.join(F.broadcast(first.select(*keys, F.col("bins_median").alias("_m"))), keys)  # one row a band
-    mad = both.groupBy(*keys).agg((med(F.abs(F.col(value) - F.col("_m")), 0.5) * 1.4826).alias("bins_mad_std"))
-    return first.join(mad, keys)
+    first = rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(value).alias("n"))
+
+    def median(d: DataFrame, c: Column, name: str) -> DataFrame:
+        if exact:
+            return quantiles(d, keys, c, [0.5]).select(*keys, F.col("q")[0].alias(name))
+        return d.groupBy(*keys).agg(F.percentile_approx(c, 0.5, 10_000).alias(name))
+
+    middle = median(rows, F.col(value), "bins_median")
+    both = rows.join(F.broadcast(middle), keys)  # one row a band
+    mad = median(both, F.abs(F.col(value) - F.col("bins_median")) * 1.4826, "bins_mad_std")
+    return first.join(F.broadcast(middle), keys, "left").join(F.broadcast(mad), keys, "left").select(*keys, "mean", "std", "bins_median", "bins_mad_std", "n")
 
 
 def norm_bands(df: DataFrame, stats: DataFrame, keys: list[str], center: str = "bins_median", scale: str = "bins_mad_std", valid: str = "valid", clip: tuple[float, float] | None = None) -> DataFrame:
@@ -59,8 +66,7 @@ def norm_bands(df: DataFrame, stats: DataFrame, keys: list[str], center: str = "
 
 def percentile_norm(df: DataFrame, keys: list[str], value: str = "value", bottom: float = 0.01, top: float = 0.99, clip: bool = True) -> DataFrame:
     """Scale to [0, 1] between percentiles, by ``keys`` (none: over all)."""
-    cut = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(bottom), F.lit(top))).alias("_q"))
-    side = F.broadcast(cut)  # one row a band
+    side = F.broadcast(quantiles(df, keys, value, [bottom, top]).select(*keys, F.col("q").alias("_q")))  # one row a band
     out = df.join(side, keys) if keys else df.join(side)
     v = F.try_divide(F.col(value) - F.col("_q")[0], F.col("_q")[1] - F.col("_q")[0])
     return out.withColumn(value, F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)) if clip else v).drop("_q")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eospark.functions.arrays import NAN, argmax, digitize, div_nan
 from eospark.functions.storage import staged
-from eospark.operators.global_order import global_cumsum
 
 
 def smape(p: Column, y: Column, eps: float = 1e-8) -> Column:
@@ -56,25 +55,36 @@ def example_pearson(df: DataFrame, key: str, positive: Column, prob: Column, kee
     return per.agg(F.corr("share", "mean_prob").alias("example_pearson"))
 
 
-def ranks(df: DataFrame, col: str, name: str, count: str) -> DataFrame:
-    """``value, rank``: average rank (from 1) of each distinct value; ``count`` says how often a row counts."""
-    counts = df.groupBy(F.col(col).alias("value")).agg(F.sum(count).alias("c"))
-    return global_cumsum(counts, [F.col("value")], {"upto": "c"}).select("value", (F.col("upto") - (F.col("c") - 1) / 2.0).alias(name))
+def _ranks(rows: DataFrame, col: str, name: str, cuts: list[float]) -> DataFrame:
+    """``value, rank``: average rank (from 1) of each distinct value of ``col``.
+
+    ``cuts`` part the values into ranges of about equal counts; ranks run within a range, after the total of those before it.
+    """
+    at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c < F.col("value")))
+    counts = rows.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("c")).withColumn("range", at)
+    totals = rows.select(F.col(col).alias("value")).groupBy(at.alias("range")).agg(F.count(F.lit(1)).alias("t"))
+    before = F.sum("t").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    totals = F.broadcast(totals.select("range", F.coalesce(before, F.lit(0)).alias("before")))
+    upto = F.sum("c").over(Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    return counts.join(totals, "range").select("value", (F.col("before") + upto - (F.col("c") - 1) / 2.0).alias(name))
 
 
 def spearman(df: DataFrame, pred: str = "pred", label: str = "label", keep: Column | None = None) -> DataFrame:
-    """Rank correlation with average ranks for ties. Each side is ranked by distinct values, then joined back by value."""
-    rows = (df.where(keep) if keep is not None else df).select(F.col(pred).alias("p"), F.col(label).alias("y"))
-    rows = rows.groupBy("p", "y").agg(F.count(F.lit(1)).alias("m"))
-    rows = staged(rows, "values")
-    a, b = staged(ranks(rows, "p", "rp", "m"), "ranks"), staged(ranks(rows, "y", "ry", "m"), "ranks")
-    both = rows.join(a, rows["p"] == a["value"]).drop("value").join(b, F.col("y") == b["value"])
-    m, x, y = F.col("m"), F.col("rp"), F.col("ry")
-    s = both.agg(F.sum(m).alias("n"), F.sum(m * x).alias("sx"), F.sum(m * y).alias("sy"))
-    mid = s.select("n", (F.col("sx") / F.col("n")).alias("cx"), (F.col("sy") / F.col("n")).alias("cy"))
-    # Centred on the means, which is one row, so that large ranks lose no digits.
-    dx, dy = x - F.col("cx"), y - F.col("cy")
-    c = both.join(F.broadcast(mid)).agg(F.sum(m * dx * dx).alias("xx"), F.sum(m * dy * dy).alias("yy"), F.sum(m * dx * dy).alias("xy"))
+    """Rank correlation with average ranks for ties. Each side is ranked by distinct values, then joined back by value.
+
+    Average ranks have the mean (n + 1) / 2, so that one aggregate centred on it suffices and large ranks lose no digits.
+    """
+    rows = (df.where(keep) if keep is not None else df).select(F.col(pred).cast("double").alias("p"), F.col(label).cast("double").alias("y"))
+    # Two columns, written once, as both sides are ranked from them.
+    rows = staged(rows.where("p is not null and y is not null"), "values")
+    ranges = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    cuts = rows.agg(F.count(F.lit(1)), *[F.percentile_approx(c, shares, 10 * ranges) for c in ("p", "y")]).first()
+    ranked = [_ranks(rows, c, f"r{c}", sorted(set(cut or []))) for c, cut in zip("py", cuts[1:], strict=True)]
+    both = rows.join(ranked[0], rows["p"] == ranked[0]["value"]).drop("value").join(ranked[1], F.col("y") == ranked[1]["value"])
+    middle = ((cuts[0] or 0) + 1) / 2
+    dx, dy = F.col("rp") - middle, F.col("ry") - middle
+    c = both.agg(F.sum(dx * dx).alias("xx"), F.sum(dy * dy).alias("yy"), F.sum(dx * dy).alias("xy"))
     return c.select(div_nan(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))).alias("spearman"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eospark.functions.arrays import u
+from eospark.operators.global_order import group_index
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,14 @@ def pixels_of(df: DataFrame, t: int, h: int, w: int, n: int) -> DataFrame:
     return rows.select("id", "t", "y", "x", label.alias("label"), "logits", ((F.col("id") + F.col("y") + F.col("x")) % 3).cast("double").alias("weight"))
 
 
+def rasters_of(df: DataFrame, t: int, h: int, w: int, n: int) -> DataFrame:
+    """The same as arrays in the row: id, labels and logits, an entry a pixel, steps first."""
+    logits = F.transform(F.sequence(F.lit(0), F.lit(t * h * w - 1)), lambda p: F.transform(F.slice("embedding", p * n + 1, n), lambda x: x.cast("double")))
+    p = F.sequence(F.lit(0), F.lit(t * h * w - 1))
+    labels = F.transform(p, lambda p: ((F.col("label") + F.floor(p / (h * w)) + F.floor(p / w) % h + p % w) % n).cast("int"))
+    return df.select(F.col("vec_id").alias("id"), labels.alias("labels"), logits.alias("logits"))
+
+
 def scored_px(spark: SparkSession, d: str) -> DataFrame:
     return pixels_of(table(spark, d, "embeddings"), 1, 4, 4, 4).drop("t")
 
@@ -99,12 +108,9 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def metric_log(spark: SparkSession, d: str) -> DataFrame:
-    """run, step, metric, value: events in the order of their ids."""
-    from pyspark.sql import Window
-
+    """run, step, metric, value: events in the order of their ids. A run's log may span many partitions."""
     e = table(spark, d, "events").select((F.col("user_id") % 5).cast("int").alias("run"), F.col("event_type").alias("metric"), "event_id", "value")
-    w = Window.partitionBy("run", "metric").orderBy("event_id")
-    return e.select("run", F.row_number().over(w).cast("bigint").alias("step"), "metric", "value")
+    return group_index(e, ["run", "metric"], ["event_id"], "step").select("run", (F.col("step") + 1).alias("step"), "metric", "value")
 
 
 #: The same tables in DuckDB SQL, each as a common table expression.

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eospark.functions.arrays import argmax
+from eospark.functions.storage import staged
+from eospark.operators.global_order import ordered, running_max
 
 
 def log_windows(df: DataFrame, every: int) -> DataFrame:
@@ -30,16 +33,17 @@ def better_is_more(metric: str) -> bool:
 def early_stop_windows(df: DataFrame, patience: int, start: int = 0, more: bool = True) -> DataFrame:
     """``run, metric, best_step, best, stop_step`` without a least improvement, by running extremes over each run's log.
 
-    Runs that never stop have no ``stop_step``; ties do not improve.
+    Runs that never stop have no ``stop_step``; ties do not improve. A log may span many partitions.
     """
-    by = Window.partitionBy("run", "metric").orderBy("step")
-    sign = 1.0 if more else -1.0
-    rows = df.withColumn("_v", F.col("value") * sign).withColumn("_before", F.max("_v").over(by.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("_up", F.when(F.col("_before").isNull() | (F.col("_v") > F.col("_before")), F.col("step")))
-    rows = rows.withColumn("_best", F.max("_up").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    stop = F.min(F.when((F.col("step") >= start) & (F.col("step") >= F.col("_best") + patience), F.col("step"))).over(Window.partitionBy("run", "metric"))
-    rows = rows.withColumn("stop_step", stop).where(F.col("stop_step").isNull() | (F.col("step") <= F.col("stop_step")))
-    return rows.groupBy("run", "metric").agg(F.max("_best").alias("best_step"), (F.max("_v") * sign).alias("best"), F.max("stop_step").alias("stop_step"))
+    keys, sign = ["run", "metric"], 1.0 if more else -1.0
+    # The largest value with the least step.
+    seen = running_max(df, keys, ["step"], F.struct((F.col("value") * sign).alias("v"), (-F.col("step")).alias("s")), "_best")
+    best, step = F.col("_best.v") * sign, -F.col("_best.s")
+    ends = (F.col("step") >= start) & (F.col("step") >= step + patience)
+    now = F.struct(F.col("step").alias("stop_step"), step.alias("best_step"), best.alias("best"))
+    out = seen.groupBy(*keys).agg(F.min(F.when(ends, now)).alias("_stop"), F.max("_best").alias("_last"))
+    last = F.struct(F.lit(None).cast("bigint").alias("stop_step"), (-F.col("_last.s")).alias("best_step"), (F.col("_last.v") * sign).alias("best"))
+    return out.select(*keys, F.coalesce("_stop", last).alias("r")).select(*keys, "r.best_step", "r.best", "r.stop_step")
 
 
 class EarlyStopping:
@@ -63,20 +67,91 @@ class EarlyStopping:
         return best, best_step, last, stop
 
 
-def early_stop(df: DataFrame, patience: int, min_delta: float, start: int = 0, more: bool = True) -> DataFrame:
-    """``early_stop_windows`` with a least improvement, which depends on the order: one small state a run and metric."""
-    import pandas as pd
+def _records(steps: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and steps that exceed all before them in a range, values ascending. NaN exceeds nothing."""
+    before = np.fmax.accumulate(np.concatenate([[-np.inf], values]))[:-1]
+    own = values > before
+    own |= np.isneginf(values) & (np.cumsum(~np.isnan(values)) == 1)  # the first one is a record whatever it is
+    return values[own], steps[own]
 
-    rule = EarlyStopping(patience, min_delta, start, more)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step")
-        best, step, _, stop = rule.scan(zip(pdf["step"].tolist(), pdf["value"].tolist(), strict=True))
-        return pd.DataFrame({"run": [key[0]], "metric": [key[1]], "best_step": [step], "best": [best * rule.sign], "stop_step": pd.array([stop], dtype="Int64")})
+def early_stop(df: DataFrame, patience: int, min_delta: float, start: int = 0, more: bool = True) -> DataFrame:
+    """``early_stop_windows`` with a least improvement, which depends on the order of rows.
+
+    A log of any length is worked on in ranges of steps. From a given best value the next improvement within a range is a
+    record of that range (a value above all before it in the range), and so are all that follow; so a range's outcome, for
+    whatever best value it is entered with, follows from its records. One state a range is carried through these outcomes;
+    then every range, entered with its state, looks for the first step that stops. NaN never improves; of equal steps one counts.
+    """
+    import pandas as pd
 
-    cols = df.select("run", "metric", F.col("step").cast("bigint").alias("step"), "value")
-    run_type = df.schema["run"].dataType.simpleString()
-    return cols.groupBy("run", "metric").applyInPandas(run, f"run {run_type}, metric string, best_step bigint, best double, stop_step bigint")
+    if min_delta < 0:
+        raise ValueError("a least improvement is not negative")
+    sign, keys = 1.0 if more else -1.0, ["run", "metric"]
+    src = df.select(*keys, F.col("step").cast("bigint").alias("step"), (F.col("value").cast("double") * sign).alias("value"))
+    rows = ordered(src, [F.col(c) for c in (*keys, "step")])
+    kinds = f"run {df.schema['run'].dataType.simpleString()}, metric {df.schema['metric'].dataType.simpleString()}"
+
+    def jumps(values: np.ndarray) -> np.ndarray:
+        """For each record the next one that improves on it by enough; their count if there is none."""
+        return np.searchsorted(values, values + min_delta, side="right")
+
+    def outcomes(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pos").drop_duplicates("step")
+        values, steps = _records(pdf["step"].to_numpy(), pdf["value"].to_numpy())
+        to = jumps(values)
+        last = np.arange(len(values))
+        for i in range(len(values) - 2, -1, -1):
+            last[i] = last[to[i]] if to[i] < len(values) else i
+        # Neighbours with one outcome are one entry: it holds from the best value before the first of them on.
+        new = np.ones(len(values), bool)
+        new[:-1] = last[1:] != last[:-1]
+        some = {"upto": values[new], "best": values[last[new]], "best_step": steps[last[new]]} if len(values) else {"upto": [None], "best": [0.0], "best_step": [0]}
+        return pd.DataFrame({**some, "run": key[0], "metric": key[1], "_part": key[2]})[["run", "metric", "_part", "upto", "best", "best_step"]]
+
+    def carried(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """The state in which each range is entered. One row a range and outcome."""
+        best, step, out = None, None, []
+        for part, own in pdf.sort_values(["_part", "upto"]).groupby("_part"):
+            out.append((key[0], key[1], part, best, step))
+            own = own[own["upto"].notna()]
+            i = 0 if best is None else int(np.searchsorted(own["upto"].to_numpy(), best + min_delta, side="right"))
+            if i < len(own):
+                best, step = float(own["best"].iloc[i]), int(own["best_step"].iloc[i])
+        return pd.DataFrame(out, columns=["run", "metric", "_part", "_best", "_step"]).astype({"_best": "Float64", "_step": "Int64"})
+
+    def stops(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pos").drop_duplicates("step")
+        steps, all_values = pdf["step"].to_numpy(), pdf["value"].to_numpy()
+        values, at = _records(steps, all_values)
+        best, step = pdf["_best"].iloc[0], pdf["_step"].iloc[0]
+        fresh = pd.isna(best)
+        hits, i = [], 0 if fresh else int(np.searchsorted(values, best + min_delta, side="right"))
+        to = jumps(values)
+        while i < len(values):
+            hits.append(i)
+            i = int(to[i])
+        # The best value and its step at each row, and whether the row itself improves.
+        places = np.searchsorted(steps, at[hits])
+        latest = np.searchsorted(places, np.arange(len(steps)), side="right")
+        best_at = np.concatenate([[np.nan if fresh else best], values[hits]])[latest]
+        step_at = np.concatenate([[0 if fresh else step], at[hits]])[latest]
+        ends = (steps >= max(start, 0)) & (steps >= step_at + patience)
+        ends[places] = False
+        if fresh and not len(places):
+            ends[:1] = False  # the first value of a run is no stop
+        first = int(np.argmax(ends)) if ends.any() else len(steps) - 1
+        stop = int(steps[first]) if ends.any() else None
+        return pd.DataFrame({"run": [key[0]], "metric": [key[1]], "_part": [key[2]], "best_step": [int(step_at[first])], "best": [float(best_at[first])], "stop_step": pd.array([stop], dtype="Int64")})
+
+    found = rows.groupBy(*keys, "_part").applyInPandas(outcomes, f"{kinds}, _part bigint, upto double, best double, best_step bigint")
+    states = staged(found.groupBy(*keys).applyInPandas(carried, f"{kinds}, _part bigint, _best double, _step bigint"), "states")
+    entered = rows.join(states, [*keys, "_part"], "left")
+    each = entered.groupBy(*keys, "_part").applyInPandas(stops, f"{kinds}, _part bigint, best_step bigint, best double, stop_step bigint")
+    # The first range that stops, or else the last one, has the outcome.
+    rank = F.when(F.col("stop_step").isNotNull(), F.col("_part")).otherwise(F.lit(1 << 40) - F.col("_part"))
+    out = each.groupBy(*keys).agg(F.min_by(F.struct("best_step", "best", "stop_step"), rank).alias("r"))
+    return out.select(*keys, "r.best_step", (F.col("r.best") * sign).alias("best"), "r.stop_step")
 
 
 def early_stop_stream(stream: DataFrame, patience: int, min_delta: float = 0.0, start: int = 0, more: bool = True) -> DataFrame:
@@ -107,12 +182,13 @@ def confusion_counts(df: DataFrame, logits: str = "logits", label: str = "label"
 
 def progress(df: DataFrame, examples_per_epoch: int, total_steps: int) -> DataFrame:
     """From a log of ticks (``run, step, time`` in seconds, ``pause`` since the last tick, ``batch``): examples seen,
-    epoch, progress, and examples a second between ticks without pauses."""
-    w = Window.partitionBy("run").orderBy("step")
-    dt = F.col("time") - F.lag("time").over(w) - F.col("pause")
-    new = (F.col("step") - F.lag("step").over(w)) * F.col("batch")
+    epoch, progress, and examples a second between ticks without pauses. A run may span many partitions."""
+    src = df.select("run", "step", "time", "pause", "batch")
+    rows = running_max(src, ["run"], ["step", "time"], F.struct("step", "time"), "_last", inclusive=False)
+    dt = F.col("time") - F.col("_last.time") - F.col("pause")
+    new = (F.col("step") - F.col("_last.step")) * F.col("batch")
     seen = F.col("step") * F.col("batch")
-    return df.select(
+    return rows.select(
         "run", "step", seen.alias("examples"), (seen / examples_per_epoch).alias("epoch"), (F.col("step") / total_steps).alias("progress"),
         F.when(dt > 0, new / dt).alias("examples_per_sec"),
     )
