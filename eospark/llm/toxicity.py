@@ -173,7 +173,12 @@ class _Weights(dict):
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, score``: from 0 to 1, of every whole text; null and empty texts get the score of no words at all."""
+    """``id_col, score``: from 0 to 1, of every whole text; null and empty texts get the score of no words at all.
+
+    Rows are scored where they are: repeated rows and null ids are rows of their own, a text of any length is scored whole, an
+    empty table gives an empty table and other columns are ignored. Without labels the score is 0; without a usable word in
+    the labelled texts it is the share of toxic labels.
+    """
     weights, bias = model["weights"], model["bias"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,8 +196,14 @@ def held_out(key):
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; all columns stay, and nothing moves."""
+    """``docs`` without the rows that score ``threshold`` or more; all columns stay, and nothing moves.
+
+    Where no model can be fitted, as there are no labels or no usable words in the labelled texts, all rows are kept. Null and
+    empty texts, repeated rows, null ids, very long texts and empty tables: as in ``score``.
+    """
     model = train(docs, labels, id_col, text_col)
+    if not model["weights"]:
+        return docs
     weights, bias = model["weights"], model["bias"]
 
     @F.pandas_udf("double")

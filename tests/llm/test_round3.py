@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eospark.llm import manifest, packing, periodic_runs, queries, token_counts
+from eospark.llm import manifest, packing, periodic_runs, queries, token_counts, toxicity
 
 SCHEMA = "doc_id bigint, source string, lang string, n_chars bigint, text string, _key string, _idx string, id string"
 
@@ -263,3 +263,12 @@ def test_token_query(spark, library):
         n = len(library.encode(r["text"] or "", add_special_tokens=False).ids)
         want.append((r["doc_id"], len((r["text"] or "").encode()), n, n > 2048))
     assert sorted(map(tuple, queries.QUERIES["op13_token_transducers"](spark, sf).collect())) == sorted(want)
+
+
+def test_nothing_is_dropped_without_a_model(spark):
+    """Labels without usable words, or none: every row stays, clashing columns too."""
+    docs = spark.createDataFrame([(1, "", "k"), (2, None, "k"), (2, None, "k"), (None, "x " * 20000, "k")], "doc_id bigint, text string, score string")
+    for known in ([(1, 1), (2, 0)], [], [(9, 1)]):
+        labels = spark.createDataFrame(known, "doc_id bigint, toxic int")
+        assert toxicity.drop_toxic(docs, labels).count() == 4
+        assert toxicity.drop_toxic(docs.limit(0), labels).count() == 0
