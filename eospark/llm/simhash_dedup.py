@@ -312,10 +312,18 @@ def links(nodes: DataFrame, plan: list[tuple[int, int, int, int]], radii: list[i
     schema = "k bigint, role byte, " + ", ".join(f"{n} bigint" for n in names)
     carried = nodes.select("words", *[F.get("words", F.lit(i)).alias(w) for i, w in enumerate(words)], "node")
     rows = carried.mapInArrow(_table_rows(plan), schema)
-    hot = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("role", *names)).alias("first"))
-    hot = staged(hot.where((F.col("n") > block) & (F.col("first.role") == 0)).select(F.col("k").alias("key"), "first"), "hot")
-    out = None
-    if not hot.isEmpty():
+    # Keys that may have more than ``block`` rows, by the rows of one node in ``share``, so that counting moves few rows; a key
+    # is then counted whole. One that were missed would be compared in one task, with the same links.
+    share = max(1, min(16, block // 64))
+    some = carried.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).mapInArrow(_table_rows(plan), schema)
+    some = some.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block // (2 * share))
+    some = staged(some.select(F.col("k").alias("key")), "maybe-hot")
+    hot = out = None
+    if not some.isEmpty():
+        hot = rows.join(some, F.col("k") == F.col("key"))
+        hot = hot.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("role", *names)).alias("first"))
+        hot = staged(hot.where((F.col("n") > block) & (F.col("first.role") == 0)).select("key", "first"), "hot")
+    if hot is not None and not hot.isEmpty():
         near, differ = F.lit(True), F.lit(0)
         for w, radius in zip(words, radii, strict=True):
             differ = differ + F.bit_count(F.col(w).bitwiseXOR(F.col("first")[w]))
