@@ -1,4 +1,4 @@
-"""Hand-made cases with known results."""
+"""Hand-made cases with known results. Inputs and results here are fixed values: they must equal published ones."""
 
 import math
 
