@@ -18,6 +18,10 @@ from eospark.operators.global_order import global_index
 RADIUS = 3
 #: (which long, first bit, bits) of each block.
 BLOCKS = ((0, 0, 22), (0, 22, 21), (0, 43, 21), (1, 0, 32), (1, 32, 32))
+#: Each table is keyed by two of the blocks.
+PAIRS = tuple(combinations(range(len(BLOCKS)), 2))
+#: So many fingerprints of one key meet as one array.
+BLOCK = 128
 _LANES = 0x0000000100000001
 _WORDS = r"[\x20\x09-\x0D]+"
 
@@ -65,39 +69,67 @@ def _blocks(fp0: Column, fp1: Column) -> list[Column]:
     return [F.shiftrightunsigned((fp0, fp1)[i], a).bitwiseAND((1 << n) - 1) for i, a, n in BLOCKS]
 
 
+def _tables(prints: DataFrame) -> DataFrame:
+    """``table, key, row``: each fingerprint under its key in each block table."""
+    own = _blocks(F.col("fp0"), F.col("fp1"))
+    keys = F.array(*[F.xxhash64(F.lit(t), own[i], own[j]) for t, (i, j) in enumerate(PAIRS)])
+    return prints.select(F.posexplode(keys).alias("table", "key"), F.struct(*prints.columns).alias("row"))
+
+
+def _meet_first(a: Column, b: Column, table: Column) -> Column:
+    """Whether ``table`` is the first one in which two fingerprints share a key; so a pair counts once."""
+    x, y = _blocks(a["fp0"], a["fp1"]), _blocks(b["fp0"], b["fp1"])
+    return F.coalesce(*[F.when((x[i] == y[i]) & (x[j] == y[j]), t) for t, (i, j) in enumerate(PAIRS)]) == table
+
+
+def _checked(radius: int) -> int:
+    if not 0 < radius <= len(BLOCKS) - 2:
+        raise ValueError("five blocks serve a radius of up to three bits")
+    return radius
+
+
 def near_pairs(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """All pairs of distinct fingerprints (``fp0, fp1``) that differ in 1 to ``radius`` (at most 3) bits, each once.
 
-    Other columns are carried along for both sides: ``a`` and ``b`` are structs of a row's columns.
+    Other columns are carried along for both sides: ``a`` and ``b`` are structs of a row's columns. The result is as long
+    as there are such pairs; ``near_counts`` only counts them.
     """
-    if not 0 < radius <= len(BLOCKS) - 2:
-        raise ValueError("five blocks serve a radius of up to three bits")
-    tables = list(combinations(range(len(BLOCKS)), 2))
-    own = _blocks(F.col("fp0"), F.col("fp1"))
-    keys = F.array(*[F.xxhash64(F.lit(t), own[i], own[j]) for t, (i, j) in enumerate(tables)])
-    rows = prints.select(F.posexplode(keys).alias("table", "key"), F.struct(*prints.columns).alias("row"))
-    a, b = rows.select("table", "key", F.col("row").alias("a")), rows.select(F.col("table").alias("table_b"), F.col("key").alias("key_b"), F.col("row").alias("b"))
-    x, y = _blocks(F.col("a.fp0"), F.col("a.fp1")), _blocks(F.col("b.fp0"), F.col("b.fp1"))
-    # A pair that meets in several tables counts in the first.
-    first = F.coalesce(*[F.when((x[i] == y[i]) & (x[j] == y[j]), t) for t, (i, j) in enumerate(tables)])
+    _checked(radius)
+    rows = _tables(prints)
+    a, b = rows.withColumnRenamed("row", "a"), rows.select(F.col("table").alias("table_b"), F.col("key").alias("key_b"), F.col("row").alias("b"))
     order = F.struct("a.fp0", "a.fp1") < F.struct("b.fp0", "b.fp1")
     near = distance(F.col("a.fp0"), F.col("a.fp1"), F.col("b.fp0"), F.col("b.fp1")) <= radius
-    met = (F.col("key") == F.col("key_b")) & (F.col("table") == F.col("table_b")) & order & near & (F.col("table") == first)
+    met = (F.col("key") == F.col("key_b")) & (F.col("table") == F.col("table_b")) & order & near & _meet_first(F.col("a"), F.col("b"), F.col("table"))
     return a.join(b, met).select("a", "b")
 
 
-def near_counts(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def near_counts(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """``fp0, fp1, near``: how many other documents have a fingerprint within ``radius`` bits (equal ones included).
 
-    ``prints`` has a fingerprint a row, and the number ``n`` of documents that have it.
+    ``prints`` has a fingerprint a row, and the number ``n`` of documents that have it. No pair becomes a row: what shares
+    a key is dealt by hash to blocks of about ``block`` fingerprints, blocks meet as arrays, and each fingerprint's count
+    is summed inside. A key of m fingerprints thus costs (m / block)^2 rows, in as many tasks as its size asks for. Keys of
+    a single fingerprint, nearly all of them, end at the count of keys.
     """
+    _checked(radius)
     distinct = staged(prints.groupBy("fp0", "fp1").agg(F.sum("n").alias("n")), "distinct")
-    pairs = near_pairs(distinct, radius)
-    both = F.array(
-        F.struct(F.col("a.fp0").alias("fp0"), F.col("a.fp1").alias("fp1"), F.col("b.n").alias("n")),
-        F.struct(F.col("b.fp0").alias("fp0"), F.col("b.fp1").alias("fp1"), F.col("a.n").alias("n")),
-    )
-    more = pairs.select(F.inline(both)).unionByName(distinct.withColumn("n", F.col("n") - 1))
+    rows = _tables(distinct)
+    shared = rows.groupBy("table", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    # Written, so that both sides of the joins are plain exchanges and Spark can split a hot key.
+    shared = staged(shared.select("table", "key", F.ceil(F.col("m") / block).alias("blocks")), "shared")
+    dealt = F.pmod(F.xxhash64("row.fp0", "row.fp1", F.lit("block")), F.col("blocks"))
+    members = rows.join(shared, ["table", "key"]).groupBy("table", "key", dealt.alias("block")).agg(F.collect_list("row").alias("a"))
+    members = staged(members, "blocks")
+    others = members.select("table", "key", F.col("a").alias("b"))
+
+    def near(x: Column, y: Column) -> Column:
+        bits = distance(x["fp0"], x["fp1"], y["fp0"], y["fp1"])
+        return (bits <= radius) & (bits > 0) & _meet_first(x, y, F.col("table"))
+
+    count = lambda x: F.aggregate("b", F.lit(0).cast("bigint"), lambda s, y: s + F.when(near(x, y), y["n"]).otherwise(0))
+    each = F.transform("a", lambda x: F.struct(x["fp0"].alias("fp0"), x["fp1"].alias("fp1"), count(x).alias("n")))
+    met = members.join(others, ["table", "key"]).select(F.filter(each, lambda r: r["n"] > 0).alias("each"))
+    more = met.select(F.inline("each")).unionByName(distinct.withColumn("n", F.col("n") - 1))
     return more.groupBy("fp0", "fp1").agg(F.sum("n").alias("near"))
 
 

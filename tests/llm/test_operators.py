@@ -654,6 +654,22 @@ def test_near_pairs_lose_nothing(spark):
     assert fingerprints.near_pairs(df).count() == want > 100
 
 
+def test_near_counts_in_blocks(spark):
+    """Dense balls of far more fingerprints than a block holds, fingerprints of several documents, and lone ones."""
+    rng = np.random.default_rng(5)
+    draw = lambda: int.from_bytes(rng.bytes(16), "big")
+    balls = [b ^ sum(1 << int(k) for k in rng.choice(128, rng.integers(0, 3), replace=False)) for b in (draw(), draw()) for _ in range(400)]
+    n = {x: int(rng.integers(1, 5)) for x in [*balls, *(draw() for _ in range(50)), 0]}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(signed(x >> 64), signed(x & ((1 << 64) - 1)), 1) for x, c in n.items() for _ in range(c)]
+    df = spark.createDataFrame(rows, "fp0 bigint, fp1 bigint, n bigint")
+    got = {(r["fp0"], r["fp1"]): r["near"] for r in fingerprints.near_counts(df, block=32).collect()}
+    for x, c in n.items():
+        want = c - 1 + sum(d for y, d in n.items() if 0 < bin(x ^ y).count("1") <= 3)
+        assert got.pop((signed(x >> 64), signed(x & ((1 << 64) - 1)))) == want
+    assert not got and fingerprints.near_counts(df.where("false")).count() == 0
+
+
 # --- Mixing
 def test_exponent(spark):
     p = [0.7, 0.2, 0.1]
