@@ -572,10 +572,48 @@ def test_windows_cover_texts():
         assert all(b - a == pii.SPAN - pii.OVERLAP for a, b in zip(starts, starts[1:], strict=False))
 
 
-def test_tagger_earns_its_place(spark):
+@pytest.fixture(scope="module")
+def tagger(spark):
+    return pii.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 2 = 0"))
+
+
+#: Formats picked by hand, apart from the generator that the tagger learns from; most of them it never makes.
+OTHER_FORMATS = {
+    "email": ["ana (at) correo (punto) es", "r2d2 {at} droid {dot} io", "lee.wong<@>mail<.>hk", "nora..at..fjord..dot..no", "office AT the-bank DOT com DOT au", "k_k [ at ] lab [ dot ] edu", "mia/at/site/dot/fr", "zoe(@)cafe(.)it", "dan at corp . com",
+              "maria{at}uni-koeln{dot}de", "tom.baker <at> clinic <dot> org", "l.rossi(a)posta.it", "anna at web.de", "sam -at- shop -dot- co.uk", "pierre arobase laposte point net", "kim@ example.com", "jo_87 (@) inbox.lv", "peter.pan AT never-land.co.nz", "billing at acme-corp dot example dot com"],
+    "phone": ["0 30 / 90 18 20 12", "212/555/0134", "(0171) 123 45 67", "01 23 45 67 89", "0044(0)20 7946 0958", "212 - 555 - 0134", "1.800.555.0199", "0034 91 123 45 67", "030-901820-44",
+              "212 555 0134", "020 7946 0958", "0171/1234567", "06 12 34 56 78", "1-800-555-0199", "(030) 901820", "089 / 636-48018", "001.212.555.0134", "555 0134 221", "0049-89-1234567"],
+    "ip": ["192 .168 .10 .7", "10{dot}0{dot}0{dot}5", "172(dot)16(dot)0(dot)9", "8 [.] 8 [.] 8 [.] 8", "203 . 0 . 113 . 77", "1.1.1 .1", "<10><0><0><1>", "10;20;30;40",
+              "192 dot 168 dot 0 dot 7", "10[dot]0[dot]12[dot]1", "172,16,254,3", "8. 8. 4. 4", "203-0-113-9", "198{.}51{.}100{.}24", "127_0_0_1", "10 .1 .2 .3"],
+    "card": ["4111 . 1111 . 1111 . 1111", "5500+0000+0000+0004", "3714/496353/98431", "4012~8888~8888~1881", "6011 | 1111 | 1111 | 1117", "5105\u20131051\u20130510\u20135100", "4111 1111, 1111 1111", "30569.309025.904",
+              "4111:1111:1111:1111", "5500, 0000, 0000, 0004", "3782.822463.10005", "4012 / 8888 / 8888 / 1881", "6011\u20131111\u20131111\u20131117", "4222*2222*2222*2220", "4111\n1111\n1111\n1111", "5105|1051|0510|5100"],
+}
+
+
+def test_tagger_on_other_formats(spark, tagger):
+    """Recall on formats not taken from the generator (0.50 when written), and numbers that are nothing of the kind."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 2 = 1 and length(text) > 1500")
+    others = [" ".join(r["text"].split()) for r in table.orderBy("doc_id").limit(100).collect()]
+    said = ["You can reach me under {} until Friday, thanks.", "Pour toute question, {} reste le bon contact.", "the new entry reads {} and nothing else was found in it"]
+    cases = [(kind, x, s) for kind, xs in OTHER_FORMATS.items() for x in xs for s in said]
+    alike = ["the score was 21-14 in the 3rd quarter at the dome", "see pp. 112-118 and table 4.2.1 for more", "order 20394-22 ships at 10.30", "release 10.15.7 build 19", "about 1,250,000 people in 2019-2020"]
+    rows, want = [], {}
+    for i, (kind, x, s) in enumerate([*cases, *((None, x, "{}") for x in alike)]):
+        before = others[i % 100][:600] + " " + s.split("{}")[0]
+        rows.append((i, before + x + s.split("{}")[1] + " " + others[(i + 7) % 100][300:700]))
+        want[i] = kind, len(before), len(before) + len(x)
+    hit = 0
+    for r in pii.find(docs(spark, rows), tagger).collect():
+        kind, a, b = want[r["doc_id"]]
+        met = {p["kind"] for p in r["spans"] if p["start"] < b and a < p["end"]}
+        assert kind or not met
+        hit += kind in met
+    assert hit / len(cases) >= 0.4
+
+
+def test_tagger_earns_its_place(spark, tagger):
     """End to end: 300 unseen spans in formats that no pattern knows, within texts that were not learnt from; recall and precision."""
-    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    model = pii.train(table.where("doc_id % 2 = 0"))
+    table, model = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), tagger
     others = [" ".join(r["text"].split()) for r in table.where("doc_id % 2 = 1 and length(text) > 1500").orderBy("doc_id").limit(200).collect()]
     made = pii._variants(700, 4242, [t[300:380] for t in others])
     rows, want = [], {}
