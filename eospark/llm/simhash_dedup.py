@@ -129,11 +129,13 @@ def differing(similarity: float) -> float:
 def similar_segments(count: int, similarity: float, recall: float = 0.97) -> list[tuple[int, int, int, int]]:
     """(word, first bit, width, ball radius) of segments that find a pair of just ``similarity`` with chance ``recall``.
 
-    Segments are as wide as the count of texts in bits, so that a key holds a few chance matches at any size; their number
-    follows from the chance that a segment differs in no more bits than its ball. A ball of radius one finds about four
-    times as many pairs as a lone key, for about ten keys: the first segments have one, the others get by without.
+    Segments are ``SHARED`` bits narrower than the count of texts, so that a key holds at most 2**SHARED chance matches on
+    average at any size: comparing those costs less than the rows of the further tables that wider segments would need.
+    The number of segments follows from the chance that one differs in no more bits than its ball. A ball of radius one
+    finds two to four times as many pairs as a lone key, for about ten keys: the first segments have one, the others get
+    by without.
     """
-    width, p = min(max(16, count.bit_length()), 32), differing(similarity)
+    width, p = min(max(8, count.bit_length() - SHARED), 32), differing(similarity)
     alone = (1 - p) ** width
     ball = alone + width * p * (1 - p) ** (width - 1)
     rest = math.log(1 - recall) - BALLS * math.log(1 - ball)
@@ -511,7 +513,8 @@ def verified_links(members: DataFrame, similarity: float) -> DataFrame:
 
 #: Shingles alike to 0.8 (Jaccard) differ in about 0.15 of their fingerprints' bits. Of segments with a ball there are so
 #: many; candidates differ in at most so many of 128 bits, four standard errors more than expected, and are then verified.
-SIMILARITY, BALLS, WIDE_RADIUS = 0.8, 4, 36
+#: Texts that share a key by chance are 2**SHARED at most, on average.
+SIMILARITY, BALLS, WIDE_RADIUS, SHARED = 0.8, 2, 36, 6
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = SIMILARITY) -> DataFrame:
@@ -529,7 +532,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def _similar(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """``id, s1, s2, text_key`` of all rows, and ``s1, s2, least`` (the group's first row) of all sets of shingles."""
     plan = similar_segments(docs.count(), similarity)
-    prints = staged(set_prints(docs, id_col, text_col, size, plan[-1][0] + 1), "prints")
+    prints = staged(set_prints(docs, id_col, text_col, size, max(2, plan[-1][0] + 1)), "prints")
     row = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("text_key").alias("text_key"))
     nodes = prints.groupBy("s1", "s2").agg(F.min(row).alias("least"), F.first("n").alias("n"), F.first("words").alias("words"))
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
