@@ -126,7 +126,7 @@ def differing(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def similar_segments(count: int, similarity: float, recall: float = 0.97) -> list[tuple[int, int, int, int]]:
+def similar_segments(count: int, similarity: float, recall: float = 0.99) -> list[tuple[int, int, int, int]]:
     """(word, first bit, width, ball radius) of segments that find a pair of just ``similarity`` with chance ``recall``.
 
     Segments are ``SHARED`` bits narrower than the count of texts, so that a key holds at most 2**SHARED chance matches on
