@@ -55,36 +55,55 @@ def example_pearson(df: DataFrame, key: str, positive: Column, prob: Column, kee
     return per.agg(F.corr("share", "mean_prob").alias("example_pearson"))
 
 
-def _ranks(rows: DataFrame, col: str, name: str, cuts: list[float]) -> DataFrame:
-    """``value, rank``: average rank (from 1) of each distinct value of ``col``.
+#: Ranges of values at most: sums are kept for each pair of ranges of the two columns.
+RANGES = 512
 
-    ``cuts`` part the values into ranges of about equal counts; ranks run within a range, after the total of those before it.
+
+def _range_of(value: Column, cuts: list[float]) -> Column:
+    """How many of the ascending ``cuts`` are less than the value, by bisection."""
+    steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    if not steps:
+        return F.lit(0)
+    # NaN is less than nothing.
+    padded = F.array(*[F.lit(c) for c in [*cuts, *[NAN] * (2 * steps[0] - 1 - len(cuts))]])
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: F.when(F.get(padded, at + s - 1) < value, at + s).otherwise(at))
+
+
+def _ranks(rows: DataFrame, col: str, cuts: list[float]) -> DataFrame:
+    """``<col>_value, <col>_range, <col>_rank``: for each distinct value its range and its average rank (from 1) there.
+
+    ``cuts`` part the values into ranges of about equal counts.
     """
-    at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c < F.col("value")))
-    counts = rows.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("c")).withColumn("range", at)
-    totals = rows.select(F.col(col).alias("value")).groupBy(at.alias("range")).agg(F.count(F.lit(1)).alias("t"))
-    before = F.sum("t").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
-    totals = F.broadcast(totals.select("range", F.coalesce(before, F.lit(0)).alias("before")))
+    counts = rows.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("c")).withColumn("range", _range_of(F.col("value"), cuts))
     upto = F.sum("c").over(Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    return counts.join(totals, "range").select("value", (F.col("before") + upto - (F.col("c") - 1) / 2.0).alias(name))
+    return counts.select(F.col("value").alias(f"{col}_value"), F.col("range").alias(f"{col}_range"), (upto - (F.col("c") - 1) / 2.0).alias(f"{col}_rank"))
 
 
 def spearman(df: DataFrame, pred: str = "pred", label: str = "label", keep: Column | None = None) -> DataFrame:
     """Rank correlation with average ranks for ties. Each side is ranked by distinct values, then joined back by value.
 
-    Average ranks have the mean (n + 1) / 2, so that one aggregate centred on it suffices and large ranks lose no digits.
+    Ranks run within ranges of values. Rows are summed by their two ranges, and what precedes a range is added to these
+    few sums. Average ranks have the mean (n + 1) / 2, so that one aggregate centred on it suffices and large ranks lose
+    no digits.
     """
     rows = (df.where(keep) if keep is not None else df).select(F.col(pred).cast("double").alias("p"), F.col(label).cast("double").alias("y"))
     # Two columns, written once, as both sides are ranked from them.
     rows = staged(rows.where("p is not null and y is not null"), "values")
-    ranges = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = min(RANGES, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     cuts = rows.agg(F.count(F.lit(1)), *[F.percentile_approx(c, shares, 10 * ranges) for c in ("p", "y")]).first()
-    ranked = [_ranks(rows, c, f"r{c}", sorted(set(cut or []))) for c, cut in zip("py", cuts[1:], strict=True)]
-    both = rows.join(ranked[0], rows["p"] == ranked[0]["value"]).drop("value").join(ranked[1], F.col("y") == ranked[1]["value"])
+    both = rows
+    for c, cut in zip("py", cuts[1:], strict=True):
+        both = both.join(_ranks(rows, c, sorted({v for v in cut or [] if v == v})), F.col(c) == F.col(f"{c}_value")).drop(f"{c}_value")
+    rp, ry = F.col("p_rank"), F.col("y_rank")
+    sums = {"sp": rp, "sy": ry, "spp": rp * rp, "syy": ry * ry, "spy": rp * ry}
+    cells = both.groupBy("p_range", "y_range").agg(F.count(F.lit(1)).alias("n"), *[F.sum(e).alias(a) for a, e in sums.items()])
     middle = ((cuts[0] or 0) + 1) / 2
-    dx, dy = F.col("rp") - middle, F.col("ry") - middle
-    c = both.agg(F.sum(dx * dx).alias("xx"), F.sum(dy * dy).alias("yy"), F.sum(dx * dy).alias("xy"))
+    # A row a pair of ranges.
+    before = {c: F.coalesce(F.sum("n").over(Window.orderBy(f"{c}_range").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)) - middle for c in "py"}
+    cells = cells.withColumns({"bp": before["p"], "by": before["y"]})
+    total = lambda a, b: F.sum(F.expr(f"n * b{a} * b{b} + b{a} * s{b} + b{b} * s{a} + s{a}{b}"))
+    c = cells.agg(total("p", "p").alias("xx"), total("y", "y").alias("yy"), total("p", "y").alias("xy"))
     return c.select(div_nan(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))).alias("spearman"))
 
 

@@ -131,6 +131,28 @@ def test_spearman_with_ties(spark):
     assert math.isnan(regression.spearman(df.limit(0)).first()[0])
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 7, 8, 199])
+def test_ranges_by_bisection(spark, n):
+    rng = random.Random(n)
+    cuts = sorted({rng.gauss(0, 1) for _ in range(n)})
+    values = [*cuts, *[rng.gauss(0, 2) for _ in range(100)], -math.inf, math.inf]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", regression._range_of(F.col("v"), cuts).alias("r"))
+    assert [r["r"] for r in df.collect()] == [int(np.searchsorted(cuts, v)) for v in values]
+    assert spark.createDataFrame([(math.nan,)], "v double").select(regression._range_of(F.col("v"), cuts)).first()[0] == len(cuts)
+
+
+def test_spearman_over_many_ranges(spark, many_ranges):
+    """Half of the rows share a value, some are NaN (the largest); a value is not compared with each range's bound."""
+    rng = random.Random(8)
+    rows = [(rng.choice([0.5, rng.gauss(0, 1)]), rng.gauss(0, 1)) for _ in range(3000)]
+    rows = [(p, y + p) for p, y in rows] + [(math.nan, rng.random()) for _ in range(300)]
+    p, y = (np.array([math.inf if v != v else v for v in x]) for x in zip(*rows, strict=True))
+    mean_rank = lambda v: np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+    got = regression.spearman(spark.createDataFrame(rows, "pred double, label double").repartition(9))
+    assert got.first()[0] == pytest.approx(np.corrcoef(mean_rank(p), mean_rank(y))[0, 1], abs=1e-12)
+    assert "filter(" not in plan(got)
+
+
 def test_rolling_max_in_the_row(spark):
     df = spark.createDataFrame([([3, 1, 5, 2, 4, 9],)], "labels array<int>")
     for window, want in ((1, [3, 1, 5, 2, 4, 9]), (3, [5, 2, 5, 9, 5, 9]), (5, [5, 9, 5, 9, 5, 9])):
