@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eospark.functions.arrays import u
-from eospark.operators.raster import resize_weights
+from eospark.operators.raster import resampled
 
 #: Values of a stack, in and out, at most (a larger raster is a stack of its own).
 STACK = 1 << 22
@@ -88,7 +88,6 @@ def resample(df: DataFrame, out: dict[str, tuple[str, str | None]], size: str, s
                 values, new = f[col].tolist(), [None] * len(f)
                 for ((h, w), (bh, bw), (nh, nw)), rows in like.items():
                     rows = [i for i in rows if values[i] is not None]
-                    a, b = resize_weights(bh, nh, method), resize_weights(bw, nw, method)
                     c = len(values[rows[0]]) // (h * w) if rows else 1
                     step = max(1, STACK // max(1, (h * w + nh * nw) * c))
                     for at in range(0, len(rows), step):
@@ -97,7 +96,7 @@ def resample(df: DataFrame, out: dict[str, tuple[str, str | None]], size: str, s
                         for k, i in enumerate(part):
                             y0, x0 = boxes[i][:2]
                             x[k] = np.asarray(values[i], float).reshape(h, w, c)[y0 : y0 + bh, x0 : x0 + bw]
-                        y = np.einsum("ih,nhwc,jw->nijc", a, x, b, optimize=True)
+                        y = resampled(x, (nh, nw), method)
                         if kind:
                             y = np.trunc(np.clip(y, *RANGES[kind]))
                         for k, i in enumerate(part):

@@ -46,6 +46,17 @@ def test_near_zero(spark, near_zero, name):
     same_bits(spark, name, near_zero)
 
 
+@pytest.mark.parametrize("name", ["det_resize", "resize_long", "distorted_crop", "match_spatial_dims"])
+def test_a_pixel_depends_on_its_neighbours_alone(spark, tmp_path, name):
+    """Zeros of both signs; by nearest neighbours also infinite pixels."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 64)) * rng.choice([-0.0, 0.0, 0.1], (200, 64))
+    if name in ("distorted_crop", "match_spatial_dims"):
+        x[::5, 9], x[1::5, 30], x[2::5, 63] = -np.inf, np.inf, -np.inf
+    write(tmp_path, x.astype("float32"))
+    same_bits(spark, name, tmp_path)
+
+
 def test_rounded(spark):
     values = [-1e-9, 1e-9, -0.0, 0.0, -4.9999999e-7, -5e-7, 5e-7, -0.0078125, 0.0078125, float("inf"), -float("inf"), float("nan"), None]
     df = rounded(spark.createDataFrame([(v, [v]) for v in values], "x double, xs array<double>").coalesce(1))
